@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import new_path
-from . import decontam, langid, packing, secrets, simhash, store
+from . import ann, decontam, langid, license, packing, pii, quality, secrets, simhash, store
 from .tokens import vocabulary
 
 
@@ -27,6 +27,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
@@ -43,12 +48,41 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id")))
+
+
 def op7_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-store")
     store.write(_table(spark, sf_dir, "documents"), path, vocabulary())
     return store.read_back(spark, path)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[count_of("spans", k) for k in pii.KINDS],
+        F.sha2(digest(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
+        digest("spans").alias("spans"),
+    )
+
+
+def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license.scan(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.word").alias("first_word"),
+        F.array_max("places.word").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.spans(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -59,5 +93,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_language, op4_packing, op5_decontamination, op7_store, op10_secrets)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash, op2_quality, op3_language, op4_packing, op5_decontamination, op6_neighbours, op7_store, op8_pii, op9_license, op10_secrets)
+}
 ORACLES: dict[str, str] = {}
