@@ -21,6 +21,11 @@ MPP_METHODS = ("tempo", "mpp", "stripe", "card", "lightning", "solana")
 OFFER_KEYS = {"intent", "method", "amount", "currency", "description"}
 
 
+def given(x) -> bool:
+    """Whether a JSON value counts as there: empty objects and lists do, null, false, zero and empty texts don't."""
+    return isinstance(x, (dict, list)) or bool(x)
+
+
 def resolve(doc: dict, ref: str):
     """What a local reference points at, if that is an object."""
     if not ref.startswith("#/"):
@@ -122,9 +127,9 @@ def legacy_rails(doc: dict, op: dict) -> list[dict]:
     named = [p for p in protocols if isinstance(p, dict)]
     methods = {str(m.get("method", "")) for m in info.get("offers") or [] if isinstance(m, dict)}
     tempo = any(isinstance(m, dict) and m.get("method") == "tempo" for m in info.get("methods") or [])
-    networks = list(dict.fromkeys([a["chain"] for a in assets if a.get("chain")] + [n for p in named for n, on in (("x402", p.get("x402")), ("tempo", p.get("mpp") or p.get("tempo"))) if on] + ["tempo"] * tempo))
-    x402 = "x402" in [p for p in protocols if isinstance(p, str)] or any(p.get("x402") for p in named) or bool(methods & {"x402", "evm"}) or bool(assets)
-    mpp = any(p.get("mpp") or p.get("tempo") for p in named) or bool(methods & set(MPP_METHODS)) or tempo or any(a.get("chain") == "tempo" for a in assets) or info.get("method") in ("tempo", "stripe")
+    networks = list(dict.fromkeys([a["chain"] for a in assets if a.get("chain")] + [n for p in named for n, on in (("x402", given(p.get("x402"))), ("tempo", given(p.get("mpp")) or given(p.get("tempo")))) if on] + ["tempo"] * tempo))
+    x402 = "x402" in [p for p in protocols if isinstance(p, str)] or any(given(p.get("x402")) for p in named) or bool(methods & {"x402", "evm"}) or bool(assets)
+    mpp = any(given(p.get("mpp")) or given(p.get("tempo")) for p in named) or bool(methods & set(MPP_METHODS)) or tempo or any(a.get("chain") == "tempo" for a in assets) or info.get("method") in ("tempo", "stripe")
     out = [{"protocol": "x402", "version": "2", "networks": [n for n in networks if n != "tempo"]}] if x402 else []
     out += [{"protocol": "mpp", "version": None, "networks": ["tempo"] if "tempo" in networks else None}] if mpp else []
     return out or [{"protocol": "x402", "version": "2", "networks": None}]
@@ -150,13 +155,13 @@ def operations(origin: str | None, text: str | None) -> Iterator[dict]:
                 continue
             about = text_or(op.get("description"))
             offers = valid_offers(op.get("x-payment-info"))
-            paid = bool(offers or op.get("x-payment-info") or op.get("x-faremeter-pricing") or op.get("pricing"))
+            paid = bool(offers) or any(given(op.get(k)) for k in ("x-payment-info", "x-faremeter-pricing", "pricing"))
             responses = op.get("responses") if isinstance(op.get("responses"), dict) else {}
             yield {
                 "origin": origin or _at(doc, "servers", 0, "url") or "https://unknown.invalid", "method": method.upper(), "path": path, "operation_id": text_or(op.get("operationId")),
                 "summary": text_or(op.get("summary")) or (about or "")[:SUMMARY] or f"{method.upper()} {path}", "description": about,
                 "tags": [t for t in op.get("tags") or [] if isinstance(t, str)], "inputs": input_names(op, doc), "offers": offers, "paid": paid, "old_price": legacy_price(op) if paid else None,
-                "old_rails": legacy_rails(doc, op) if paid else [], "has200": bool(responses.get("200")), "has402": bool(responses.get("402")), "body": bool(op.get("requestBody")),
+                "old_rails": legacy_rails(doc, op) if paid else [], "has200": given(responses.get("200")), "has402": given(responses.get("402")), "body": given(op.get("requestBody")),
                 "title": text_or(info.get("title")), "about": text_or(info.get("description")), "guidance": guidance if guidance is None else str(guidance)[:GUIDANCE],
                 "categories": [c for c in service.get("categories") or [] if isinstance(c, str)],
             }
