@@ -113,7 +113,7 @@ def test_token_scores(spark):
 
 def test_guard_and_routing(spark):
     order = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "a"), (2, 2, "b"), (3, 1, "a")], "query_id int, rank int, intent_id string")
-    sup = spark.createDataFrame([(1, "b", 1.5), (2, "b", 1.5), (2, "a", 0.1), (3, "b", 2.0)], "query_id int, intent_id string, support double")
+    sup = spark.createDataFrame([(1, "b", 1.5, 1), (1, "c", 1.5, 2), (2, "b", 1.5, 1), (2, "a", 0.1, 2), (3, "b", 2.0, 1)], "query_id int, intent_id string, support double, first int")
     got = {(r["query_id"], r["rank"]): r["intent_id"] for r in arm.guard(order, sup).collect()}
     assert got == {(1, 1): "b", (1, 2): "a", (2, 1): "a", (2, 2): "b", (3, 1): "a"}
 

@@ -15,43 +15,42 @@ from .gate import is_thin
 SUPPORT_HITS, ARM_WEIGHT, SEARCH_WEIGHT, GUARD_LEAST, ROUTED = 8, 2.0, 1.0, 1.0, 12
 
 
-def rerank(arm: DataFrame, endpoints: DataFrame, tuning: Tuning = Tuning(), breadth: bool = False) -> DataFrame:
-    """The arm without thin endpoints, ranked anew; ``breadth`` takes the penalty of broad hosts off first."""
+def rerank(arm: DataFrame, endpoints: DataFrame, tuning: Tuning = Tuning(), breadth: float = 0.0) -> DataFrame:
+    """The arm without thin endpoints, ranked anew; ``breadth`` is taken off for each intent of a host over the threshold."""
     own = endpoints.select("id", is_thin().alias("thin"), F.coalesce("host_breadth", F.lit(0)).alias("b"))
     kept = arm.join(own, "id").where("NOT thin")
     if breadth:
-        over = F.greatest(F.lit(0), F.col("b") - tuning.breadth_threshold)
-        kept = kept.withColumn("score", F.col("score") - tuning.breadth_penalty / 100 * over)
+        kept = kept.withColumn("score", F.col("score") - breadth * F.greatest(F.lit(0), F.col("b") - tuning.breadth_threshold))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("rank"), "id")
     return kept.select("query_id", "id", "score", F.row_number().over(w).alias("rank"))
 
 
 def support(arm: DataFrame, endpoints: DataFrame, hits: int = SUPPORT_HITS) -> DataFrame:
-    """(query_id, intent_id, support): sum of 1 / rank over the capabilities of the first non-thin hits."""
+    """(query_id, intent_id, support, first): sum of 1 / rank over the capabilities of the first non-thin hits, and the
+    first place (rank, position) that names the intent, which breaks ties."""
     first = rerank(arm, endpoints).where(F.col("rank") <= hits)
-    each = first.join(endpoints.select("id", F.explode("capabilities").alias("intent_id")), "id")
-    return each.groupBy("query_id", "intent_id").agg(F.sum(1 / F.col("rank")).alias("support"))
+    each = first.join(endpoints.select("id", F.posexplode("capabilities").alias("cap", "intent_id")), "id")
+    # rounded, as sums in another order differ in their last bits
+    return each.groupBy("query_id", "intent_id").agg(F.round(F.sum(1 / F.col("rank")), 12).alias("support"), F.min(F.struct("rank", "cap")).alias("first"))
 
 
 def routing(arm: DataFrame, endpoints: DataFrame, order: DataFrame, k: int = ROUTED, rrf_k: int = 60) -> DataFrame:
-    """(query_id, rank, intent_id, score): intents of the arm's hits and of a search order (query_id, rank, intent_id),
-    fused by weighted reciprocal rank; an intent's rank in the arm is that of its first hit's intent."""
-    each = arm.join(endpoints.select("id", F.posexplode("capabilities").alias("cap", "intent_id")), "id")
-    first = each.groupBy("query_id", "intent_id").agg(F.min(F.struct("rank", "cap")).alias("at"))
-    own = first.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "intent_id")) - 1)
+    """(query_id, rank, intent_id, score): intents by the arm's support and by a search order (query_id, rank, intent_id),
+    fused by weighted reciprocal rank; ties go to the arm's order, then the search's."""
+    w = Window.partitionBy("query_id")
+    own = support(arm, endpoints).withColumn("r", F.row_number().over(w.orderBy(F.desc("support"), "first")) - 1)
     a = own.select("query_id", "intent_id", (ARM_WEIGHT / (rrf_k + F.col("r"))).alias("s"), F.lit(0).alias("o"), F.col("r"))
     b = order.select("query_id", "intent_id", (SEARCH_WEIGHT / (rrf_k + F.col("rank") - 1)).alias("s"), F.lit(1).alias("o"), (F.col("rank") - 1).alias("r"))
-    total = a.union(b).groupBy("query_id", "intent_id").agg(F.sum("s").alias("score"), F.min(F.struct("o", "r")).alias("at"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "at", "intent_id")
-    return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "intent_id", "score")
+    total = a.union(b).groupBy("query_id", "intent_id").agg(F.round(F.sum("s"), 12).alias("score"), F.min(F.struct("o", "r")).alias("at"))
+    return total.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "at"))).where(F.col("rank") <= k).select("query_id", "rank", "intent_id", "score")
 
 
 def guard(order: DataFrame, supports: DataFrame, least: float = GUARD_LEAST) -> DataFrame:
     """``order`` (query_id, rank, intent_id) with the arm's top intent first, where the first has no support at all,
     the arm's top has at least ``least``, and it is in the order already."""
     w = Window.partitionBy("query_id")
-    top = supports.withColumn("rn", F.row_number().over(w.orderBy(F.desc("support"), "intent_id"))).where("rn = 1").select("query_id", F.col("intent_id").alias("top_id"), F.col("support").alias("top_support"))
-    rows = order.join(supports, ["query_id", "intent_id"], "left").join(top, "query_id", "left").withColumn("n", F.count(F.lit(1)).over(w))
+    top = supports.withColumn("rn", F.row_number().over(w.orderBy(F.desc("support"), "first"))).where("rn = 1").select("query_id", F.col("intent_id").alias("top_id"), F.col("support").alias("top_support"))
+    rows = order.join(supports.drop("first"), ["query_id", "intent_id"], "left").join(top, "query_id", "left").withColumn("n", F.count(F.lit(1)).over(w))
     rows = rows.withColumn("bare", F.max(F.when((F.col("rank") == 1) & F.col("support").isNull(), 1)).over(w))
     up = F.coalesce((F.col("intent_id") == F.col("top_id")) & (F.col("bare") == 1) & (F.col("top_support") >= least) & (F.col("n") >= 2), F.lit(False))
     return rows.withColumn("rank", F.row_number().over(w.orderBy((~up).cast("int"), "rank"))).select("query_id", "rank", "intent_id")

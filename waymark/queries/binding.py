@@ -200,7 +200,7 @@ _ARM = (
     "arm AS (SELECT * FROM (SELECT query_id, id, ep_ord, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ep_ord) AS rank FROM ke) WHERE rank <= 10),\n"
     "ord AS (SELECT * FROM (SELECT query_id, intent_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, io) AS rank FROM ki) WHERE rank <= 5),\n"
     "thick AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, id) AS rank FROM arm JOIN e USING (id) WHERE has200 OR len(inputs) > 0),\n"
-    "sup AS (SELECT query_id, i.intent_id, sum(1.0 / thick.rank) AS support FROM thick JOIN caps USING (id) JOIN i ON i.ph = caps.ip WHERE thick.rank <= 8 GROUP BY 1, 2)"
+    "sup AS (SELECT query_id, i.intent_id, round(sum(1.0 / thick.rank), 12) AS support, min({'r': thick.rank, 'c': (ip - e.ph + 16) % 16}) AS fst FROM thick JOIN caps USING (id) JOIN e USING (id) JOIN i ON i.ph = caps.ip WHERE thick.rank <= 8 GROUP BY 1, 2)"
 )
 _ALL_ARM = with_(E, CAPS, I, Q, _SCORE_Q, _KI, _KE, _ARM)
 
@@ -288,16 +288,15 @@ ALL = {
     "arm_support": (arm_support, _ALL_ARM + "SELECT query_id, intent_id, round(support, 6) AS support FROM sup"),
     "arm_guard": (
         arm_guard,
-        _ALL_ARM + ", tp AS (SELECT query_id, intent_id AS top_id, support AS ts FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY support DESC, intent_id) rn FROM sup) WHERE rn = 1),\n"
+        _ALL_ARM + ", tp AS (SELECT query_id, intent_id AS top_id, support AS ts FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY support DESC, fst) rn FROM sup) WHERE rn = 1),\n"
         "gd AS (SELECT ord.*, coalesce(ord.intent_id = top_id AND ts >= 0.5 AND max(CASE WHEN ord.rank = 1 AND support IS NULL THEN 1 END) OVER (PARTITION BY ord.query_id) = 1 AND count(*) OVER (PARTITION BY ord.query_id) >= 2, false) AS up FROM ord LEFT JOIN sup USING (query_id, intent_id) LEFT JOIN tp USING (query_id))\n"
         "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY NOT up, rank) AS rank, intent_id FROM gd",
     ),
     "arm_routing": (
         arm_routing,
-        _ALL_ARM + ", capo AS (SELECT id, ip, row_number() OVER (PARTITION BY id ORDER BY (ip - ph + 16) % 16) - 1 AS cap FROM caps JOIN e USING (id)),\n"
-        "fa AS (SELECT query_id, intent_id, min({'r': arm.rank, 'c': cap}) AS pt FROM arm JOIN capo USING (id) JOIN i ON i.ph = ip GROUP BY 1, 2),\nown AS (SELECT query_id, intent_id, row_number() OVER (PARTITION BY query_id ORDER BY pt, intent_id) - 1 AS r FROM fa),\n"
+        _ALL_ARM + ", own AS (SELECT query_id, intent_id, row_number() OVER (PARTITION BY query_id ORDER BY support DESC, fst) - 1 AS r FROM sup),\n"
         "un AS (SELECT query_id, intent_id, 2.0 / (60 + r) AS s, {'o': 0, 'r': r} AS pt FROM own UNION ALL SELECT query_id, intent_id, 1.0 / (60 + rank - 1), {'o': 1, 'r': rank - 1} FROM ord)\n"
-        "SELECT query_id, rank, intent_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pt, intent_id) AS rank FROM (SELECT query_id, intent_id, sum(s) AS score, min(pt) AS pt FROM un GROUP BY 1, 2)) WHERE rank <= 12",
+        "SELECT query_id, rank, intent_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pt) AS rank FROM (SELECT query_id, intent_id, round(sum(s), 12) AS score, min(pt) AS pt FROM un GROUP BY 1, 2)) WHERE rank <= 12",
     ),
     "matched_capabilities": (
         matched_capabilities,
