@@ -28,13 +28,17 @@ def test_ids(spark):
         ("http://x.io:80/a", "http://x.io", "/a", "http://x.io/a"),
         ("http://x.io:8080/a", "http://x.io:8080", "/a", "http://x.io:8080/a"),
         ("no url", None, None, "no url"),
-        ("https://api.crushrewards.dev/v1/x", "https://api.crushrewards.dev", "/v1/x", "https://api.syntalic.com/v1/x"),
     ],
 )
 def test_urls(spark, url, origin, path, canonical):
     assert tuple(one(spark, ids.url_origin(F.lit(url)), ids.url_path(F.lit(url)), ids.canonical_url(F.lit(url)))) == (origin, path, canonical)
 
 
+def test_aliases(spark):
+    moved = {"https://old.io": "https://new.io"}
+    assert tuple(one(spark, ids.canonical_origin(F.lit("https://old.io/"), moved), ids.canonical_origin(F.lit("https://old.io/")), ids.canonical_origin(F.lit("https://x.io"), moved))) == ("https://new.io", "https://old.io", "https://x.io")
+
+
 def test_money(spark):
     s, i = (lambda x: F.lit(x).cast("string")), (lambda x: F.lit(x).cast("int"))
     usd = lambda a, d=None, t=None, c=None: money.base_units_to_usd(s(a), i(d), s(t), s(c))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .patterns import map_of
 
-#: Origins that moved.
-ORIGIN_ALIASES = {"https://api.crushrewards.dev": "https://api.syntalic.com"}
+#: Origins that moved, old to new; a deployment fills in its own.
+ORIGIN_ALIASES: dict[str, str] = {}
 
 HTTP_METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
 
@@ -31,9 +31,10 @@ def endpoint_id(origin: Column, method: Column, path: Column) -> Column:
     return F.sha2(F.concat_ws("|", bare_origin(origin), F.upper(method), rooted(path)), 256)
 
 
-def canonical_origin(url: Column) -> Column:
-    bare = bare_origin(url)
-    return F.coalesce(F.element_at(map_of(ORIGIN_ALIASES), bare), bare)
+def canonical_origin(url: Column, aliases: dict[str, str] | None = None) -> Column:
+    """An origin without its closing slash, or what it moved to."""
+    bare, known = bare_origin(url), ORIGIN_ALIASES if aliases is None else aliases
+    return F.coalesce(F.element_at(map_of(known), bare), bare) if known else bare
 
 
 def url_origin(url: Column) -> Column:

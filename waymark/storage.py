@@ -2,7 +2,7 @@
 
 A written table cuts lineage and survives lost executors. The folder is the one the cluster names in
 ``spark.checkpoint.dir``; where it is unset, a local session takes a folder of its own under the temp
-directory and a cluster session takes a folder beside its warehouse.
+directory and a cluster session takes a folder beside its warehouse. The tables go when the application ends.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_KNOWN: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
             local = sc.master.startswith("local[") or sc.master == "local"
             _OWN[app] = tempfile.mkdtemp(prefix="spark-waymark-") if local else spark.conf.get("spark.sql.warehouse.dir")
         top = _OWN[app]
-    return f"{top.rstrip('/')}/waymark-{app}"
+    path = f"{top.rstrip('/')}/waymark-{app}"
+    if path not in _KNOWN:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _KNOWN.add(path)
+    return path
 
 
 def new_path(spark: SparkSession, name: str) -> str:
