@@ -9,14 +9,16 @@ The ids are the same either way.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 
 import numpy as np
 
-#: Words a worker remembers before it starts afresh (about 250 bytes each).
-CACHE_WORDS = 600_000
+#: Words a worker remembers before it starts afresh (about 250 bytes each), and that it encodes as one text.
+CACHE_WORDS = 300_000
+AT_ONCE = 10_000
 
 _SAFE = re.compile(r"\n?[\x21-\x7e¡-ɏ]+").fullmatch
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -68,6 +70,15 @@ class Encoder:
         """Little-endian ids of each text, in the encoder's ``dtype``."""
         if not self.by_word:
             return self._whole(texts)
+        collects = gc.isenabled()
+        gc.disable()  # lists of words are no cycles, and the collector would walk them all
+        try:
+            return self._by_word(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _by_word(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > self.cache_words:
             self.words.clear()
         words = self.words
@@ -97,39 +108,47 @@ class Encoder:
         return out
 
     def _learn(self, missing: set[str]) -> None:
-        """Cache the ids of words that follow a space or, where they start with one, a line feed."""
+        """Cache the ids of words that follow a space or, where they start with one, a line feed.
+
+        Words of letters are one pre-token each, so all of them are encoded as one text; the rest one by one.
+        """
         words = self.words
         plain: list[str] = []
+        lines: list[str] = []
         other: list[str] = []
         ended: list[str] = []
         need = set()
         for w in missing:
-            if not _SAFE(w) or any(s in w for s in self.specials):
+            if w.isascii() and w.isalpha():
+                plain.append(w)
+            elif not _SAFE(w) or any(s in w for s in self.specials):
                 words[w] = False
             elif w[-1] in self.ends and w[-2:-1].isalnum():
                 ended.append(w)
-                if w[:-1] not in words:
+                if w[:-1] not in words and w[:-1] not in missing:
                     need.add(w[:-1])
             else:
                 need.add(w)
         for w in need:
-            (plain if w.isalpha() else other).append(w)
-        if plain:
-            e = self.tokenizer.encode(" " + " ".join(plain), add_special_tokens=False)
-            ids = np.asarray(e.ids, self.dtype).tobytes()
-            cuts = [0, *(np.flatnonzero(np.diff(np.asarray(e.word_ids, np.int64))) + 1).tolist(), len(e.ids)]
-            if len(cuts) == len(plain) + 1:
-                n = self.dtype.itemsize
-                words.update((w, ids[n * a : n * b]) for w, a, b in zip(plain, cuts, cuts[1:]))
-            else:
-                other += plain
+            (plain if w.isalpha() else lines if w[0] == "\n" and w[1:].isalpha() else other).append(w)
+        for found, before, tokens in ((plain, " ", 1), (lines, "", 2)):
+            for start in range(0, len(found), AT_ONCE):
+                group = found[start : start + AT_ONCE]
+                e = self.tokenizer.encode(before + before.join(group), add_special_tokens=False)
+                of = np.asarray(e.word_ids, np.int64) // tokens
+                cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(e.ids)]
+                if len(cuts) == len(group) + 1:
+                    ids, n = np.asarray(e.ids, self.dtype).tobytes(), self.dtype.itemsize
+                    words.update((w, ids[n * a : n * b]) for w, a, b in zip(group, cuts, cuts[1:]))
+                else:
+                    other += group
         if other:
             words.update(zip(other, self._whole([w if w[0] == "\n" else " " + w for w in other])))
         for w in ended:
             words[w] = words[w[:-1]] + self.ends[w[-1]]
 
 
-def groups(sizes: np.ndarray, most: int = 4_000_000, rows: int = 500):
+def groups(sizes: np.ndarray, most: int = 1_500_000, rows: int = 250):
     """Runs of rows of about ``most`` bytes and at most ``rows`` rows, so that one batch's work stays small."""
     start, total = 0, 0
     for k, n in enumerate(sizes.tolist()):
