@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import saved
-from .tokens import groups
+from .tokens import bounded, groups
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -204,7 +204,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_co
                 found = search.run([normal(t) for t in b.column(1).slice(start, end - start).to_pylist()])
                 yield _leak_batch([(ids[d], shared.value.ids[k], m, shared.value.sizes[k]) for d, k, m in found])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, LEAKS)
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, LEAKS)
 
 
 def _sizes(texts: pa.Array) -> np.ndarray:
@@ -220,7 +220,7 @@ def _leak_batch(rows: list[tuple]) -> pa.RecordBatch:
 def _joined(docs: DataFrame, items: DataFrame, threshold: float, id_col: str, text_col: str, item_col: str) -> DataFrame:
     """The same for any number of items: sketch values and document shingles meet in a shuffled join."""
     own = saved(items.select(F.col(item_col).cast("long").alias("item_id"), F.monotonically_increasing_id().alias("item_uid"), F.col(text_col).alias("item_text")), "items")
-    texts = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text")), "texts")
+    texts = saved(bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text")), "texts")
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -278,4 +278,4 @@ def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
                 keep[[d for d, _, _ in search.run([normal(t) for t in part.column(at).to_pylist()])]] = False
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

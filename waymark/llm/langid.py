@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import groups
+from .tokens import bounded, groups
 
 #: Labelled documents of each language, and symbols of each, that make its sample; the bound of the fit.
 SAMPLE_DOCS = 160
@@ -202,7 +202,7 @@ def predict(docs: DataFrame, automata: Automata, text_col: str = "text") -> Data
     """
     shared = docs.sparkSession.sparkContext.broadcast(automata)  # bounded by SAMPLE_TOTAL symbols
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("__text"))
+    rows = bounded(docs).select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("__text"))
     schema = T.StructType([*[f for f in docs.schema.fields if f.name in rest], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import bounded
+
 #: Phrases of plain mentions and their labels.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -131,7 +133,7 @@ def idf(docs: DataFrame, text_col: str = "text") -> dict[bytes, float]:
                         df[w] += 1
         yield pa.RecordBatch.from_arrays([pa.array([b"", *df], pa.binary()), pa.array([total, *df.values()], pa.int64())], names=["word", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = bounded(docs).select(F.col(text_col).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     n = {bytes(r["word"]): r["n"] for r in rows}
     total = n.pop(b"", 0)
     return {w: math.log((1 + total) / (1 + k)) for w, k in n.items()}
@@ -167,4 +169,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 cols = [pa.array(n, pa.int64()), pa.array(places, _PLACES), pa.array(base, pa.list_(pa.string())), pa.array(labels, pa.list_(pa.string())), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 500), *cols], names=["doc_id", "n_words", "places", "base_labels", "labels", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..storage import saved
 from .order import starts
-from .tokens import encoder, groups
+from .tokens import bounded, encoder, groups
 
 LENGTH = 2048
 END_ID = 1
@@ -94,7 +94,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
                     names=["doc_id", "uid", "key", "n", "ids"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, uid long, key long, n long, ids binary")
 
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import bounded
+
 #: Labelled documents of the fit, the first by a hash of their id.
 SAMPLE = 8000
 BITS = 18
@@ -130,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     grade = F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1)
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & F.col("quality").isNotNull())
     chosen = known.groupBy(F.col(id_col).alias("id")).agg(F.min(grade).alias("grade")).orderBy(F.xxhash64(F.lit("quality"), "id"), "id").limit(sample)
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+    rows = bounded(docs).where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,4 +181,4 @@ def score(docs: DataFrame, model: Model, keep_at: float = 0.5, id_col: str = "do
                 cols = [pa.array(tails.sum(1)), pa.array(tails[:, 0]), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= keep_at)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 500), *cols], names=["doc_id", "expected_grade", "p_clean", "p_good", "keep"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, expected_grade double, p_clean double, p_good double, keep boolean")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, expected_grade double, p_clean double, p_good double, keep boolean")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import groups
+from .tokens import bounded, groups
 
 KINDS = ("assign", "access", "hex")
 WINDOW = 20
@@ -140,7 +140,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 ]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 500), pa.array(rows, _SPAN)], names=["doc_id", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, spans array<{SPAN}>")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, spans array<{SPAN}>")
 
 
 MASK = "[SECRET]"
@@ -187,4 +187,4 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     if kind is not None and kind.typeName() not in ("long", "integer"):
         count = None
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..storage import saved
 from .graph import components
+from .tokens import bounded
 
 SHINGLE_WORDS = 4
 MOST_BITS = 4
@@ -68,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(x.as_buffer().to_pybytes()) if x.is_valid else 0 for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .order import starts
-from .tokens import encoder, groups
+from .tokens import bounded, encoder, groups
 
 END_ID = 2
 WINDOW = 16
@@ -111,7 +111,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
             yield b.filter(pa.array(keep))
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))
     sent = rows.mapInArrow(chunk, SCHEMA).repartition(n, "kind", "key").sortWithinPartitions("kind", "key")
     sent.mapInArrow(once, SCHEMA).write.partitionBy("kind").option("compression", "zstd").parquet(path)
 

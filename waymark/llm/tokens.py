@@ -16,6 +16,8 @@ import re
 
 import numpy as np
 
+#: Rows of texts that cross to Python at once; Spark's own default of 10,000 can be gigabytes of long texts.
+BATCH_ROWS = 1000
 #: Words a worker remembers before it starts afresh (about 250 bytes each), and that it encodes as one text.
 CACHE_WORDS = 300_000
 AT_ONCE = 10_000
@@ -24,6 +26,15 @@ _SAFE = re.compile(r"\n?[\x21-\x7e¡-ɏ]+").fullmatch
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+def bounded(docs):
+    """``docs``, in a session that sends at most ``BATCH_ROWS`` rows to Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
