@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import saved
 from .tokens import bounded
 
 #: Labelled documents of the fit, the first by a hash of their id.
@@ -136,11 +137,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [features(t).tobytes() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.binary())], names=["id", "grade", "features"])
-
-    got = rows.select("id", "grade", "text").mapInArrow(run, "id long, grade int, features binary").orderBy("id").collect()  # as many as sampled
-    return fit([np.frombuffer(r["features"], np.int32) for r in got], np.array([r["grade"] for r in got], np.int64))
+            lists = pa.array([features(t) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["id", "grade", "features"])
+
+    listed = saved(rows.select("id", "grade", "text").mapInArrow(run, "id long, grade int, features array<int>"), "quality-features")
+    # the features that tell grades apart are chosen where the documents are, so that only theirs reach the driver
+    of = [F.count_if(F.col("grade") == g).alias(f"n{g}") for g in range(GRADES)]
+    total = listed.agg(F.count(F.lit(1)).alias("n"), *of).first()
+    seen = listed.select("grade", F.explode(F.array_distinct("features")).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("seen"), *of)
+    z = F.lit(0.0)
+    for g in range(GRADES):
+        share = total[f"n{g}"] / max(1, total["n"])
+        z = F.greatest(z, F.abs(F.col(f"n{g}") - F.col("seen") * share) / F.sqrt(F.col("seen") * max(share * (1 - share), 1e-9)))
+    told = seen.where((F.col("seen") >= LEAST_DOCS) & (z >= LEAST_Z - 1e-6)).select("f")
+    own = listed.select("id", "grade", F.explode("features").alias("f")).join(F.broadcast(told), "f").groupBy("id", "grade").agg(F.sort_array(F.collect_list("f")).alias("fs"))
+    got = listed.select("id", "grade").join(own, ["id", "grade"], "left").orderBy("id").collect()  # as many as sampled
+    return fit([np.array(r["fs"] or [], np.int32) for r in got], np.array([r["grade"] for r in got], np.int64))
 
 
 def score(docs: DataFrame, model: Model, keep_at: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
