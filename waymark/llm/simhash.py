@@ -39,21 +39,23 @@ BLOCK = 4096
 _GENERATOR = 0b110001110101
 
 
-def fingerprint(data: bytes, words_per_shingle: int = SHINGLE_WORDS) -> int:
-    """SimHash of a UTF-8 text: a bit is 1 if it is set in over half of the shingles' hashes."""
+def hashes(data: bytes, words_per_shingle: int) -> np.ndarray:
+    """Hash of every shingle of a UTF-8 text, in order of the text; a shorter text is one shingle, a blank one has none."""
     import xxhash
 
     words = data.lower().split()  # of bytes: folds A-Z, cuts at space and \\x09-\\x0d
-    if not words:
-        return 0
     joined = b" ".join(words)
     hashed = xxhash.xxh64_intdigest
     n = len(words)
     if n <= words_per_shingle:
-        return hashed(joined, SEED)
+        return np.array([hashed(joined, SEED)] if n else [], np.uint64)
     ends = (np.cumsum(np.fromiter(map(len, words), np.int64, n)) + np.arange(n)).tolist()
     starts = [0, *[e + 1 for e in ends[: n - words_per_shingle]]]
-    h = np.fromiter([hashed(joined[a:b], SEED) for a, b in zip(starts, ends[words_per_shingle - 1 :])], np.uint64, n - words_per_shingle + 1)
+    return np.fromiter([hashed(joined[a:b], SEED) for a, b in zip(starts, ends[words_per_shingle - 1 :])], np.uint64, n - words_per_shingle + 1)
+
+
+def vote(h: np.ndarray) -> int:
+    """SimHash of shingles' hashes: a bit is 1 if it is set in over half of them."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 8192):
         part = h[k : k + 8192]
@@ -61,6 +63,11 @@ def fingerprint(data: bytes, words_per_shingle: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(data: bytes, words_per_shingle: int = SHINGLE_WORDS) -> int:
+    """SimHash of a UTF-8 text."""
+    return vote(hashes(data, words_per_shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the SimHash of every whole text as a signed 64-bit number; null texts count as empty (0)."""
 
@@ -281,11 +288,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id.
+    """``docs`` with one document of each group of near copies (:mod:`.nearcopies`): the one with the smallest doc_id.
 
     Repeated rows of that document count as one. Documents without an id can't be named by a group and stay.
     """
-    groups = near_duplicates(docs)
+    from .nearcopies import near_copies
+
+    groups = near_copies(docs)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).union(docs.where("doc_id IS NULL"))
