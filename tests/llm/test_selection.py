@@ -70,6 +70,25 @@ def test_language_held_out(spark, sf):
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held)
 
 
+def test_language_of_one_word(spark, sf):
+    """A label whose only text is one word takes nothing from the other languages, and gets its own word."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(-k, "quux", "aa") for k in range(1, 9)], docs.schema)
+    m = langid.fit(docs.union(rare))
+    assert m.langs[0] == "aa" and m.sizes[0] < 100 < 2000 < m.sizes[1:].min()
+    held = [r for r in docs.collect() if r["lang"] and r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    for most in (40, 400, 1 << 20):
+        got, _ = langid.classify(m, [r["text"][:most] for r in held])
+        assert sum(a == r["lang"] for a, r in zip(got, held)) >= 0.95 * len(held)
+    assert langid.classify(m, ["quux quux"])[0] == ["aa"]
+
+
+def test_many_short_languages_leave_the_rest():
+    long = "the cat sat on the mat and the dog sat too " * 1000
+    m = langid.build({"en": long, **{f"x{k}": "word" for k in range(200)}})
+    assert m.sizes[0] == langid.SAMPLE_SYMBOLS and set(m.sizes[1:]) == {4}
+
+
 def test_quality_learns_order():
     rng = np.random.default_rng(0)
     rows, grades = [], []

@@ -2,7 +2,9 @@
 
 For each language a suffix automaton is built from a bounded sample of labelled text. A text is parsed
 greedily into the longest phrases that occur in that sample; the fewer phrases per symbol, the lower the
-cross entropy of the text with that language. The language with the fewest normalised phrases wins.
+cross entropy of the text with that language. Samples need not be alike in length: a phrase costs the bits
+that name its place in the sample (with ``ROOM`` places more, so that short samples don't come cheap), and a
+symbol that a sample lacks costs a phrase of the longest sample and one bit. The language with the fewest bits wins.
 
 Symbols are lower-case letters; every run of other characters is one blank. Texts are parsed in blocks of
 ``BLOCK`` symbols, all blocks of a batch in step, so a phrase also ends at a block's end, for each language
@@ -27,9 +29,11 @@ from .tokens import bounded, groups
 SAMPLE_DOCS = 160
 SAMPLE_SLICE = 600
 SAMPLE_SYMBOLS = 32_768
-#: Symbols of all languages' samples together: with more languages each gets less.
+#: Symbols of all languages' samples together: with more languages the longest samples get less.
 SAMPLE_TOTAL = 1_000_000
 BLOCK = 512
+#: Places added to each sample's own when a phrase is priced.
+ROOM = 64
 UNKNOWN = "und"
 
 
@@ -66,6 +70,7 @@ class Automata:
     table: np.ndarray  # states x alphabet
     roots: np.ndarray  # languages x alphabet: where a phrase that begins with a symbol goes, or the root
     start: np.ndarray  # each language's root
+    sizes: np.ndarray  # symbols of each language's sample
 
     def encode(self, s: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.alphabet, s).clip(max=len(self.alphabet) - 1)
@@ -73,13 +78,28 @@ class Automata:
 
     def phrases(self, parts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (texts x languages)."""
+        return self._parse(parts)[0]
+
+    def bits(self, parts: list[np.ndarray]) -> np.ndarray:
+        """Bits that each text costs (texts x languages)."""
+        n, unseen = self._parse(parts)
+        price = np.log2(self.sizes + ROOM)
+        return (n - unseen) * price + unseen * (price.max(initial=0) + 1)
+
+    def _parse(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of each text, and how many of them are one symbol that the sample lacks."""
         n_sym = len(self.alphabet) + 1
         sizes = np.array([len(p) for p in parts])
         blocks = -(-sizes // BLOCK)
         out = np.zeros((len(parts), len(self.langs)), np.int64)
+        unseen = np.zeros_like(out)
         if not blocks.sum():
-            return out
+            return out, unseen
         all_syms = self.encode(np.concatenate(parts))
+        ends = np.cumsum(sizes)
+        for k in range(len(self.langs)):
+            before = np.append(0, np.cumsum((self.roots[k] == self.start[k])[all_syms]))
+            unseen[:, k] = before[ends] - before[ends - sizes]
         owner = np.repeat(np.arange(len(parts)), blocks)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         begin = (np.cumsum(sizes) - sizes)[owner] + nth * BLOCK
@@ -98,7 +118,7 @@ class Automata:
             count[:, :m] += new
             state[:, :m] = np.where(new, self.roots[:, c], now)
         np.add.at(out, owner, count.T)
-        return out
+        return out, unseen
 
 
 def automaton(s: list[int]) -> list[dict[int, int]]:
@@ -133,17 +153,19 @@ def automaton(s: list[int]) -> list[dict[int, int]]:
 
 
 def build(samples: dict[str, str]) -> Automata:
-    """One automaton for each language's sample; samples are cut to the shortest, so that all are alike."""
+    """One automaton for each language's sample, of its own length up to the bound that holds for all."""
     langs = sorted(samples)
-    most = min(SAMPLE_SYMBOLS, SAMPLE_TOTAL // max(1, len(langs)))
-    syms = {k: symbols(samples[k])[:most] for k in langs}
+    syms = {k: symbols(samples[k])[:SAMPLE_SYMBOLS] for k in langs}
+    left = SAMPLE_TOTAL
+    for done, k in enumerate(sorted(langs, key=lambda k: len(syms[k]))):  # what short samples leave goes to the longer ones
+        syms[k] = syms[k][: left // (len(langs) - done)]
+        left -= len(syms[k])
     langs = [k for k in langs if len(syms[k])]
-    shortest = min((len(syms[k]) for k in langs), default=0)
-    alphabet = np.unique(np.concatenate([np.zeros(1, np.uint32), *[syms[k][:shortest] for k in langs]]))
+    alphabet = np.unique(np.concatenate([np.zeros(1, np.uint32), *[syms[k] for k in langs]]))
     width = len(alphabet) + 1  # the last: a symbol of no sample
     tables, roots, start, at = [], [], [], 0
     for k in langs:
-        nxt = automaton(np.searchsorted(alphabet, syms[k][:shortest]).tolist())
+        nxt = automaton(np.searchsorted(alphabet, syms[k]).tolist())
         table = np.zeros((len(nxt), width), np.int32)
         for state, to in enumerate(nxt):
             for c, target in to.items():
@@ -157,7 +179,7 @@ def build(samples: dict[str, str]) -> Automata:
         at += len(nxt)
     # state 0 is the first root, which no transition leads to, so 0 can stand for none
     none = np.zeros((0, width), np.int32)
-    return Automata(langs, alphabet, np.concatenate(tables or [none]), np.array(roots, np.int32).reshape(len(langs), width), np.array(start, np.int64))
+    return Automata(langs, alphabet, np.concatenate(tables or [none]), np.array(roots, np.int32).reshape(len(langs), width), np.array(start, np.int64), np.array([len(syms[k]) for k in langs], np.int64))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Automata:
@@ -178,9 +200,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def classify(automata: Automata, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """Language and score of each text; the score is the winner's lead over the next, as a share of the next's phrases."""
+    """Language and score of each text; the score is the winner's lead over the next, as a share of the next's bits."""
     parts = [symbols(t) if t else np.zeros(0, np.uint32) for t in texts]
-    n = automata.phrases(parts)
+    n = automata.bits(parts)
     langs, scores = [], []
     for p, row in zip(parts, n):
         if not len(p) or not automata.langs:
@@ -197,7 +219,7 @@ def classify(automata: Automata, texts: list[str | None]) -> tuple[list[str], li
 def predict(docs: DataFrame, automata: Automata, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (columns of those names are replaced).
 
-    Null and empty texts, and texts without a letter, get ``und`` and 0.0; equal counts go to the language
+    Null and empty texts, and texts without a letter, get ``und`` and 0.0; equal costs go to the language
     first by name, with score 0.0. Without any labelled text every row gets ``und``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(automata)  # bounded by SAMPLE_TOTAL symbols
