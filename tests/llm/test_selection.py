@@ -198,6 +198,30 @@ def test_license_edges(spark, docs, none):
     assert len(out) == docs.count() and all(0 <= r["score"] <= 1 for r in out) and license.scan(none).count() == 0
 
 
+def test_license_every_template_in_one_file(spark):
+    from waymark.llm import license
+
+    everything = {t[0] for t in license.TEMPLATES}
+    for idf in ({}, {w: float(k % 7) for k, w in enumerate(sorted(license.Index({}).vocabulary))}):
+        index = license.Index(idf)
+        for order in (1, -1):
+            text = license.words(" and the other part of the file follows here ".join(t[1] for t in license.TEMPLATES[::order]))
+            assert index.match(text) == dict.fromkeys(everything, 1.0)
+        # half of the words, any of them changed, still name the place
+        for k, (label, notice, phrases) in enumerate(license.TEMPLATES):
+            kept = set(" ".join(phrases).split())
+            w = notice.split()
+            free = [i for i, x in enumerate(w) if x not in kept]
+            for first in (free, free[::-1]):
+                changed = set(first[: len(w) // 2])
+                text = license.words(" ".join("zzz" if i in changed else x for i, x in enumerate(w)))
+                assert label in index.match(text), (label, text)
+    several = " ".join(t[1] for t in license.TEMPLATES if t[0] in ("bsd", "isc", "mpl", "unlicense"))
+    docs = spark.createDataFrame([(1, several), (2, "the and of software")], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license.scan(docs).collect()}
+    assert got == {1: ["bsd", "isc", "mpl", "unlicense"], 2: []}
+
+
 def test_license_base(spark, sf):
     got = {r["doc_id"]: r for r in queries.op9_license(spark, sf).collect()}
     for doc_id, text in duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall():

@@ -1,10 +1,12 @@
 """Licence scan by a positional rare-token index.
 
-Licence words are those of the templates. Their document frequencies are counted over all files; a file
-looks its ``RARE`` licence words of the highest IDF up in the index (word -> template, position), and every
-occurrence votes for the place where the template would begin. Places where enough different words agree are
-candidates; one counts if the template's mandatory phrases all stand in the text from there on, and its score
-is the share of the template's words found at their relative positions, give or take ``SLACK`` words.
+Licence words are those of the templates. Their document frequencies are counted over all files. Each template
+whose mandatory phrases stand in a file has its own words of the highest IDF looked up there (word -> position),
+and every occurrence votes for the place where the template would begin. They are as many as it takes for any
+place that holds ``LEAST_SHARE`` of the template to have ``AGREE`` different ones of them, so no place is missed
+and no notice takes another's words. Places where so many agree are candidates; one counts if the mandatory
+phrases all stand in the text from there on, and its score is the share of the template's words found at their
+relative positions, give or take ``SLACK`` words.
 """
 
 from __future__ import annotations
@@ -44,7 +46,6 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
 )
 
-RARE = 12
 SLACK = 2
 #: Different rare words that must agree on a place, and the least share of a template's words.
 AGREE, LEAST_SHARE = 3, 0.5
@@ -64,12 +65,23 @@ class Index:
         self.labels = [t[0] for t in templates]
         self.template = [t[1].encode().split() for t in templates]
         self.mandatory = [[b" " + p.encode() + b" " for p in t[2]] for t in templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        for k, t in enumerate(self.template):
-            for pos, w in enumerate(t):
-                self.postings.setdefault(w, []).append((k, pos))
-        self.rank = {w: (-idf.get(w, 0.0), w) for w in self.postings}
-        self.vocabulary = frozenset(self.postings)
+        self.vocabulary = frozenset(w for t in self.template for w in t)
+        self.rare = [self._rarest(t, idf) for t in self.template]
+
+    @staticmethod
+    def _rarest(template: list[bytes], idf: dict[bytes, float]) -> dict[bytes, list[int]]:
+        """Positions of a template's words of the highest IDF, of as many as a place that counts can't do without."""
+        places: dict[bytes, list[int]] = {}
+        for pos, w in enumerate(template):
+            places.setdefault(w, []).append(pos)
+        least = math.ceil(LEAST_SHARE * len(template))
+        order = sorted(places, key=lambda w: (-idf.get(w, 0.0), w))
+        for n in range(AGREE, len(order)):
+            left_out = sum(len(places[w]) for w in order[n:])
+            repeated = sorted((len(places[w]) for w in order[:n]), reverse=True)
+            if least - left_out > sum(repeated[: AGREE - 1]):
+                return {w: places[w] for w in order[:n]}
+        return places
 
     def match(self, text: bytes) -> dict[str, float]:
         """Best score of each label in a text from :func:`words`."""
@@ -77,17 +89,21 @@ class Index:
         found = self.vocabulary.intersection(mine)
         if len(found) < AGREE:
             return {}
-        rare = set(sorted(found, key=self.rank.__getitem__)[:RARE])
+        live = [k for k, phrases in enumerate(self.mandatory) if all(p in text for p in phrases)]
+        if not live:
+            return {}
+        wanted = set().union(*[self.rare[k] for k in live])
         at: dict[bytes, list[int]] = {}
         for p, w in enumerate(mine):
-            if w in rare:
+            if w in wanted:
                 at.setdefault(w, []).append(p)
         votes: dict[tuple[int, int], set[bytes]] = {}
-        for w, places in at.items():
-            for k, pos in self.postings[w]:
-                for p in places:
-                    for d in range(-SLACK, SLACK + 1):
-                        votes.setdefault((k, p - pos + d), set()).add(w)
+        for k in live:
+            for w, positions in self.rare[k].items():
+                for p in at.get(w, ()):
+                    for pos in positions:
+                        for d in range(-SLACK, SLACK + 1):
+                            votes.setdefault((k, p - pos + d), set()).add(w)
         out: dict[str, float] = {}
         for (k, start), agreed in votes.items():
             label, template = self.labels[k], self.template[k]
