@@ -2,7 +2,7 @@
 
 A written table cuts lineage and survives lost executors. The folder is the one the cluster names in
 ``spark.checkpoint.dir``; where it is unset, a local session takes a folder of its own under the temp
-directory and a cluster session takes a folder beside its warehouse. The tables go when the application ends.
+directory, and a cluster session is told to set it. The tables go when the application ends.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not top:
         if app not in _OWN:
             local = sc.master.startswith("local[") or sc.master == "local"
-            _OWN[app] = tempfile.mkdtemp(prefix="spark-waymark-") if local else spark.conf.get("spark.sql.warehouse.dir")
+            if not local:
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            _OWN[app] = tempfile.mkdtemp(prefix="spark-waymark-")
         top = _OWN[app]
     path = f"{top.rstrip('/')}/waymark-{app}"
     if path not in _KNOWN:
@@ -50,6 +52,14 @@ def saved(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return out
 
 
+def partitions(df: DataFrame, factor: float = 1.0, most_bytes: int = 256 << 20) -> int:
+    """Shuffle partitions for ``factor`` times what Spark expects ``df`` to hold: as many as the session has, or
+    more where they would get over ``most_bytes``. Frames of unknown size get the session's."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if size > 1 << 53 else max(n, int(size * factor / most_bytes) + 1)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`saved` wrote and that nothing reads any more."""
     path = getattr(df, "_waymark_path", None)
