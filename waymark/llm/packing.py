@@ -86,7 +86,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
             texts = b.column(2)
             sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in texts])
             for i, j in groups(sizes):
-                ids = enc.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])
+                ids = enc.encode(texts.slice(i, j - i))
                 keys = curve_keys([np.frombuffer(x, enc.dtype) for x in ids])
                 n = np.array([len(x) // enc.dtype.itemsize + 1 for x in ids], np.int64)
                 yield pa.RecordBatch.from_arrays(

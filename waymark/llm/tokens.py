@@ -2,9 +2,10 @@
 
 Byte-level BPE merges only inside a pre-token, and the pre-tokens of a text whose blanks are single
 spaces and single line feeds are those of its space-separated words. Such texts are put together from
-the ids of their distinct words, each encoded once a worker by the library; every other text (double
-blanks, control characters, letters beyond Latin, special tokens) is encoded by the library as a whole.
-The ids are the same either way.
+the ids of their distinct words. A word not met before is cut into its pre-tokens by the pattern of the
+byte-level scheme, and the library's model encodes those that are new, thousands in one call. Every other
+text (double blanks, control characters, letters beyond Latin, special tokens) is encoded by the library as
+a whole. The ids are the same either way.
 """
 
 from __future__ import annotations
@@ -13,19 +14,44 @@ import gc
 import json
 import os
 import re
+import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Rows of texts that cross to Python at once; Spark's own default of 10,000 can be gigabytes of long texts.
 BATCH_ROWS = 1000
-#: Words a worker remembers before it starts afresh (about 250 bytes each), and that it encodes as one text.
-CACHE_WORDS = 300_000
+#: Words of a generation that a worker remembers (about 160 bytes each); it keeps the last two generations.
+CACHE_WORDS = 200_000
+#: Pre-tokens that one call of the library encodes.
 AT_ONCE = 10_000
 
-_SAFE = re.compile(r"\n?[\x21-\x7e¡-ɏ]+").fullmatch
+#: Characters whose class is the same in every edition of Unicode that a library may use.
+_KNOWN = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x250)]]
+
+
+def _class(kind: str) -> str:
+    return "".join(re.escape(c) for c in _KNOWN if unicodedata.category(c)[0] == kind)
+
+
+_STRANGE = r"[^\n\x20-\x7e\x{a1}-\x{24f}]"
+#: The byte-level scheme's pre-tokens, for words of these characters.
+_PRETOKENS = re.compile(rf"\n|'(?:s|t|re|ve|m|ll|d)|\x20?[{_class('L')}]+|\x20?[{_class('N')}]+|\x20?[^\s{_class('L')}{_class('N')}]+").findall
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+def _byte_letters() -> np.ndarray:
+    """The byte-level scheme's letter of each byte: itself if it is visible in Latin-1, else the next from U+0100 on.
+    The line feed, which no pre-token here holds, becomes the blank that cuts pre-tokens from each other."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    letters = np.arange(256, dtype="<u2")
+    letters[hidden] = 0x100 + np.arange(len(hidden))
+    letters[10] = 32
+    return letters
+
+
 def bounded(docs):
     """``docs``, in a session that sends at most ``BATCH_ROWS`` rows to Python at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -51,7 +77,7 @@ def encoder(path: str) -> "Encoder":
 class Encoder:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -66,97 +92,148 @@ class Encoder:
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space", True)
             and spec["model"]["type"] == "BPE"
-            and all(not s.isalnum() for s in self.specials)
+            and all("<" in s for s in self.specials)
         )
         self.cache_words = cache_words
-        self.words: dict[str, bytes | bool] = {}
+        self.words: dict[str, bytes | bool] = dict.fromkeys(("", "\n"), False)  # of words that follow a space or begin with a line feed
+        self.older: dict[str, bytes | bool] = {}
+        self.bare: dict[str, bytes] = {}  # of pre-tokens that follow no space
         if self.by_word:
             self.newline = len(self._whole(["\n"])[0])
             self.ends = {c: self._whole([c])[0] for c in ".,"}
+            self.bare["\n"] = self._whole(["\n"])[0]
+            self.model = Tokenizer.from_file(path)  # the same model, for pre-tokens in byte letters
+            self.model.encode_special_tokens = True
+            self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            self.letters = _byte_letters()
+            self.lengths = np.zeros(self.tokenizer.get_vocab_size(True), np.int64)  # bytes of each token
+            for token, k in spec["model"]["vocab"].items():
+                self.lengths[k] = len(token)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text, in the encoder's ``dtype``."""
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Little-endian ids of each text (null: none), in the encoder's ``dtype``."""
+        column = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
         if not self.by_word:
-            return self._whole(texts)
+            return self._whole(column.to_pylist())
         collects = gc.isenabled()
         gc.disable()  # lists of words are no cycles, and the collector would walk them all
         try:
-            return self._by_word(texts)
+            return self._by_word(column)
         finally:
             if collects:
                 gc.enable()
 
-    def _by_word(self, texts: list[str]) -> list[bytes]:
+    def _by_word(self, texts: pa.Array) -> list[bytes]:
         if len(self.words) > self.cache_words:
-            self.words.clear()
-        words = self.words
-        get = words.get
-        split = [("\n" + x).replace("\n", " \n").split(" ")[1:] for x in texts]
-        found = [list(map(get, p)) for p in split]
-        missing: set[str] = set()
-        for p, v in zip(split, found):
-            if None in v:
-                missing.update([w for w, ids in zip(p, v) if ids is None])
+            self.older, self.words = self.words, dict.fromkeys(("", "\n"), False)  # runs of blanks are one pre-token
+        if len(self.bare) > self.cache_words:
+            self.bare = {"\n": self.bare["\n"]}
+        strange = pc.match_substring_regex(texts, _STRANGE)
+        for s in self.specials:
+            strange = pc.or_(strange, pc.match_substring(texts, s))
+        plain = pc.if_else(strange, "", texts)
+        lines = pc.replace_substring(pc.binary_join_element_wise("\n", plain, ""), "\n", " \n")
+        split = pc.split_pattern(lines, " ")
+        coded = split.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        own = np.diff(split.offsets.to_numpy())
+        last = np.cumsum(own)
+        missing = set(known).difference(self.words)
         if missing:
             self._learn(missing)
-        out: list[bytes | None] = []
-        whole: list[int] = []
-        for k, (p, v) in enumerate(zip(split, found)):
-            if None in v:
-                v = list(map(get, p))
-            if not texts[k]:
-                out.append(b"")
-            elif False in v:
-                whole.append(k)
-                out.append(None)
-            else:
-                out.append(b"".join(v)[self.newline :])
-        for k, ids in zip(whole, self._whole([texts[k] for k in whole]) if whole else ()):
-            out[k] = ids
+        found = list(map(self.words.__getitem__, known))
+        whole = np.array([v is False for v in found])
+        ids = [v or b"" for v in found]
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        flat, begin = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(n) - n
+        first = np.zeros(len(at), bool)
+        first[last - own] = True  # what stands before the text's own line feed: nothing
+        odd = np.logical_or.reduceat(whole[at] & ~first, last - own) | strange.to_numpy(zero_copy_only=False)
+        count = np.where(first, 0, n[at])
+        end = np.cumsum(count)
+        data = flat[np.repeat(begin[at] - (end - count), count) + np.arange(end[-1])].tobytes()
+        until = end[last - 1] * self.dtype.itemsize
+        since = np.append(0, until[:-1]) + self.newline
+        odd &= (empty := pc.equal(texts, "").to_numpy(zero_copy_only=False)) == 0
+        out = [data[a:b] for a, b in zip(since.tolist(), until.tolist())]
+        for k in np.flatnonzero(empty).tolist():
+            out[k] = b""
+        if odd.any():
+            again = np.flatnonzero(odd)
+            for k, v in zip(again.tolist(), self._whole(texts.take(pa.array(again)).to_pylist())):
+                out[k] = v
         return out
 
     def _learn(self, missing: set[str]) -> None:
-        """Cache the ids of words that follow a space or, where they start with one, a line feed.
-
-        Words of letters are one pre-token each, so all of them are encoded as one text; the rest one by one.
-        """
-        words = self.words
-        plain: list[str] = []
-        lines: list[str] = []
-        other: list[str] = []
-        ended: list[str] = []
-        need = set()
+        """Cache the ids of words: those of the older generation, those of letters, and those put together from pre-tokens."""
+        words, older, bare, ends = self.words, self.older, self.bare, self.ends
+        spaced: list[str] = []  # to encode, with the space before
+        free: set[str] = set()  # to encode, without one
+        ended: list[str] = []  # a word and a mark
+        begun: list[str] = []  # a line feed and a word
+        parted: list[tuple[str, list[str]]] = []
+        more: set[str] = set()
+        again = [w for w in missing if w in older]
+        words.update(zip(again, map(older.__getitem__, again)))
+        missing.difference_update(again)
         for w in missing:
-            if w.isascii() and w.isalpha():
-                plain.append(w)
-            elif not _SAFE(w) or any(s in w for s in self.specials):
-                words[w] = False
-            elif w[-1] in self.ends and w[-2:-1].isalnum():
+            if w.isalpha():
+                spaced.append(w)
+            elif w[-1:] in ends and w[:-1].isalpha():
                 ended.append(w)
-                if w[:-1] not in words and w[:-1] not in missing:
-                    need.add(w[:-1])
+                w = w[:-1]
+                if w not in words and w not in missing:
+                    more.add(w)
+            elif w[:1] == "\n" and w[1:].isalpha():
+                begun.append(w)
+                if w[1:] not in bare:
+                    free.add(w[1:])
+            else:
+                parted.append((w, _PRETOKENS(w if w[0] == "\n" else " " + w)))
+        for _, parts in parted:
+            for p in parts:
+                if p[0] != " ":
+                    if p not in bare:
+                        free.add(p)
+                elif p[1:] not in words:
+                    more.add(p[1:])  # also if it is missing itself: then it is this one pre-token
+        for w in more:
+            ids = older.get(w)
+            if ids:
+                words[w] = ids
             else:
-                need.add(w)
-        for w in need:
-            (plain if w.isalpha() else lines if w[0] == "\n" and w[1:].isalpha() else other).append(w)
-        for found, before, tokens in ((plain, " ", 1), (lines, "", 2)):
-            for start in range(0, len(found), AT_ONCE):
-                group = found[start : start + AT_ONCE]
-                e = self.tokenizer.encode(before + before.join(group), add_special_tokens=False)
-                of = np.asarray(e.word_ids, np.int64) // tokens
-                cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(e.ids)]
-                if len(cuts) == len(group) + 1:
-                    ids, n = np.asarray(e.ids, self.dtype).tobytes(), self.dtype.itemsize
-                    words.update((w, ids[n * a : n * b]) for w, a, b in zip(group, cuts, cuts[1:]))
-                else:
-                    other += group
-        if other:
-            words.update(zip(other, self._whole([w if w[0] == "\n" else " " + w for w in other])))
+                spaced.append(w)
+        for k in range(0, len(spaced), AT_ONCE):
+            group = spaced[k : k + AT_ONCE]
+            words.update(zip(group, self._pretokens(group, " ")))
+        rest = list(free)
+        for k in range(0, len(rest), AT_ONCE):
+            group = rest[k : k + AT_ONCE]
+            bare.update(zip(group, self._pretokens(group, "")))
         for w in ended:
-            words[w] = words[w[:-1]] + self.ends[w[-1]]
+            words[w] = words[w[:-1]] + ends[w[-1]]
+        newline = bare["\n"]
+        for w in begun:
+            words[w] = newline + bare[w[1:]]
+        for w, parts in parted:
+            words[w] = b"".join([words[p[1:]] if p[0] == " " else bare[p] for p in parts])
+
+    def _pretokens(self, group: list[str], before: str) -> list[bytes]:
+        """Ids of pre-tokens, each with ``before`` in front: all are one text to the model, and the bytes of its tokens tell where each ends."""
+        raw = (before + ("\n" + before).join(group)).encode()
+        text = self.letters[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le")
+        e = self.model.encode_batch_fast([text], add_special_tokens=False)[0]
+        ids = np.asarray(e.ids, self.dtype)
+        cuts = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+        ends = np.append(cuts - np.arange(len(cuts)), len(raw) - len(cuts))  # in bytes, without the cuts
+        done = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+        at = [0, *(done * self.dtype.itemsize).tolist()]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(at, at[1:])]
 
 
 def groups(sizes: np.ndarray, most: int = 1_500_000, rows: int = 250):
