@@ -8,7 +8,7 @@ from waymark.storage import new_path
 
 from .conftest import ROWS
 
-ODD = ["", " ", "a  b", "x\n\ny", "tab\there", "naïve café, déjà.\nÉtat Ünder", "日本語 text", "<|endoftext|> hi", "don't can't. we'll,", "end \nstart", "1,234.5.\n42", "\nlead", "trail\n", "².x ½, ª.", "x<|endoftext|>.", "😀 ok", "a\x1cb", "word.\n***\nnext,", "a.. b,, .c"]
+ODD = ["", " ", "a  b", "x\n\ny", "tab\there", "naïve café, déjà.\nÉtat Ünder", "日本語 text", "<|endoftext|> hi", "don't can't. we'll,", "end \nstart", "1,234.5.\n42", "\nlead", "trail\n", "².x ½, ª.", "x<|endoftext|>.", "😀 ok", "a\x1cb", "word.\n***\nnext,", "a.. b,, .c", "a\n", "a\n\n", "\n\na", " a", "a ", "Ñandú,%%% l'été d'or.\nÇa!!", "x's 's .'s", "½cup ²", "ª º.", "12a34 a12,", "a\u00a0b", "a\u2019b", "."]
 
 
 @pytest.fixture(scope="module")
@@ -91,7 +91,10 @@ def test_store_round_trip(spark, docs, none, path):
         total += r["n_tokens"]
     named = [r["doc_id"] for r in sorted(back, key=lambda r: r["start"])]
     assert named == sorted(named, key=lambda i: -1 if i is None else i)
-    chunks = spark.read.parquet(at).where("kind = 'chunk'")
+    recipes = spark.read.parquet(f"{at}/recipes").select("doc_id", "start", "nth", "_metadata.file_name").orderBy("start").collect()
+    assert [r["nth"] for r in recipes] == list(range(len(want))) and [r["file_name"] for r in recipes] == sorted(r["file_name"] for r in recipes)
+    assert [r["doc_id"] for r in recipes] == sorted((i for i, _, _ in ROWS), key=lambda i: -1 if i is None else i)
+    chunks = spark.read.parquet(f"{at}/parts/kind=chunk")
     assert chunks.count() == chunks.select("key").distinct().count()
     empty = new_path(spark, "store")
     store.write(none, empty, path)
@@ -101,9 +104,28 @@ def test_store_round_trip(spark, docs, none, path):
 def test_damage_is_found(spark, docs, path):
     at, bad = new_path(spark, "store"), new_path(spark, "store")
     store.write(docs, at, path)
+    import shutil
+
     from pyspark.sql import functions as F
 
-    df = spark.read.parquet(at)
-    df.withColumn("payload", F.when(F.col("kind") == "chunk", F.concat("payload", F.lit(b"\0\0"))).otherwise(F.col("payload"))).write.partitionBy("kind").parquet(bad)
+    local = lambda p: p.removeprefix("file:")
+    shutil.copytree(local(at), local(bad))
+    shutil.rmtree(f"{local(bad)}/parts/kind=chunk")
+    spark.read.parquet(f"{at}/parts/kind=chunk").withColumn("payload", F.concat("payload", F.lit(b"\0\0"))).write.parquet(f"{bad}/parts/kind=chunk")
     with pytest.raises(Exception, match="damaged"):
         store.read_back(spark, bad).count()
+
+
+def test_a_lost_recipe_file_is_found(spark, docs, path, monkeypatch):
+    import glob
+    import os
+
+    monkeypatch.setattr(store, "FAN", 3)  # a tree of several levels
+    at = new_path(spark, "store")
+    store.write(docs, at, path)
+    assert store.read_back(spark, at).count() == len(ROWS)
+    assert spark.read.parquet(f"{at}/manifest").groupBy("level").count().count() > 1
+    files = sorted(glob.glob(f"{at.removeprefix('file:')}/recipes/part-*"))
+    os.remove(files[-1])
+    with pytest.raises(ValueError, match="lost or damaged"):
+        store.read_back(spark, at)

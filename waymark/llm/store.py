@@ -3,10 +3,13 @@
 A rolling hash over the last ``WINDOW`` ids cuts each document's id stream where it meets a mask, so equal
 passages give equal chunks wherever they stand. A chunk's address is the SHA-256 of its bytes; each distinct
 chunk is stored once. A document's recipe lists its chunks' addresses and the root of the Merkle tree over
-them. Reading back verifies every chunk against its address and every recipe against its root.
+them. Recipes are written in ascending order of doc_id, each with its place, ``nth``, and the number of ids
+before it. The manifest is the Merkle tree over the recipes: ``FAN`` neighbours make a node, up to one root.
 
-Layout: ``kind=chunk`` (key = address, payload = little-endian ids of the encoder's width) and
-``kind=recipe`` (payload = addresses, doc_id, uid, n_tokens, width, root), both Parquet.
+Layout, all Parquet: ``parts/kind=chunk`` (key = address, payload = little-endian ids of the encoder's width),
+``recipes`` (doc_id, uid, nth, start, n_tokens, width, payload = addresses, root; file k holds the k-th range)
+and ``manifest`` (level, node, n, digest). Reading back verifies every chunk against its address, every recipe
+against its root and length, and all recipes against the manifest, so a lost or changed file is an error.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, partitions, saved
 from .order import starts
 from .tokens import bounded, encoder, groups
 
@@ -30,10 +34,15 @@ MASK, MIN_IDS, MAX_IDS = 511, 64, 4096
 #: Addresses a task remembers, to send a frequent chunk once; the rest is settled after the shuffle.
 SEEN = 200_000
 
+#: Recipes, or nodes, under one node of the manifest.
+FAN = 1024
+
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _POLY = 0xEDB88320
 
 SCHEMA = "kind string, key binary, payload binary, doc_id long, uid long, n_tokens long, width int, root binary"
+RECIPES = "doc_id long, uid long, nth long, start long, n_tokens long, width int, payload binary, root binary"
+MANIFEST = "level int, node long, n long, digest string"
 NAMES = ["kind", "key", "payload", "doc_id", "uid", "n_tokens", "width", "root"]
 
 
@@ -83,7 +92,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
             sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in texts])
             for i, j in groups(sizes):
                 rows: list[tuple] = []
-                encoded = enc.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])
+                encoded = enc.encode(texts.slice(i, j - i))
                 for doc_id, uid, raw in zip(b.column(0).slice(i, j - i).to_pylist(), b.column(1).slice(i, j - i).to_pylist(), encoded):
                     raw += end
                     digests, last = [], 0
@@ -110,14 +119,67 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
             last = keys[-1] if keys else last
             yield b.filter(pa.array(keep))
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
     rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))
-    sent = rows.mapInArrow(chunk, SCHEMA).repartition(n, "kind", "key").sortWithinPartitions("kind", "key")
-    sent.mapInArrow(once, SCHEMA).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    sent = rows.mapInArrow(chunk, SCHEMA).repartition(partitions(rows), "kind", "key").sortWithinPartitions("kind", "key")
+    sent.mapInArrow(once, SCHEMA).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
+    loose = _read(spark, path, "recipe").select("doc_id", "uid", "n_tokens", "width", "payload", "root")
+    placed = starts(loose, ["doc_id", "uid"], "n_tokens")
+    # ``start`` rises from row to row, so its ranges are those of doc_id
+    ordered = placed.select(*[c.split()[0] for c in RECIPES.split(", ")]).repartitionByRange(partitions(loose), "start").sortWithinPartitions("start")
+    ordered.write.option("compression", "zstd").parquet(f"{path}/recipes")
+    for old in (placed, _At(spark, f"{path}/parts/kind=recipe")):
+        discard(old)
+    manifest(spark, path).write.option("compression", "zstd").parquet(f"{path}/manifest")
+
+
+class _At:
+    """Names a folder to :func:`discard`."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.sparkSession, self._waymark_path = spark, path
 
 
 def _read(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.schema(SCHEMA.replace("kind string, ", "") + ", kind string").parquet(path).where(F.col("kind") == kind)
+    return spark.read.schema(SCHEMA.replace("kind string, ", "") + ", kind string").parquet(f"{path}/parts").where(F.col("kind") == kind)
+
+
+def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RECIPES).parquet(f"{path}/recipes")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(level, node, n, digest) of the tree over a store's recipes; the last level has one node. No recipes give one node of none."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    leaf = F.sha2(F.concat_ws("|", text("doc_id"), "nth", "start", "n_tokens", F.hex("root")), 256)
+    level, levels = 1, []
+    below = _recipes(spark, path).select(F.col("nth").alias("place"), F.lit(1).cast("long").alias("n"), leaf.alias("digest"))
+    while True:
+        node = F.floor(F.col("place") / FAN).alias("node")
+        grouped = below.groupBy(node).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("place", "digest"))).alias("of"))  # FAN at most
+        at = saved(grouped.select(F.lit(level).alias("level"), "node", "n", F.sha2(F.array_join("of.digest", ""), 256).alias("digest")), "manifest")
+        levels.append(at)
+        if at.count() <= 1:
+            break
+        level, below = level + 1, at.select(F.col("node").alias("place"), "n", "digest")
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.union(more)
+    if out.isEmpty():
+        out = spark.range(1).select(F.lit(1).alias("level"), F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("n"), F.sha2(F.lit(""), 256).alias("digest"))
+    return out
+
+
+def verify_recipes(spark: SparkSession, path: str) -> None:
+    """Raises an error if the recipes aren't those that the manifest was made of."""
+    known, found = spark.read.schema(MANIFEST).parquet(f"{path}/manifest"), manifest(spark, path)
+    if known.isEmpty():
+        raise ValueError("the manifest is lost")
+    keys = ["level", "node", "n", "digest"]
+    odd = known.select(*keys).exceptAll(found.select(*keys)).union(found.select(*keys).exceptAll(known.select(*keys)))
+    worst = odd.orderBy("level", "node").first()
+    if worst is not None:
+        raise ValueError(f"recipes are lost or damaged: node {worst['node']} of level {worst['level']} of the manifest differs")
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -164,7 +226,7 @@ def verified_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def _recipe_parts(spark: SparkSession, path: str) -> DataFrame:
     """(uid, pos, key): every recipe's chunks."""
-    recipes = _read(spark, path, "recipe").select("uid", "payload")
+    recipes = _recipes(spark, path).select("uid", "payload")
     n = (F.octet_length("payload") / 32).cast("int")
     at = recipes.select("uid", "payload", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos"))
     return at.select("uid", "pos", F.substring("payload", F.col("pos") * 32 + 1, F.lit(32)).alias("key"))
@@ -173,22 +235,23 @@ def _recipe_parts(spark: SparkSession, path: str) -> DataFrame:
 def read_back(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the store's files alone.
 
-    Every chunk is read and held against its address, every recipe against its Merkle root and length; a
-    difference is an error. ``start`` counts the ids of all documents before it in ascending doc_id order
-    (nulls first, repeated ids as they were numbered).
+    The recipes are held against the manifest at once; every chunk against its address and every recipe against its
+    Merkle root and length as rows are read. A difference is an error. ``start`` counts the ids of all documents
+    before it in ascending doc_id order (nulls first, repeated ids as they were numbered).
     """
+    verify_recipes(spark, path)
     # a list for each document, as long as the document
     of = _recipe_parts(spark, path).join(verified_chunks(spark, path), "key", "left")
     lists = of.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("n_ids", F.lit(-1)).alias("n_ids"), F.coalesce("crc", F.lit(0)).alias("crc")))).alias("parts"))
-    recipes = _read(spark, path, "recipe").select("uid", "doc_id", "n_tokens", F.col("payload").alias("keys"), "root")
+    recipes = _recipes(spark, path).select("uid", "doc_id", "start", "n_tokens", F.col("payload").alias("keys"), "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            uid, doc_id, n_tokens = (b.column(k) for k in (0, 1, 2))
-            for u, total, keys, root in zip(uid.to_pylist(), n_tokens.to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
+            uid, doc_id, start, n_tokens = (b.column(k) for k in range(4))
+            for u, keys, root in zip(uid.to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist()):
                 if merkle([keys[k : k + 32] for k in range(0, len(keys), 32)]) != root:
                     raise ValueError(f"recipe {u} is damaged")
-            parts = b.column(5)
+            parts = b.column(6)
             sizes = np.diff(parts.offsets.to_numpy())
             flat = parts.flatten()
             n, crc = flat.field(1).to_numpy(zero_copy_only=False), flat.field(2).to_numpy(zero_copy_only=False)
@@ -203,10 +266,10 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
                 raise ValueError("a document's chunks have another length than its recipe")
             moved = shifted(crc.astype(np.uint32), after * 4)
             whole = np.bitwise_xor.reduceat(moved, base - sizes) if len(moved) else moved
-            yield pa.RecordBatch.from_arrays([uid, doc_id, n_tokens, pa.array(whole.astype(np.int64))], names=["uid", "doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([doc_id, start, n_tokens, pa.array(whole.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    docs = recipes.join(lists, "uid").select("uid", "doc_id", "n_tokens", "keys", "root", "parts").mapInArrow(run, "uid long, doc_id long, n_tokens long, ids_crc32 long")
-    return starts(docs, ["doc_id", "uid"], "n_tokens").select("doc_id", "start", "n_tokens", "ids_crc32")
+    joined = recipes.join(lists, "uid").select("uid", "doc_id", "start", "n_tokens", "keys", "root", "parts")
+    return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
@@ -221,4 +284,4 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
                 ids = [np.concatenate([np.frombuffer(p["payload"], f"<u{p['width']}").astype(np.int32) for p in parts]) for parts in b.column(2).slice(k, 64).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 64), b.column(1).slice(k, 64), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "uid", "ids"])
 
-    return _read(spark, path, "recipe").select("uid", "doc_id").join(lists, "uid").select("doc_id", "uid", "parts").mapInArrow(run, "doc_id long, uid long, ids array<int>")
+    return _recipes(spark, path).select("uid", "doc_id").join(lists, "uid").select("doc_id", "uid", "parts").mapInArrow(run, "doc_id long, uid long, ids array<int>")
