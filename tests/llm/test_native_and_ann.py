@@ -55,17 +55,64 @@ def test_pii_stays_native(spark, docs):
 def test_boosting_learns_and_calibrates():
     # bit 0 makes candidates pass, bit 1 spoils half of them
     table = {0: (500, 5), 1: (400, 398), 2: (500, 0), 3: (100, 50)}
-    m = pii.boost(table)
-    assert m.score(1) >= m.threshold > max(m.score(0), m.score(2), m.score(3))
-    assert pii.boost({}).threshold == pii.boost({0: (5, 0)}).threshold == float("inf")
+    m = pii.boost(table, table)
+    assert m.score(1) >= m.threshold > max(m.score(0), m.score(2), m.score(3)) and m.held_out == (400, 398)
+    none = float("inf")
+    assert pii.boost({}, {}).threshold == pii.boost({0: (5, 0)}, {0: (5, 0)}).threshold == none
+    assert pii.boost(table, {1: (3, 3)}).threshold == none  # three examples prove nothing
+    assert pii.boost(table, {1: (400, 200)}).threshold == none  # the other half says otherwise
 
 
 def test_tree_column_is_its_value(spark):
     from pyspark.sql import functions as F
 
-    m = pii.boost({b: (10 + b, b % 7) for b in range(64)})
+    table = {b: (10 + b, b % 7) for b in range(64)}
+    m = pii.boost(table, table)
     rows = spark.range(64).select(F.col("id").cast("int").alias("b"), m.column(F.col("id").cast("int")).alias("s")).collect()
-    assert all(abs(r["s"] - m.score(r["b"])) < 1e-9 for r in rows)
+    assert m.trees and all(abs(r["s"] - m.score(r["b"])) < 1e-9 for r in rows)
+
+
+#: By kind: base form, what can't be personal data, and a relaxed form that the method has to add.
+PLANTED = {
+    "email": ("mail me: ann{0}@host{0}.org today", "see x{0}@localhost;now", "mail me: ann{0} (at) host{0}.org today"),
+    "ip": ("login from 10.0.{0}.7 today", "version:1.2.3.{0}.5.6x", "login from 10[.]0[.]{0}[.]7 today"),
+    "card": ("paid by card 4111 1111 1111 1111 on day {0}", "id:x4111111111111{0:03}x", "paid by card 4111.1111.1111.1111 on day {0}"),
+    "phone": ("call +1 (555) 555-01{0:02} now", "x/2024-01-{0:02}/y", "call (555) 555-01{0:02} now"),
+}
+
+
+def test_the_trees_add_spans(spark):
+    """Through the whole query: every kind's relaxed forms are added, nothing else is, and the base stays."""
+    texts = [(form, k, f.format(n)) for n in range(10, 50) for k, forms in PLANTED.items() for form, f in enumerate(forms)]
+    df = spark.createDataFrame([(n, t) for n, (_, _, t) in enumerate(texts)], "doc_id long, text string")
+    added, wrong = dict.fromkeys(pii.KINDS, 0), []
+    for r in pii.spans(df).collect():
+        form, kind, text = texts[r["doc_id"]]
+        assert [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["base"]] == base_spans(text)
+        more = [s for s in r["spans"] if not s["base"]]
+        if form == 2 and [s["kind"] for s in more] == [kind]:
+            added[kind] += 1
+        else:
+            wrong += more
+    assert added == dict.fromkeys(pii.KINDS, 40) and not wrong
+    models = pii.fit(pii.candidates(df))
+    assert all(m.trees and m.held_out[1] >= pii.PRECISION * m.held_out[0] > 0 for m in models.values())
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    seconds = []
+    for n in (4_000, 16_000):
+        text = " ".join(f"é{k}@host{k}.org" for k in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        row = pii.spans(df).first()
+        seconds.append(time.time() - began)
+        assert len(row["spans"]) == n and row["spans"][-1]["end"] == len(text)
+        red = pii.redacted(df).first()["text"]
+        assert red == " ".join("é[PII]" for _ in range(n))
+    assert seconds[1] < 10 + 5 * seconds[0]
 
 
 def exact(ids, x, k):
