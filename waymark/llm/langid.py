@@ -32,6 +32,8 @@ SAMPLE_SYMBOLS = 32_768
 #: Symbols of all languages' samples together: with more languages the longest samples get less.
 SAMPLE_TOTAL = 1_000_000
 BLOCK = 512
+#: Cells of the table of frequent symbols' transitions (64 MB); those of rarer symbols are looked up in sorted keys.
+DENSE_CELLS = 1 << 24
 #: Places added to each sample's own when a phrase is priced.
 ROOM = 64
 UNKNOWN = "und"
@@ -63,18 +65,37 @@ def symbols(text: str) -> np.ndarray:
 
 @dataclass
 class Automata:
-    """Suffix automata of all languages in one table of transitions, 0 for none."""
+    """Suffix automata of all languages, their transitions in one table for frequent symbols and a sorted list for the
+    rest; 0 for none. Its size is bounded by the samples' symbols and ``DENSE_CELLS``."""
 
     langs: list[str]
     alphabet: np.ndarray  # code points, sorted
-    table: np.ndarray  # states x alphabet
+    code: np.ndarray  # of each of the alphabet: its number by frequency, and one more for a symbol of no sample
+    table: np.ndarray  # states x the most frequent symbols
+    keys: np.ndarray  # state * (alphabet + 1) + symbol of the other transitions, sorted
+    targets: np.ndarray  # of these keys
     roots: np.ndarray  # languages x alphabet: where a phrase that begins with a symbol goes, or the root
     start: np.ndarray  # each language's root
     sizes: np.ndarray  # symbols of each language's sample
 
     def encode(self, s: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.alphabet, s).clip(max=len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == s, at, len(self.alphabet))
+        return np.where(self.alphabet[at] == s, self.code[at], len(self.alphabet))
+
+    def follow(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Where each state (languages x texts) goes by each text's symbol."""
+        width = self.table.shape[1]
+        rare = np.flatnonzero(c >= width)
+        if not len(rare):
+            return self.table.reshape(-1)[state * width + c]
+        to = self.table.reshape(-1)[state * width + np.minimum(c, width - 1)]
+        if len(self.keys):
+            wanted = state[:, rare].astype(np.int64) * (len(self.alphabet) + 1) + c[rare]
+            at = np.searchsorted(self.keys, wanted).clip(max=len(self.keys) - 1)
+            to[:, rare] = np.where(self.keys[at] == wanted, self.targets[at], 0)
+        else:
+            to[:, rare] = 0
+        return to
 
     def phrases(self, parts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (texts x languages)."""
@@ -88,7 +109,6 @@ class Automata:
 
     def _parse(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text, and how many of them are one symbol that the sample lacks."""
-        n_sym = len(self.alphabet) + 1
         sizes = np.array([len(p) for p in parts])
         blocks = -(-sizes // BLOCK)
         out = np.zeros((len(parts), len(self.langs)), np.int64)
@@ -107,13 +127,13 @@ class Automata:
         order = np.argsort(-length, kind="stable")
         begin, length, owner = begin[order], length[order], owner[order]
         active = np.searchsorted(-length, -np.arange(BLOCK), side="left")  # blocks longer than t
-        flat, n_lang = self.table.reshape(-1), len(self.langs)
+        n_lang = len(self.langs)
         state = np.repeat(self.start[:, None], len(begin), axis=1)
         count = np.zeros((n_lang, len(begin)), np.int32)
         for t in range(int(length[0])):
             m = int(active[t])
             c = all_syms[begin[:m] + t]
-            now = flat[state[:, :m] * n_sym + c]
+            now = self.follow(state[:, :m], c)
             new = now == 0
             count[:, :m] += new
             state[:, :m] = np.where(new, self.roots[:, c], now)
@@ -161,25 +181,36 @@ def build(samples: dict[str, str]) -> Automata:
         syms[k] = syms[k][: left // (len(langs) - done)]
         left -= len(syms[k])
     langs = [k for k in langs if len(syms[k])]
-    alphabet = np.unique(np.concatenate([np.zeros(1, np.uint32), *[syms[k] for k in langs]]))
+    alphabet, often = np.unique(np.concatenate([np.zeros(1, np.uint32), *[syms[k] for k in langs]]), return_counts=True)
+    code = np.empty(len(alphabet), np.int64)
+    code[np.argsort(-often, kind="stable")] = np.arange(len(alphabet))
     width = len(alphabet) + 1  # the last: a symbol of no sample
-    tables, roots, start, at = [], [], [], 0
+    roots, start, at = [], [], 0
+    states: list[np.ndarray] = []
+    by: list[np.ndarray] = []
+    to: list[np.ndarray] = []
     for k in langs:
-        nxt = automaton(np.searchsorted(alphabet, syms[k]).tolist())
-        table = np.zeros((len(nxt), width), np.int32)
-        for state, to in enumerate(nxt):
-            for c, target in to.items():
-                table[state, c] = target + at
-        first = table[0].copy()
-        first[first == 0] = at
-        table[0] = 0  # at the root a phrase begins
-        tables.append(table)
+        nxt = automaton(code[np.searchsorted(alphabet, syms[k])].tolist())
+        first = np.full(width, at, np.int32)
+        first[list(nxt[0].keys())] = np.array(list(nxt[0].values()), np.int32) + at
+        nxt[0] = {}  # at the root a phrase begins
+        states.append(np.repeat(np.arange(len(nxt)), [len(x) for x in nxt]) + at)
+        by.append(np.fromiter((c for x in nxt for c in x), np.int64))
+        to.append(np.fromiter((t for x in nxt for t in x.values()), np.int64) + at)
         roots.append(first)
         start.append(at)
         at += len(nxt)
+    state, c, target = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (states, by, to))
     # state 0 is the first root, which no transition leads to, so 0 can stand for none
-    none = np.zeros((0, width), np.int32)
-    return Automata(langs, alphabet, np.concatenate(tables or [none]), np.array(roots, np.int32).reshape(len(langs), width), np.array(start, np.int64), np.array([len(syms[k]) for k in langs], np.int64))
+    dense = max(1, min(len(alphabet), DENSE_CELLS // max(1, at)))
+    table = np.zeros((max(1, at), dense), np.int32)
+    often = c < dense
+    table[state[often], c[often]] = target[often]
+    keys = state[~often] * width + c[~often]
+    order = np.argsort(keys)
+    sizes = np.array([len(syms[k]) for k in langs], np.int64)
+    first = np.array(roots, np.int32).reshape(len(langs), width)
+    return Automata(langs, alphabet, code, table, keys[order], target[~often][order].astype(np.int32), first, np.array(start, np.int64), sizes)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Automata:
@@ -216,16 +247,18 @@ def classify(automata: Automata, texts: list[str | None]) -> tuple[list[str], li
     return langs, scores
 
 
-def predict(docs: DataFrame, automata: Automata, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (columns of those names are replaced).
+def predict(docs: DataFrame, automata: Automata, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
+    """``docs`` with a language and a score, in columns that are replaced if ``docs`` has such.
 
     Null and empty texts, and texts without a letter, get ``und`` and 0.0; equal costs go to the language
-    first by name, with score 0.0. Without any labelled text every row gets ``und``.
+    first by name, with score 0.0. Without any labelled text every row gets ``und``. Repeated rows are told each
+    by itself; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(automata)  # bounded by SAMPLE_TOTAL symbols
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    shared = docs.sparkSession.sparkContext.broadcast(automata)  # bounded by SAMPLE_TOTAL symbols and DENSE_CELLS
+    rest = [c for c in docs.columns if c not in (lang_as, score_as)]
     rows = bounded(docs).select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("__text"))
-    schema = T.StructType([*[f for f in docs.schema.fields if f.name in rest], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kept = [f for f in docs.schema.fields if f.name in rest]
+    schema = T.StructType([*kept, T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -235,12 +268,16 @@ def predict(docs: DataFrame, automata: Automata, text_col: str = "text") -> Data
                 part = b.slice(start, end - start)
                 langs, scores = classify(shared.value, part.column(part.num_columns - 1).to_pylist())
                 cols = [part.column(k) for k in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*rest, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*rest, lang_as, score_as])
 
     return rows.mapInArrow(run, schema)
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose language can't be told: null text, no letter."""
-    known = predict(docs, fit(docs)).where(F.col("lang_pred") != UNKNOWN)
-    return known.select(*docs.columns)
+    """``docs`` without those whose language can't be told: null, empty and blank texts, and texts without a letter.
+
+    All columns are kept as they are, also those with the names of :func:`predict`'s. Repeated rows and null ids
+    are told each by itself; an empty table gives no rows; without any labelled text nothing is kept.
+    """
+    known = predict(docs, fit(docs), lang_as="__lang_pred", score_as="__score").where(F.col("__lang_pred") != UNKNOWN)
+    return known.select(*[F.col(f"`{c}`") for c in docs.columns])
