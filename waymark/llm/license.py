@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +84,18 @@ class Index:
                 return {w: places[w] for w in order[:n]}
         return places
 
+    def _agreed(self, k: int, places: dict[bytes, np.ndarray]) -> list[int]:
+        """Where a template may begin: places that enough of its rare words agree on, give or take ``SLACK`` words."""
+        rare = self.rare[k]
+        starts = [(n, (places[w][:, None] - np.array(pos)).ravel()) for n, (w, pos) in enumerate(rare.items()) if w in places]
+        if not starts:
+            return []
+        word = np.repeat([n for n, _ in starts], [len(x) for _, x in starts])
+        begin = np.concatenate([x for _, x in starts])
+        each = np.unique(np.concatenate([(begin + d) * len(rare) + word for d in range(-SLACK, SLACK + 1)]))  # a word votes once for a place
+        at, n = np.unique(each // len(rare), return_counts=True)
+        return at[n >= min(AGREE, len(set(self.template[k])))].tolist()
+
     def match(self, text: bytes) -> dict[str, float]:
         """Best score of each label in a text from :func:`words`."""
         mine = text.split()
@@ -97,27 +110,20 @@ class Index:
         for p, w in enumerate(mine):
             if w in wanted:
                 at.setdefault(w, []).append(p)
-        votes: dict[tuple[int, int], set[bytes]] = {}
-        for k in live:
-            for w, positions in self.rare[k].items():
-                for p in at.get(w, ()):
-                    for pos in positions:
-                        for d in range(-SLACK, SLACK + 1):
-                            votes.setdefault((k, p - pos + d), set()).add(w)
+        places = {w: np.array(p) for w, p in at.items()}
         out: dict[str, float] = {}
-        for (k, start), agreed in votes.items():
+        for k in live:
             label, template = self.labels[k], self.template[k]
-            if len(agreed) < min(AGREE, len(set(template))):
-                continue
-            lo, hi = max(0, start - SLACK), start + len(template) + SLACK
-            near = mine[lo:hi]
-            where = b" " + b" ".join(near) + b" "
-            if not all(p in where for p in self.mandatory[k]):
-                continue
-            hit = sum(w in near[max(0, start + i - SLACK - lo) : max(0, start + i + SLACK + 1 - lo)] for i, w in enumerate(template))
-            score = hit / len(template)
-            if score >= LEAST_SHARE and score > out.get(label, 0.0):
-                out[label] = score
+            for start in self._agreed(k, places):
+                lo, hi = max(0, start - SLACK), start + len(template) + SLACK
+                near = mine[lo:hi]
+                where = b" " + b" ".join(near) + b" "
+                if not all(p in where for p in self.mandatory[k]):
+                    continue
+                hit = sum(w in near[max(0, start + i - SLACK - lo) : max(0, start + i + SLACK + 1 - lo)] for i, w in enumerate(template))
+                score = hit / len(template)
+                if score >= LEAST_SHARE and score > out.get(label, 0.0):
+                    out[label] = score
         return out
 
 
