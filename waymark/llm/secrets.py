@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +24,14 @@ KINDS = ("assign", "access", "hex")
 WINDOW = 20
 #: Least entropy, in bits a character, of a candidate's highest window, by its alphabet.
 THRESHOLDS = {"hex": 3.0, "base36": 3.6, "base64": 3.9}
+#: A word of one case, with a capital perhaps, or a few of them run together; a random key has no such parts.
+_WORD = r"(?:[A-Z]?[a-z]{1,32}|[A-Z]{1,32})(?:[A-Z][a-z]{2,32})*\d{0,4}"
 #: Shapes of ordinary strings: UUIDs, dates and times, dotted names and numbers, words joined by hyphens, dots, slashes or underscores.
 ALLOW = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     r"\d{4}-\d\d-\d\d([T_ ]?\d\d.?\d\d.?\d\d[.\dZ+-]*)?",
     r"[+\d][\d./=_-]*",
-    r"[A-Za-z]+([./_=+-]+[A-Za-z]+)*[./_=+-]*",
-    r"([A-Za-z]+|\d{1,4})([./_=-]+([A-Za-z]+|\d{1,4}))*[./_=-]*",
+    rf"[./_=+-]*(?:{_WORD}|\d{{1,4}})([./_=+-]+(?:{_WORD}|\d{{1,4}}))*[./_=+-]*",
     r"(.)\1*",
 )
 
@@ -106,19 +108,39 @@ class Scanner:
             out += [("assign", m.start(), m.end(), True) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
         if b"AKIA" in data:
             out += [("access", m.start(), m.end(), True) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
-        chars = (lambda k: k) if len(data) == len(text) else (lambda k: len(data[:k].decode("utf-8", "surrogatepass")))
+        if len(data) == len(text):
+            at = None
+        else:  # characters before each byte
+            at = np.append(0, np.cumsum((b & 0xC0) != 0x80, dtype=np.int64))
+        chars = (lambda k: k) if at is None else (lambda k: int(at[k]))
         out += [("hex", chars(i), chars(j), True) for i, j in _runs(_HEX[b], 16)]
         found = [(k, i, j, base, window_entropy(text[i:j].encode("utf-8", "surrogatepass"), self.window)) for k, i, j, base in out]
+        taken = _merged([(i, j) for _, i, j, _ in out])
+        ends = [j for _, j in taken]
         for i, j in _runs(_KEYLIKE[b], self.window):
-            e = self.secret(data[i:j].decode())
-            if e is not None:
-                i, j = chars(i), chars(j)
-                if not any(x < j and i < y for _, x, y, _, _ in found):  # else a pattern has it
-                    found.append(("entropy", i, j, False, e))
+            run, begin, end = data[i:j].decode(), chars(i), chars(j)
+            k, last = bisect_left(ends, begin + 1), begin
+            while last < end:  # what the patterns leave of the run
+                x, y = taken[k] if k < len(taken) else (end, end)
+                x = min(max(x, last), end)
+                if x - last >= self.window and (e := self.secret(run[last - begin : x - begin])) is not None:
+                    found.append(("entropy", last, x, False, e))
+                last, k = max(x, y), k + 1
         order = {k: n for n, k in enumerate((*KINDS, "entropy"))}
         return sorted(found, key=lambda x: (x[1], order[x[0]], x[2]))
 
 
+def _merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, joined where they overlap."""
+    out: list[tuple[int, int]] = []
+    for i, j in sorted(pairs):
+        if out and i < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], j))
+        else:
+            out.append((i, j))
+    return out
+
+
 SPAN = "struct<kind:string,start:long,end:long,base:boolean,entropy:double>"
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("entropy", pa.float64())]))
 
@@ -126,6 +148,7 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans) of every row of ``docs``, by start.
 
+    The patterns' spans come first; what they leave of a run of key-like characters is judged by its entropy.
     Null and empty texts have none. Repeated rows and null ids are scanned each by itself; an empty table
     gives no rows; other columns are not read.
     """
@@ -149,20 +172,18 @@ MASK = "[SECRET]"
 def redact(text: str, found: list[tuple]) -> str:
     """A text with its spans, joined where they overlap, replaced by ``MASK``."""
     out, at = [], 0
-    merged: list[list[int]] = []
-    for _, i, j, *_ in sorted(found, key=lambda s: s[1:3]):
-        if merged and i < merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], j)
-        else:
-            merged.append([i, j])
-    for i, j in merged:
+    for i, j in _merged([s[1:3] for s in found]):
         out += [text[at:i], MASK]
         at = j
     return "".join([*out, text[at:]])
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced, and ``n_chars`` (where there is one) counted anew for those."""
+    """``docs`` with every secret in ``text`` replaced, and ``n_chars`` (where there is one) counted anew for those.
+
+    Null and empty texts stay as they are; repeated rows and null ids are scanned each by itself; an empty table gives
+    no rows; other columns, of whatever name, are kept. Time is linear in a text's length.
+    """
     columns = docs.columns
     at, count = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
     kind = docs.schema["n_chars"].dataType if count is not None else None
