@@ -17,7 +17,10 @@ def ascii_words(pattern: str) -> str:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    return text.rlike(ascii_words(pattern))
+    """Whether a pattern occurs in a text. On texts of ASCII alone Java's own word boundaries are the same, and faster."""
+    if r"\b" not in pattern:
+        return text.rlike(pattern)
+    return F.when(F.length(text) == F.octet_length(text), text.rlike(pattern)).otherwise(text.rlike(ascii_words(pattern)))
 
 
 def squeeze(text: Column) -> Column:

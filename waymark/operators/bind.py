@@ -72,25 +72,40 @@ def decide(scores: DataFrame, key: str, tuning: Tuning = Tuning()) -> DataFrame:
     then sparse must be strong, or dense must lead the best other by the margin (a sole intent always does).
     Returns one row a candidate: key, intent_id, place, promoted, slot (in the top k), sparse_ok, bound.
     """
+    return _decided(_ranked(scores, key), key, [tuning]).drop("setting")
+
+
+def _ranked(scores: DataFrame, key: str) -> DataFrame:
+    """``scores`` with what no setting changes: both ranks (from 0) over all intents, and the two best dense scores."""
     part = Window.partitionBy(key)
-    d_rank = F.row_number().over(part.orderBy(F.desc("dense"), "intent_ord")) - 1
-    s_rank = F.row_number().over(part.orderBy(F.desc("sparse"), "intent_ord")) - 1
-    ranked = scores.withColumn("d", d_rank).withColumn("s", s_rank)
+    ranks = {"d": F.row_number().over(part.orderBy(F.desc("dense"), "intent_ord")) - 1, "s": F.row_number().over(part.orderBy(F.desc("sparse"), "intent_ord")) - 1}
     first = F.max(F.when(F.col("d") == 0, F.col("dense"))).over(part)
     second = F.coalesce(F.max(F.when(F.col("d") == 1, F.col("dense"))).over(part), F.lit(float("-inf")))
-    ranked = ranked.withColumn("best", first).withColumn("second", second)
-    floor = F.lit(tuning.dense_floor)
-    for intent, own in tuning.floor_overrides.items():
-        floor = F.when(F.col("intent_id") == intent, own).otherwise(floor)
-    dense_ok = F.col("dense") >= floor
-    ranked = ranked.withColumn("promoted", ~dense_ok & (F.col("sparse") >= tuning.strong_sparse_floor)).where(dense_ok | F.col("promoted"))
-    rrf = 1 / (tuning.rrf_k + F.col("d")) + 1 / (tuning.rrf_k + F.col("s"))
-    place = F.row_number().over(part.orderBy(F.col("promoted").cast("int"), F.desc(rrf), "intent_ord"))
-    lead = F.col("dense") - F.when(F.col("dense") >= F.col("best"), F.col("second")).otherwise(F.col("best"))
-    told = (F.col("sparse") >= tuning.strong_sparse_floor) | (lead >= tuning.dense_margin)
-    out = ranked.withColumn("place", place).withColumn("slot", F.col("place") <= tuning.top_k)
-    out = out.withColumn("sparse_ok", F.col("slot") & (F.col("sparse") >= tuning.sparse_floor)).withColumn("bound", F.col("sparse_ok") & told)
-    return out.select(key, "intent_id", "place", "promoted", "slot", "sparse_ok", "bound", "dense", "sparse")
+    return scores.withColumns(ranks).withColumns({"best": first, "second": second})
+
+
+def _decided(ranked: DataFrame, key: str, settings: list[Tuning]) -> DataFrame:
+    """The candidates of each setting, numbered from 0, in one pass over ``ranked``."""
+    c = F.col
+
+    def of(value) -> Column:
+        """A value of the row's setting."""
+        return F.element_at(F.array(*[F.lit(float(value(t))) for t in settings]), c("setting") + 1)
+
+    floor = of(lambda t: t.dense_floor)
+    for k, t in enumerate(settings):
+        for intent, own in t.floor_overrides.items():
+            floor = F.when((c("setting") == k) & (c("intent_id") == intent), own).otherwise(floor)
+    rows = ranked.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(settings) - 1))).alias("setting"))
+    strong = c("sparse") >= of(lambda t: t.strong_sparse_floor)
+    rows = rows.withColumn("promoted", ~(c("dense") >= floor) & strong).where((c("dense") >= floor) | c("promoted"))
+    rrf = 1 / (of(lambda t: t.rrf_k) + c("d")) + 1 / (of(lambda t: t.rrf_k) + c("s"))
+    place = F.row_number().over(Window.partitionBy("setting", key).orderBy(c("promoted").cast("int"), F.desc(rrf), "intent_ord"))
+    lead = c("dense") - F.when(c("dense") >= c("best"), c("second")).otherwise(c("best"))
+    told = strong | (lead >= of(lambda t: t.dense_margin))
+    out = rows.withColumn("place", place).withColumn("slot", c("place") <= of(lambda t: t.top_k))
+    out = out.withColumn("sparse_ok", c("slot") & (c("sparse") >= of(lambda t: t.sparse_floor))).withColumn("bound", c("sparse_ok") & told)
+    return out.select("setting", key, "intent_id", "place", "promoted", "slot", "sparse_ok", "bound", "dense", "sparse")
 
 
 def score_table(endpoints: DataFrame, intents: DataFrame, key: str, text: Column, intent_text: Column, dense: DataFrame) -> DataFrame:
@@ -134,12 +149,12 @@ def capabilities(endpoints: DataFrame, decided: DataFrame, key: str) -> DataFram
 def floor_sweep(scores: DataFrame, key: str, settings: list[Tuning]) -> DataFrame:
     """(setting, bound, promoted_sparse, gated_sparse, gated_margin): the binding decided anew for each setting.
 
-    Scores are read once; the ranks do not depend on the settings, so each setting is a filter on them.
+    Scores are ranked once; each setting takes its candidates from the ranked rows, all in one pass.
     """
-    out = None
-    for k, t in enumerate(settings):
-        each = decide(scores, key, t).groupBy(key).agg(F.max("bound").alias("b"), F.max(F.col("bound") & F.col("promoted")).alias("p"), F.max("sparse_ok").alias("s"))
-        one = each.agg(F.count_if("b").alias("bound"), F.count_if("p").alias("promoted_sparse"), F.count_if(~F.col("b") & ~F.col("s")).alias("gated_sparse"), F.count_if(~F.col("b") & F.col("s")).alias("gated_margin"))
-        one = one.select(F.lit(k).alias("setting"), "*")
-        out = one if out is None else out.union(one)
-    return out
+    flags = {"b": F.max("bound"), "p": F.max(F.col("bound") & F.col("promoted")), "s": F.max("sparse_ok")}
+    each = _decided(_ranked(scores, key), key, settings).groupBy("setting", key).agg(*[f.alias(n) for n, f in flags.items()])
+    counts = each.groupBy("setting").agg(
+        F.count_if("b").alias("bound"), F.count_if("p").alias("promoted_sparse"), F.count_if(~F.col("b") & ~F.col("s")).alias("gated_sparse"), F.count_if(~F.col("b") & F.col("s")).alias("gated_margin")
+    )
+    asked = scores.sparkSession.range(len(settings)).select(F.col("id").cast("int").alias("setting"))
+    return asked.join(counts, "setting", "left").na.fill(0)  # a setting that has no candidate has zeros

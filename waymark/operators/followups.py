@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import consumers_by_entity
@@ -56,25 +55,20 @@ def candidates(held: DataFrame, intents: DataFrame, parents: DataFrame, entities
 def fill(pool: DataFrame, per_entity: int = PER_ENTITY, per_domain: int = PER_DOMAIN, limit: int = LIMIT) -> DataFrame:
     """Greedy choice from each query's pool in order, under caps that depend on what was chosen: (query_id, rank,
     intent_id, bridge, score). A query's pool is as large as the vocabulary at most."""
-    kind = pool.schema["query_id"].dataType.simpleString()
+    c = F.col
+    each = F.struct(c("ord"), c("intent_id"), c("bridge"), c("domain"), c("score"))
+    pools = pool.groupBy("query_id").agg(F.sort_array(F.collect_list(each)).alias("pool"))
+    none = F.array().cast("array<struct<intent_id:string,bridge:string,domain:string,score:double>>")
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        seen: set[str] = set()
-        entity: dict[str, int] = {}
-        domain: dict[str, int] = {}
-        out = []
-        for r in rows.sort_values("ord").itertuples(index=False):
-            if len(out) >= limit:
-                break
-            if r.intent_id in seen or entity.get(r.bridge, 0) >= per_entity or domain.get(r.domain, 0) >= per_domain:
-                continue
-            seen.add(r.intent_id)
-            entity[r.bridge] = entity.get(r.bridge, 0) + 1
-            domain[r.domain] = domain.get(r.domain, 0) + 1
-            out.append((r.query_id, len(out) + 1, r.intent_id, r.bridge, r.score))
-        return pd.DataFrame(out, columns=["query_id", "rank", "intent_id", "bridge", "score"])
+    def step(out: Column, x: Column) -> Column:
+        """The chosen so far, ``limit`` at most, and ``x`` if the caps leave it room."""
+        same = lambda field: F.size(F.filter(out, lambda y: y[field] == x[field]))
+        room = (F.size(out) < limit) & (same("intent_id") == 0) & (same("bridge") < per_entity) & (same("domain") < per_domain)
+        new = F.struct(x["intent_id"].alias("intent_id"), x["bridge"].alias("bridge"), x["domain"].alias("domain"), x["score"].alias("score"))
+        return F.when(room, F.concat(out, F.array(new))).otherwise(out)
 
-    return pool.groupBy("query_id").applyInPandas(choose, f"query_id {kind}, rank int, intent_id string, bridge string, score double")
+    chosen = pools.select("query_id", F.posexplode(F.aggregate("pool", none, step)).alias("at", "x"))
+    return chosen.select("query_id", (c("at") + 1).cast("int").alias("rank"), "x.intent_id", "x.bridge", "x.score")
 
 
 def next_steps(leads: DataFrame, cluster: DataFrame, links: DataFrame, limit: int = 6) -> DataFrame:

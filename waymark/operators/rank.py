@@ -8,31 +8,32 @@ from pyspark.sql import functions as F
 from ..functions.facets import is_generic
 from ..functions.ids import rooted
 from ..functions.text import intent_id_tokens, intent_vocab_tokens, query_tokens
+from ..storage import saved
 from ..tuning import Tuning
 
 #: Input names that speak for an entity.
 ENTITY_INPUTS = {
-    "Product": "product product_uid sku asin upc gtin item q",
-    "ProductCategory": "category department product_category",
-    "Money": "price budget max_price amount amount_usd",
-    "Currency": "currency vs_currency base quote fiat",
-    "Query": "query q search keyword term prompt",
-    "Webpage": "url page_url link website uri",
-    "Document": "document documentnumber file pdf doc documenttype",
-    "Image": "image image_url imageurl base64 photo img",
-    "AudioClip": "audio audio_url voice speech sound",
-    "Text": "text input content transcript body",
-    "Contact": "to email phone recipient contact number",
-    "Mailbox": "inbox mailbox from",
-    "Location": "location lat lon lng latitude longitude coordinates city place",
-    "Company": "company organization org business domain",
-    "Person": "person name people fullname full_name",
-    "CryptoAsset": "coin token asset symbol currency",
-    "WalletAddress": "address wallet wallet_address account holder",
-    "BlockchainNetwork": "chain network blockchain chain_id rpc",
-    "Ticker": "ticker symbol stock equity",
-    "Domain": "domain hostname host fqdn",
-    "IpAddress": "ip ip_address ipaddress addr",
+    "Product": ("product", "product_uid", "sku", "asin", "upc", "gtin", "item", "q"),
+    "ProductCategory": ("category", "department", "product_category"),
+    "Money": ("price", "budget", "max_price", "amount", "amount_usd"),
+    "Currency": ("currency", "vs_currency", "base", "quote", "fiat"),
+    "Query": ("query", "q", "search", "keyword", "term", "prompt"),
+    "Webpage": ("url", "page_url", "link", "website", "uri"),
+    "Document": ("document", "documentnumber", "file", "pdf", "doc", "documenttype"),
+    "Image": ("image", "image_url", "imageurl", "base64", "photo", "img"),
+    "AudioClip": ("audio", "audio_url", "voice", "speech", "sound"),
+    "Text": ("text", "input", "content", "transcript", "body"),
+    "Contact": ("to", "email", "phone", "recipient", "contact", "number"),
+    "Mailbox": ("inbox", "mailbox", "from"),
+    "Location": ("location", "lat", "lon", "lng", "latitude", "longitude", "coordinates", "city", "place"),
+    "Company": ("company", "organization", "org", "business", "domain"),
+    "Person": ("person", "name", "people", "fullname", "full_name"),
+    "CryptoAsset": ("coin", "token", "asset", "symbol", "currency"),
+    "WalletAddress": ("address", "wallet", "wallet_address", "account", "holder"),
+    "BlockchainNetwork": ("chain", "network", "blockchain", "chain_id", "rpc"),
+    "Ticker": ("ticker", "symbol", "stock", "equity"),
+    "Domain": ("domain", "hostname", "host", "fqdn"),
+    "IpAddress": ("ip", "ip_address", "ipaddress", "addr"),
 }
 MATERIALIZED, GENERIC_SCORE, OUTLIER = 50, -100.0, 20
 
@@ -50,7 +51,7 @@ def relevance_bonus(consumes: Column, produces: Column) -> Column:
     names = F.transform(_inputs(), lambda x: F.lower(x))
     parts = F.array_union(names, F.filter(F.flatten(F.transform(names, lambda x: F.split(x, r"[_\- \t\n\r]+"))), lambda x: x != ""))
     hay = F.lower(F.concat_ws(" ", _or(F.col("path"), ""), _or(F.col("summary"), ""), _or(F.col("description"), "")))
-    table = F.create_map(*[x for k, v in ENTITY_INPUTS.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v.split()]))])
+    table = F.create_map(*[x for k, v in ENTITY_INPUTS.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]))])
     tokens = lambda port: F.coalesce(F.element_at(table, port["entity"]), F.array().cast("array<string>"))
     primary = F.col("facets.primary_entity")
 
@@ -168,9 +169,22 @@ def facet_penalties(tuning: Tuning, intent_id: Column, domain: Column, action: C
 def resolve(asks: DataFrame, refs: DataFrame, endpoints: DataFrame, intents: DataFrame, k: int = 10, tuning: Tuning = Tuning(), semantic: DataFrame | None = None) -> DataFrame:
     """Top ``k`` endpoints of each (query_id, intent_id, query) ask, by a score that sees the query.
 
-    Candidates are the intent's references, at most fifty an intent. ``semantic`` (query_id, id, cosine) rescues
-    close endpoints of narrow hosts; missing pairs get nothing. Returns query_id, intent_id, rank, id, score.
+    Candidates are the endpoints of the intent's references; references of endpoints that share a key name them all.
+    ``semantic`` (query_id, id, cosine) rescues close endpoints of narrow hosts; missing pairs get nothing. Without it
+    equal queries have equal answers, so each distinct one is scored once and its answer joined back.
+    Returns query_id, intent_id, rank, id, origin, method, path, price_usd, inputs, rails, score.
     """
+    if semantic is None:
+        told = asks.select("intent_id", "query").distinct().withColumn("query_id", F.monotonically_increasing_id())
+        told = saved(told, "distinct-asks")
+        answers = _resolved(told, refs, endpoints, intents, k, tuning, None).withColumnRenamed("query_id", "__ask")
+        named = told.withColumnRenamed("query_id", "__ask")
+        same = named["intent_id"].eqNullSafe(asks["intent_id"]) & named["query"].eqNullSafe(asks["query"])
+        return asks.join(named, same).select(asks["query_id"], "__ask").join(answers, "__ask").drop("__ask")
+    return _resolved(asks, refs, endpoints, intents, k, tuning, semantic)
+
+
+def _resolved(asks: DataFrame, refs: DataFrame, endpoints: DataFrame, intents: DataFrame, k: int, tuning: Tuning, semantic: DataFrame | None) -> DataFrame:
     i = F.col
     small = intents.select(
         i("id").alias("intent_id"), "consumes", "produces", i("facets.domain").alias("i_domain"), i("facets.action").alias("i_action"),

@@ -82,40 +82,55 @@ def keyword_search(queries: DataFrame, endpoints: DataFrame, intents: DataFrame,
     return a.union(b).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "kind", "hit_id", "capability_id", "score")
 
 
+#: Components of query vectors, or of rows, that a task holds at once.
+BLOCK = 4_000_000
+
+
 def block_top_k(spark: SparkSession, queries: DataFrame, rows: DataFrame, k: int, order: str) -> DataFrame:
     """(query_id, order, score): the ``k`` rows of the largest inner product with each query.
 
-    ``queries`` (query_id, vec) is the stated query set; it is taken in blocks of a bounded number of components, each
-    broadcast. Every batch of rows keeps its own best, ties by ``order``, and one window merges them.
+    ``queries`` (query_id, vec) is the stated query set. Up to ``BLOCK`` components of it are broadcast and rows stay
+    where they are; beyond, queries and rows meet in pairs of blocks, which Spark shuffles. Every batch or block keeps its
+    own best, ties by ``order``, and one window merges them.
     """
-    block = 4_000_000
-    dims = rows.select(F.size("vec").alias("d")).limit(1).collect()
-    per = max(1, block // max(1, dims[0]["d"] if dims else 1))
-    numbered = queries.select("query_id", "vec").withColumn("__block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / per))
-    blocks = [r["__block"] for r in numbered.select("__block").distinct().orderBy("__block").collect()]
     kinds = {c: t for c, t in rows.dtypes} | {"query_id": dict(queries.dtypes)["query_id"]}
-    out = None
-    for b in blocks:
-        own = numbered.where(F.col("__block") == b).orderBy("query_id").collect()
-        shared = spark.sparkContext.broadcast(([r["query_id"] for r in own], np.array([r["vec"] for r in own], np.float64)))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+    schema = f"query_id {kinds['query_id']}, `{order}` {kinds[order]}, score double"
+    head = rows.select(F.size("vec").alias("d")).limit(1).collect()
+    dims, n = max(1, head[0]["d"] if head else 1), queries.count()
+
+    def best(ids: np.ndarray, matrix: np.ndarray, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(order, kind="stable")
+        scores = matrix @ np.stack(p["vec"].to_numpy()).astype(np.float64).T
+        near = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        r = np.repeat(np.arange(len(ids)), near.shape[1])
+        return pd.DataFrame({"query_id": ids[r], order: p[order].to_numpy()[near.ravel()], "score": scores[r, near.ravel()]})
+
+    if n * dims <= BLOCK:
+        own = queries.select("query_id", "vec").orderBy("query_id").collect()
+        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in own], object), np.array([r["vec"] for r in own], np.float64)))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, matrix = shared.value
             for p in batches:
-                if not len(p):
-                    continue
-                p = p.sort_values(order, kind="stable")
-                scores = matrix @ np.stack(p["vec"].to_numpy()).astype(np.float64).T
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                r = np.repeat(np.arange(len(ids)), best.shape[1])
-                yield pd.DataFrame({"query_id": np.array(ids, object)[r], order: p[order].to_numpy()[best.ravel()], "score": scores[r, best.ravel()]})
-
-        near = rows.select(order, "vec").mapInPandas(run, f"query_id {kinds['query_id']}, `{order}` {kinds[order]}, score double")
-        out = near if out is None else out.union(near)
-    if out is None:
-        return spark.createDataFrame([], f"query_id {kinds['query_id']}, `{order}` {kinds[order]}, score double, rank int")
+                if len(p) and len(ids):
+                    yield best(ids, matrix, p)
+
+        found = rows.select(order, "vec").mapInPandas(run, schema)
+    else:
+        q_blocks, r_blocks = -(-n * dims // BLOCK), max(1, -(-rows.count() * dims // BLOCK))
+        spread = lambda name, m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(name)
+        dealt = lambda c, name, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int").alias(name)
+        left = queries.select("query_id", "vec", dealt("query_id", "qb", q_blocks), spread("rb", r_blocks))
+        right = rows.select(order, "vec", dealt(order, "rb", r_blocks), spread("qb", q_blocks))
+
+        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame({"query_id": [], order: [], "score": []})
+            return best(a["query_id"].to_numpy(object), np.stack(a["vec"].to_numpy()).astype(np.float64), b)
+
+        found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(meet, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), order)
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def vector_intents(queries: DataFrame, intents: DataFrame, k: int = 10, squared: bool = True) -> DataFrame:

@@ -214,7 +214,7 @@ def _neutral_sql() -> str:
 def _bonus_sql() -> str:
     from ..operators.rank import ENTITY_INPUTS
 
-    tokens = "CASE i.consumes " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(t) for t in v.split())}]" for k, v in ENTITY_INPUTS.items()) + " ELSE [] END"
+    tokens = "CASE i.consumes " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(t) for t in v)}]" for k, v in ENTITY_INPUTS.items()) + " ELSE [] END"
     return (
         f"mb AS (SELECT f.*, i.intent_id, i.produces, i.consumes, caps.ip, {tokens} AS toks, lower(concat_ws(' ', path, summary, coalesce(description, ''))) AS hay, "
         "list_distinct(list_concat(list_transform(inputs, lambda x: lower(x)), flatten(list_transform(inputs, lambda x: list_filter(regexp_split_to_array(lower(x), '[_\\- \\t\\n\\r]+'), lambda y: y <> ''))))) AS parts "
