@@ -66,6 +66,17 @@ def test_keep_one(spark, docs):
     assert sorted(i for i in ids if i is not None) == [1, 2, 5, 6, 7, 8] and ids.count(None) == 2
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Two texts of one id: the one that belongs to its group's winner stays, in every partitioning."""
+    a, b = "one two three four five six seven eight", "an unlike text with other words in it altogether"
+    rows = [(1, a, "k"), (1, b, "k"), (1, b, "k"), (2, b, "k"), (3, a, "k"), (0, "x y z", "k")]
+    for n in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string, component_id string").repartition(n)
+        kept = simhash.keep_one(df)
+        assert kept.columns == df.columns
+        assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(0, "x y z"), (1, b), (1, a)]
+
+
 @pytest.mark.parametrize("block", [8, 64, 4096])
 def test_links_of_large_groups(spark, block):
     """A chain of near fingerprints in blocks of any size gives the same components as all pairs."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import saved
+from ..storage import partitions, saved
 from .graph import components
 from .tokens import bounded
 
@@ -245,8 +245,7 @@ def links(fps: DataFrame, most_bits: int = MOST_BITS, block: int = BLOCK) -> Dat
     """Distinct fingerprints (fp) -> links (a, b) that connect exactly those within ``most_bits`` (at most 4) bits."""
     if not 0 <= most_bits <= MOST_BITS:
         raise ValueError("the keys find links of up to four bits")
-    spark = fps.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(fps, 200)  # so many keys a fingerprint at most, on average
     keyed = fps.select("fp").where("fp IS NOT NULL").mapInArrow(_keyed, "key long, fp long")
     found = saved(
         keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_linker(1, block, True, most_bits), "kind int, a long, b long").distinct(),
@@ -290,11 +289,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies (:mod:`.nearcopies`): the one with the smallest doc_id.
 
-    Repeated rows of that document count as one. Documents without an id can't be named by a group and stay.
+    Of different texts with that id the one of the smallest hash stays, and of its repeated rows one. Documents
+    without an id can't be named by a group and stay. Null, empty and blank texts are copies of each other. An empty
+    table gives no rows; other columns, of whatever name, are kept. Who stays is settled on ids and hashes alone;
+    texts are sent once, to meet the outcome.
     """
     from .nearcopies import near_copies
-
-    groups = near_copies(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    from .sift import split
+
+    at = F.xxhash64(F.col("text").cast("binary"))
+    named = near_copies(docs).where("doc_id IS NOT NULL")
+    each = named.groupBy("root", "doc_id", "at").agg(F.count(F.lit(1)).alias("n"))
+    first = each.groupBy("root").agg(F.min(F.struct("doc_id", "at")).alias("x"))
+    stays = (F.col("doc_id") == F.col("x.doc_id")) & (F.col("at") == F.col("x.at"))
+    told = each.join(first, "root").select("doc_id", F.col("at").alias("__at"), stays.alias("__stays"), "n")
+    # the rest of the documents stand alone and stay without a shuffle
+    odd = saved(told.where("NOT __stays OR n > 1").select("doc_id", "__at", "__stays"), "near-odd")
+    may, alone = split(docs.withColumn("__at", at), F.struct("doc_id", "__at"), odd, F.struct("doc_id", "__at"))
+    met = may.join(odd, ["doc_id", "__at"], "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = alone.select(*columns).union(met.where("__stays IS NULL").select(*columns))
+    if not odd.where("__stays").isEmpty():
+        out = out.union(met.where("__stays").dropDuplicates(["doc_id", "__at"]).select(*columns))
+    return out
