@@ -10,7 +10,7 @@ from waymark.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One of each module's kinds; all of them run in the driver's own comparison.
-CHECKED = ["endpoint_facets", "quality_gate", "document_mirrors", "materialized", "resolved", "bound", "keyword_search", "arm_guard", "inverse_links", "lateral_flow", "followups_pool", "registry_endpoints", "carried", "merged_records", "judged_precision", "agent_runs"]
+CHECKED = ["endpoint_facets", "quality_gate", "document_mirrors", "materialized", "resolved", "bound", "keyword_search", "arm_guard", "inverse_links", "lateral_flow", "followups_pool", "registry_endpoints", "carried", "merged_records", "judged_precision", "agent_runs", "heldout", "multi_label", "probe_scores", "embedded_delta", "intent_texts", "payload_sizes", "floor_sweep", "endpoint_top_k"]
 
 
 def norm(v):
@@ -38,7 +38,41 @@ def test_query_is_its_sql(spark, sf, duck, name):
 
 
 def test_every_query_has_sql_or_a_test_of_its_own():
-    assert set(QUERIES) - set(ORACLES) == {"followups_filled", "folded_records", "embedded_delta", "heldout", "multi_label", "probe_scores"}
+    assert set(QUERIES) - set(ORACLES) == {"followups_filled", "folded_records"}
+
+
+def test_followups_are_filled_in_one_native_stage(spark, sf):
+    """The greedy fill is that of a plain loop over each pool, and no Python runs."""
+    df = QUERIES["followups_filled"](spark, sf)
+    assert "Pandas" not in df._jdf.queryExecution().executedPlan().toString()
+    from waymark.operators import followups
+
+    rows = [(q, f"i{(q * 7 + k * 3) % 11}", f"b{k % 4}", f"d{k % 5}", float(30 - k), 0.5, k) for q in range(20) for k in range(q + 1)]
+    pool = spark.createDataFrame(rows, "query_id long, intent_id string, bridge string, domain string, score double, relevance double, ord int")
+    want = []
+    for q in range(20):
+        chosen: list = []
+        for r in [r for r in rows if r[0] == q]:
+            room = len(chosen) < 8 and all(c[1] != r[1] for c in chosen)
+            if room and sum(c[2] == r[2] for c in chosen) < 3 and sum(c[3] == r[3] for c in chosen) < 2:
+                chosen.append(r)
+        want += [(q, n + 1, r[1], r[2], r[4]) for n, r in enumerate(chosen)]
+    assert sorted(map(tuple, followups.fill(pool).collect())) == want
+
+
+@pytest.mark.parametrize("block", [40, 4_000_000])
+def test_blocks_of_queries_find_the_same(spark, block, monkeypatch):
+    import numpy as np
+
+    from waymark.operators import search
+
+    monkeypatch.setattr(search, "BLOCK", block)
+    rng = np.random.default_rng(1)
+    x, y = rng.standard_normal((23, 4)), rng.standard_normal((50, 4))
+    queries = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "query_id long, vec array<double>")
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(y)], "ep_ord long, vec array<double>").repartition(3)
+    got = sorted((r["query_id"], r["rank"], r["ep_ord"]) for r in search.block_top_k(spark, queries, rows, 5, "ep_ord").collect())
+    assert got == [(q, n + 1, int(k)) for q in range(23) for n, k in enumerate(np.argsort(-(y @ x[q]), kind="stable")[:5])]
 
 
 def test_materialize_limits_before_the_shuffle(spark, sf):

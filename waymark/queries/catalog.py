@@ -10,7 +10,7 @@ from ..functions import ids, money, text
 from ..operators import gate, rank
 from ..storage import saved
 from . import views as v
-from .views import E, M, Q, with_
+from .views import E, I, M, Q, with_
 
 S, D = SparkSession, DataFrame
 
@@ -50,6 +50,14 @@ def offer_prices(spark: S, sf: str) -> D:
     return per.select("l_orderkey", F.round(best["price"], 9).alias("price"), F.array_join(money.rails(F.col("offers")), ",").alias("rails"))
 
 
+def intent_texts(spark: S, sf: str) -> D:
+    """What each intent is embedded as, and how many endpoints speak of it."""
+    c = F.col
+    of = {"id": c("id"), "label": c("label"), "description": c("description"), "aliases": c("aliases"), "domain": c("facets.domain"), "action": c("facets.action")}
+    own = text.intent_text(of | {"consumes": c("consumes"), "produces": c("produces")})
+    return v.intents(spark, sf).select(c("id").alias("intent_id"), own.alias("text"), c("parts").alias("n"))
+
+
 def endpoint_texts(spark: S, sf: str) -> D:
     c = F.col
     e = v.endpoints(spark, sf)
@@ -209,6 +217,10 @@ ALL = {
         offer_prices,
         "SELECT l_orderkey, round(min(l_partkey / CASE WHEN l_linestatus = 'F' THEN 100.0 ELSE 1000000.0 END), 9) AS price, concat_ws(',', CASE WHEN bool_or(l_returnflag IN ('A', 'N')) THEN 'x402' END, CASE WHEN bool_or(l_returnflag NOT IN ('A', 'N')) THEN 'mpp' END) AS rails FROM lineitem GROUP BY 1",
     ),
+    "intent_texts": (
+        intent_texts,
+        with_(E, I) + "SELECT intent_id, concat_ws(' ', replace(replace(intent_id, '.', ' '), '_', ' '), label, domain, action, consumes, produces) AS text, n FROM i",
+    ),
     "endpoint_texts": (
         endpoint_texts,
         with_(E) + f"SELECT ep_ord, trim(regexp_replace({_embed}, '[ \\t\\n\\r]+', ' ', 'g')) AS embed, trim(regexp_replace(lower(concat_ws(' ', summary, description, path)), '[ \\t\\n\\r]+', ' ', 'g')) AS search, CAST(floor(length(search_text) / 4 + 0.5) AS BIGINT) AS tokens FROM e",

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import facets, text
 from ..operators import evaluate
 from . import views as v
+from .binding import _ALL_ARM
+from .catalog import _tok
+from .flow import L as _LINKS
 from .views import E, M, with_
 
 S, D = SparkSession, DataFrame
@@ -86,6 +90,12 @@ def judge_agreement(spark: S, sf: str) -> D:
     return evaluate.judge_agreement(pred, gold).select("n", F.round("agreement", 6).alias("agreement"))
 
 
+def payload_sizes(spark: S, sf: str) -> D:
+    """Tokens of what each order's hits would send to a model."""
+    hits = _hits(spark, sf)
+    return evaluate.payload_tokens(hits, F.concat("arm", F.lit(":"), "url"))
+
+
 def heldout(spark: S, sf: str) -> D:
     from .binding import _order
 
@@ -170,6 +180,53 @@ _HITS = "h AS (SELECT l_returnflag AS arm, l_orderkey AS q, l_linenumber AS rank
 _REP = "SELECT '{0}' AS mode, count(*) AS n, round(count(*) FILTER (rank <= 1) / count(*), 6) AS hit_1, round(count(*) FILTER (rank <= 3) / count(*), 6) AS hit_3, round(count(*) FILTER (rank <= 5) / count(*), 6) AS hit_5, round(sum(coalesce(1 / rank, 0)) / count(*), 6) AS mrr FROM r{0}"
 _MT = "SELECT method, count(*) AS n, 100 * count(*) FILTER (rank <= 1) / count(*) AS disc_1, 100 * count(*) FILTER (rank <= 3) / count(*) AS disc_3, sum(coalesce(1 / rank, 0)) / count(*) AS mrr, avg(tokens) AS tokens FROM (SELECT l_linestatus AS method, l_orderkey, min(CASE WHEN l_quantity > 25 THEN l_linenumber END) AS rank, sum(l_quantity) AS tokens FROM lineitem {} GROUP BY 1, 2) GROUP BY 1"
 
+_IDS = "[" + ", ".join(f"'{x}'" for x in v.IDS) + "]"
+_WORDS = f"list_distinct({_tok(text.QUERY_STOP, 2)})"
+_UNIQUE = ",\nu AS (SELECT query, ph, min(query_id) AS query_id FROM q GROUP BY 1, 2)"
+_HELDOUT = (
+    _ALL_ARM + _UNIQUE
+    + f""",
+    uo AS (SELECT u.query_id, CASE WHEN u.query_id % 2 = 0 THEN 'test' ELSE 'dev' END AS split, i.intent_id,
+        {_WORDS.format('query')} AS words, {_WORDS.format('label')} AS vocab FROM u LEFT JOIN i ON i.ph = u.ph),
+    ur AS (SELECT uo.query_id, min(ord.rank) AS rank FROM uo JOIN ord ON ord.query_id = uo.query_id AND ord.intent_id = uo.intent_id GROUP BY 1),
+    ov AS (SELECT split, rank, CASE WHEN len(words) > 0 THEN len(list_intersect(words, coalesce(vocab, []))) / len(words) ELSE 0 END AS overlap
+        FROM uo LEFT JOIN ur USING (query_id))
+    SELECT split, count(*) AS n, count(*) FILTER (rank <= 1) AS discover_1, count(*) FILTER (rank <= 3) AS discover_3,
+        round(avg(overlap), 6) AS mean_overlap, count(*) FILTER (overlap < 0.3) AS low_overlap FROM ov GROUP BY ROLLUP (split)"""
+)
+_CUES = " OR ".join(f"{v.first_of('lower(query)', t)} IS NOT NULL" for t in (facets.DOMAIN_CUES, facets.ENTITY_CUES, facets.OUTPUT_CUES))
+_MULTI_LABEL = (
+    _ALL_ARM + _UNIQUE + ",\n" + _LINKS
+    + f""",
+    x AS (SELECT query_id, query, query_id % 3 = 0 AS hard, [{_IDS}[ph % 16 + 1], {_IDS}[(ph + 1) % 16 + 1]] AS expect,
+        [{_IDS}[(ph + 2) % 16 + 1], {_IDS}[(ph + 5) % 16 + 1]] AS related FROM u),
+    top AS (SELECT query_id, list(intent_id ORDER BY rank) AS ids FROM ord WHERE rank <= 3 GROUP BY 1),
+    near AS (SELECT src AS anchor, list(DISTINCT dst) AS near FROM l GROUP BY 1),
+    y AS (SELECT x.*, coalesce(ids, []) AS ids, coalesce(near, []) AS near, coalesce(list_contains(expect, ids[1]), false) AS first,
+        {_CUES} OR len({v.all_of('lower(query)', facets.MODALITY_CUES)}) > 0 AS tagged
+        FROM x LEFT JOIN top USING (query_id) LEFT JOIN near ON anchor = expect[1])
+    SELECT count(*) AS total, count(*) FILTER (first) AS recall_1, count(*) FILTER (list_has_any(expect, ids)) AS recall_3,
+        count(*) FILTER (hard AND first) AS hard_negative_pass, count(*) FILTER (hard) AS hard_negative_total,
+        CAST(sum(len(list_intersect(related, near))) AS BIGINT) AS related_found, CAST(sum(len(related)) AS BIGINT) AS related_expected,
+        count(*) FILTER (tagged) AS facet_coverage FROM y"""
+)
+_PROBES = (
+    _ALL_ARM
+    + """,
+    ph AS (SELECT CASE WHEN arm.query_id % 2 = 0 THEN 'on' ELSE 'off' END AS config, q.ph AS probe, arm.rank, e.summary,
+        regexp_replace(regexp_replace(concat(e.origin, e.path), '^https?://', ''), '^[^/]+', '') AS path
+        FROM arm JOIN e USING (id) JOIN q ON q.query_id = arm.query_id),
+    ru AS (SELECT ph AS probe, CASE WHEN ph % 2 = 0 THEN 'clean' ELSE 'collision' END AS type,
+        nullif(regexp_extract(label, '^(\\w+ \\w+)', 1), '') AS relevant FROM i),
+    pm AS (SELECT config, probe, type, rank, (probe % 4 = 0 AND contains(lower(path), '/economy/')) AS by_path,
+        (probe % 3 = 0 AND regexp_matches(concat_ws(' ', summary, path), '/1[0-9]$')) AS decoy,
+        coalesce(contains(lower(summary), lower(relevant)), false) AS named FROM ph JOIN ru USING (probe)),
+    pr AS (SELECT *, by_path OR (named AND NOT decoy) AS rel FROM pm)
+    SELECT config, probe, type, """
+    + ", ".join(f"round(coalesce(avg(CAST(rel AS INTEGER)) FILTER (rank <= {k}), 0), 6) AS p_{k}" for k in (1, 3, 5))
+    + ", min(rank) FILTER (rel) AS first_relevant, count(*) FILTER (rank <= 5 AND decoy AND NOT by_path) AS decoys_5 FROM pr GROUP BY 1, 2, 3"
+)
+
 ALL = {
     "mode_report": (mode_report, "WITH " + _RANKS + "\n" + " UNION ALL ".join(_REP.format(f) for f in "ANR")),
     "rank_changes": (rank_changes, "WITH " + _RANKS + "\nSELECT q AS query_id, a AS before, b AS after, CASE WHEN b < a THEN 'improved' ELSE 'regressed' END AS change FROM (SELECT rA.q, coalesce(rA.rank, 999) AS a, coalesce(rN.rank, 999) AS b FROM rA JOIN rN USING (q)) WHERE a <> b"),
@@ -198,8 +255,9 @@ ALL = {
         "WITH " + _HITS + " SELECT q AS query_id, url, arm, concat(arm, ':', rank) AS text FROM (SELECT *, row_number() OVER (PARTITION BY q, url ORDER BY list_position(['N', 'A'], arm), rank) AS rn FROM h WHERE rank <= 3 AND arm <> 'R') WHERE rn = 1",
     ),
     "judge_agreement": (judge_agreement, "WITH " + _HITS + " SELECT count(*) AS n, round(avg(CASE WHEN (CAST(url AS BIGINT) % 7 <> 0) = good THEN 1.0 ELSE 0 END), 6) AS agreement FROM j"),
-    "heldout": (heldout, None),
-    "multi_label": (multi_label, None),
+    "payload_sizes": (payload_sizes, f"WITH {_HITS} SELECT q AS query_id, CAST(floor(sum(length(concat(arm, ':', url))) / 4 + 0.5) AS BIGINT) AS tokens FROM h GROUP BY 1"),
+    "heldout": (heldout, _HELDOUT),
+    "multi_label": (multi_label, _MULTI_LABEL),
     "resolve_accuracy": (
         resolve_accuracy,
         "WITH " + M + ",\nk AS (SELECT DISTINCT intent_id, origin, method, path FROM m), hf AS (SELECT origin, method, path FROM e GROUP BY ALL HAVING min(ep_ord) % 2 = 0) SELECT intent_id, count(*) AS refs, count(hf.origin) AS found, count(hf.origin) > 0 AS ok FROM k LEFT JOIN hf USING (origin, method, path) GROUP BY 1",
@@ -225,5 +283,5 @@ ALL = {
         "key AS (SELECT DISTINCT ip AS x, concat(origin, path) AS u FROM caps JOIN e USING (id))\n"
         "SELECT backend, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM key WHERE key.x = ru.x AND key.u = ru.url)) AS hits, count(url) AS known, round(avg(k), 6) AS tokens, 1.0 AS calls FROM ru GROUP BY 1",
     ),
-    "probe_scores": (probe_scores, None),
+    "probe_scores": (probe_scores, _PROBES),
 }

@@ -12,6 +12,7 @@ from ..operators import labels, merge
 from ..schemas import PAYMENT
 from ..sources import openapi, registry, vectors
 from . import views as v
+from .catalog import _embed
 from .views import E, with_
 
 S, D = SparkSession, DataFrame
@@ -256,5 +257,10 @@ ALL = {
         "n AS (SELECT ep_ord FROM (SELECT *, row_number() OVER (PARTITION BY intent_id ORDER BY ep_ord) AS rn FROM x WHERE ep_ord NOT IN (SELECT ep_ord FROM t) AND intent_id IN ('ai.generate_image', 'comms.send_email')) WHERE rn <= CASE intent_id WHEN 'ai.generate_image' THEN 15 ELSE 10 END)\n"
         "SELECT ep_ord, summary FROM e WHERE ep_ord IN (SELECT ep_ord FROM t UNION SELECT ep_ord FROM n)",
     ),
-    "embedded_delta": (embedded_delta, None),
+    "embedded_delta": (
+        embedded_delta,
+        with_(E) + f"""SELECT sha256(text) AS text_hash, CAST(strlen(text) AS DOUBLE) AS total FROM (
+            SELECT text FROM (SELECT ep_ord, trim(regexp_replace({_embed}, '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM e)
+            GROUP BY text HAVING NOT bool_or(ep_ord % 4 = 0))""",
+    ),
 }
