@@ -10,7 +10,7 @@ from waymark.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One of each module's kinds; all of them run in the driver's own comparison.
-CHECKED = ["endpoint_facets", "quality_gate", "document_mirrors", "materialized", "resolved", "bound", "keyword_search", "arm_guard", "inverse_links", "lateral_flow", "followups_pool", "registry_endpoints", "carried", "merged_records", "judged_precision", "agent_runs", "heldout", "multi_label", "probe_scores", "embedded_delta", "intent_texts", "payload_sizes", "floor_sweep", "endpoint_top_k"]
+CHECKED = ["endpoint_facets", "quality_gate", "document_mirrors", "materialized", "resolved", "bound", "keyword_search", "arm_guard", "inverse_links", "lateral_flow", "followups_pool", "registry_endpoints", "carried", "merged_records", "judged_precision", "agent_runs", "heldout", "multi_label", "probe_scores", "embedded_delta", "intent_texts", "payload_sizes", "floor_sweep", "endpoint_top_k", "classified"]
 
 
 def norm(v):

@@ -147,6 +147,16 @@ def arm_guard(spark: S, sf: str) -> D:
     return arm.guard(_order(spark, sf), arm.support(_arm(spark, sf, e), e), 0.5)
 
 
+def classified(spark: S, sf: str) -> D:
+    """What each request is answered with: its guarded intents and its first endpoints, given back to every customer who asked."""
+    e = saved(v.endpoints(spark, sf), "endpoints")
+    guarded, direct = arm.classify(_order(spark, sf), _arm(spark, sf, e), e)
+    answers = guarded.select("query_id", F.lit("capability").alias("kind"), "rank", F.col("intent_id").alias("hit_id"))
+    answers = answers.union(direct.select("query_id", F.lit("endpoint").alias("kind"), "rank", F.col("id").alias("hit_id")))
+    asked = v.queries(spark, sf).select(F.col("query_id").alias("customer"), "query", "ph").join(_requests(spark, sf), ["query", "ph"])
+    return asked.join(answers, "query_id").select(F.col("customer").alias("query_id"), "kind", "rank", "hit_id")
+
+
 def arm_routing(spark: S, sf: str) -> D:
     e = saved(v.endpoints(spark, sf), "endpoints")
     a = _arm(spark, sf, e).withColumn("id", F.col("id"))
@@ -250,6 +260,23 @@ def _report(name: str) -> str:
     )
 
 
+
+
+def _guarded(least: float) -> str:
+    """CTEs up to ``gg``: each request's order with the arm's top intent first where the guard says so."""
+    return (
+        _ALL_ARM
+        + f""", tp AS (SELECT query_id, intent_id AS top_id, support AS ts FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY support DESC, fst) rn FROM sup) WHERE rn = 1),
+        gd AS (SELECT ord.*, coalesce(ord.intent_id = top_id AND ts >= {least}
+            AND max(CASE WHEN ord.rank = 1 AND support IS NULL THEN 1 END) OVER (PARTITION BY ord.query_id) = 1
+            AND count(*) OVER (PARTITION BY ord.query_id) >= 2, false) AS up
+            FROM ord LEFT JOIN sup USING (query_id, intent_id) LEFT JOIN tp USING (query_id)),
+        gg AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY NOT up, rank) AS rank, intent_id FROM gd)
+        """
+    )
+
+
 ALL = {
     "idf": (idf, with_(_tfidf("documents", "benchmark", "doc_id")) + "SELECT token, df, round(idf, 6) AS idf FROM idf"),
     "sparse_cosines": (sparse_cosines, with_(_tfidf("documents", "benchmark", "doc_id")) + "SELECT k AS doc_id, item AS item_id, round(sparse, 6) AS sparse FROM sp"),
@@ -286,11 +313,14 @@ ALL = {
         "+ (CASE WHEN contains(concat(domain, ' ', action), t) THEN 2.5 ELSE 0 END) + (CASE WHEN list_contains(regexp_split_to_array(intent_id, '[._]'), t) THEN 3.0 ELSE 0 END)) AS per FROM rq, i)) WHERE base > 0) WHERE rank <= 7",
     ),
     "arm_support": (arm_support, _ALL_ARM + "SELECT query_id, intent_id, round(support, 6) AS support FROM sup"),
-    "arm_guard": (
-        arm_guard,
-        _ALL_ARM + ", tp AS (SELECT query_id, intent_id AS top_id, support AS ts FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY support DESC, fst) rn FROM sup) WHERE rn = 1),\n"
-        "gd AS (SELECT ord.*, coalesce(ord.intent_id = top_id AND ts >= 0.5 AND max(CASE WHEN ord.rank = 1 AND support IS NULL THEN 1 END) OVER (PARTITION BY ord.query_id) = 1 AND count(*) OVER (PARTITION BY ord.query_id) >= 2, false) AS up FROM ord LEFT JOIN sup USING (query_id, intent_id) LEFT JOIN tp USING (query_id))\n"
-        "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY NOT up, rank) AS rank, intent_id FROM gd",
+    "arm_guard": (arm_guard, _guarded(0.5) + "SELECT query_id, rank, intent_id FROM gg"),
+    "classified": (
+        classified,
+        _guarded(1.0)
+        + """, an AS (SELECT query_id, 'capability' AS kind, rank, intent_id AS hit_id FROM gg WHERE rank <= 5
+            UNION ALL SELECT query_id, 'endpoint', rank, id FROM thick WHERE rank <= 3),
+        fq AS (SELECT query, ph, min(query_id) AS first FROM q GROUP BY 1, 2)
+        SELECT q.query_id, kind, rank, hit_id FROM q JOIN fq USING (query, ph) JOIN an ON an.query_id = first""",
     ),
     "arm_routing": (
         arm_routing,

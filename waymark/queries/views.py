@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import spread
+
 PHRASES = (
     "Search the web and return organic search results",
     "Scrape a web page to clean markdown text",
@@ -86,7 +88,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as endpoint rows of the declared shape."""
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", *[f"{v} AS {k}" for k, v in PART.items()])
+    rows = spread(table(spark, sf_dir, "part")).selectExpr("p_partkey", *[f"{v} AS {k}" for k, v in PART.items()])
     c = F.col
     none = F.lit(None).cast("string")
     split = F.when(c("inputs_csv") == "", F.array().cast("array<string>")).otherwise(F.split("inputs_csv", ","))

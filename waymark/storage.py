@@ -67,3 +67,10 @@ def discard(df: DataFrame) -> None:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if its files give fewer tasks than there are cores: for heavy work on rows of small
+    inputs. Inputs of more files stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
