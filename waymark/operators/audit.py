@@ -9,7 +9,7 @@ from ..functions.ids import bare_host
 from ..functions.text import bind_tokens
 from .graph import ports
 
-#: Compatible domains of the audit; the ranker's pairs differ (see tuning).
+#: Compatible domains of the audit; the ranker's pairs differ (see tuning).
 AUDIT_DOMAINS = (("travel", "maps"), ("maps", "travel"), ("finance", "crypto"), ("crypto", "finance"))
 SYMMETRIC = ("alternative_of", "sibling_of")
 TYPED = ("Place", "Company", "Person", "Product", "ProductCategory", "Domain", "CryptoAsset", "WalletAddress")
