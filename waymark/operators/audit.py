@@ -169,3 +169,19 @@ def provider_corpus(endpoints: DataFrame) -> DataFrame:
     w = Window.partitionBy("provider").orderBy("ep_ord")
     first = endpoints.withColumn("provider", provider).withColumn("rn", F.row_number().over(w)).where("rn = 1")
     return first.select("provider", "id", F.lower(F.concat_ws(" ", "provider", "provider_title", "summary", "search_text")).alias("text"))
+
+
+def entity_rollup(intents: DataFrame) -> DataFrame:
+    """(entity, produced_by, consumed_by): the intents with the entity on a port, once for each port, in their order."""
+    sides = ports(intents).join(intents.select(F.col("id").alias("intent_id"), "intent_ord"), "intent_id")
+    at = F.struct("intent_ord", "pos", "intent_id")
+    of = lambda side: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == side, at))), lambda x: x["intent_id"])
+    return sides.groupBy("entity").agg(of("produces").alias("produced_by"), of("consumes").alias("consumed_by"))
+
+
+def domain_rollup(intents: DataFrame, refs: DataFrame) -> DataFrame:
+    """(domain, intents, endpoints): a domain's intents in their order and their references; without a domain: other."""
+    n = refs.groupBy("intent_id").agg(F.count(F.lit(1)).alias("n"))
+    own = intents.select(F.col("id").alias("intent_id"), "intent_ord", F.coalesce("facets.domain", F.lit("other")).alias("domain"))
+    names = F.transform(F.sort_array(F.collect_list(F.struct("intent_ord", "intent_id"))), lambda x: x["intent_id"])
+    return own.join(n, "intent_id", "left").groupBy("domain").agg(names.alias("intents"), F.coalesce(F.sum("n"), F.lit(0)).alias("endpoints"))

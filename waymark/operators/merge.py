@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,35 +90,28 @@ def merge_two(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def fold(rows: DataFrame) -> DataFrame:
-    """Any number of records of one id, merged in ``ep_ord`` order: (id, summary, description, paid, price_usd, search_text).
+    """Any number of records of one id, merged in ``ep_ord`` order, field by field: a row for each id.
 
-    Only ids with several records go through Python; their groups are as small as there are sources.
+    A record leads from its place on if all before it are stubs and it is none, or, among equals in that, if its summary
+    is longer than all of theirs. Each field comes from the last leader that has it, then from the others in order;
+    paid if any is; search texts are joined in order. An id has as many records as sources named it.
     """
-    flat = rows.select("id", "ep_ord", "summary", "description", is_stub().alias("stub"), F.coalesce("payment.paid", F.lit(False)).alias("paid"), F.col("payment.price_usd").alias("price_usd"), F.coalesce("search_text", F.lit("")).alias("search_text"))
-    counts = flat.groupBy("id").agg(F.count(F.lit(1)).alias("__n"))
-    sized = flat.join(counts, "id")
-    out = "id string, summary string, description string, paid boolean, price_usd double, search_text string"
-
-    def merge(g: pd.DataFrame) -> pd.DataFrame:
-        best = None
-        for r in g.sort_values("ep_ord").to_dict("records"):
-            r = {k: (None if not isinstance(v, str) and pd.isna(v) else v) for k, v in r.items()}
-            if best is None:
-                best = r
-                continue
-            if best["stub"] != r["stub"]:
-                prefer = r if best["stub"] else best
-            else:
-                prefer = r if len(r["summary"] or "") > len(best["summary"] or "") else best
-            other = best if prefer is r else r
-            best = prefer | {
-                "description": prefer["description"] if prefer["description"] is not None else other["description"],
-                "paid": bool(prefer["paid"] or other["paid"]),
-                "price_usd": prefer["price_usd"] if prefer["price_usd"] is not None else other["price_usd"],
-                "search_text": f"{best['search_text']} {r['search_text']}".strip(),
-            }
-        return pd.DataFrame([{k: best[k] for k in ("id", "summary", "description", "paid", "price_usd", "search_text")}])
-
-    names = ["id", "summary", "description", "paid", "price_usd", "search_text"]
-    single = sized.where("__n = 1").select(*names)
-    return single.union(sized.where("__n > 1").drop("__n").groupBy("id").applyInPandas(merge, out).select(*names))
+    c = F.col
+    seen = Window.partitionBy("id").orderBy("ep_ord")
+    lead = F.struct((~is_stub()).cast("int").alias("own"), F.length(F.coalesce("summary", F.lit(""))).alias("n"))
+    at = rows.withColumn("__lead", lead).withColumn("__pos", F.row_number().over(seen))
+    best = F.max("__lead").over(seen.rowsBetween(Window.unboundedPreceding, -1))
+    at = at.withColumn("__at", F.when(best.isNull() | (c("__lead") > best), -c("__pos")).otherwise(c("__pos")))
+    text = lambda n: F.min_by(n, F.when(c(n).isNotNull(), c("__at")))
+    many = lambda x: F.coalesce(F.min_by(x, F.when(F.size(x) > 0, c("__at"))), F.min_by(x, F.when(x.isNotNull(), c("__at"))))
+    price, said = c("payment.price_usd"), F.trim(F.coalesce("search_text", F.lit("")))
+    return at.groupBy("id").agg(
+        *[text(n).alias(n) for n in ("origin", "method", "path", "operation_id", "summary", "description", "provider_title", "category")],
+        many(c("inputs")).alias("inputs"),
+        many(c("tags")).alias("tags"),
+        F.min_by("provider_fqn", F.when(c("provider_fqn").isNotNull(), c("__pos"))).alias("provider_fqn"),
+        F.max(F.coalesce("payment.paid", F.lit(False))).alias("paid"),
+        F.min_by(price, F.when(price.isNotNull(), c("__at"))).alias("price_usd"),
+        many(c("payment.rails")).alias("rails"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(said != "", F.struct("__pos", said.alias("t"))))), lambda x: x["t"]), " ").alias("search_text"),
+    )

@@ -33,7 +33,7 @@ def token_scores(queries: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
     ends = qt.where(longest >= 4).select("query_id", "pos", "n", F.explode(F.transform(F.sequence(F.lit(4), longest), lambda k: F.right(F.col("q"), k))).alias("c"))
     compound = ends.join(index, "c").select("query_id", key, "pos", "n", F.lit(COMPOUND).alias("s"))
     best = exact.union(by_stem).union(compound).groupBy("query_id", key, "pos", "n").agg(F.max("s").alias("s"))
-    return best.groupBy("query_id", key, "n").agg(F.sum("s").alias("hits")).select("query_id", key, (F.col("hits") / F.col("n")).alias("token_score"))
+    return best.groupBy("query_id", key, "n").agg(F.round(F.sum("s"), 6).alias("hits")).select("query_id", key, (F.col("hits") / F.col("n")).alias("token_score"))
 
 
 def phrase_boost(query: Column, phrases: Column) -> Column:
@@ -74,11 +74,13 @@ def keyword_endpoints(queries: DataFrame, endpoints: DataFrame) -> DataFrame:
 
 
 def keyword_search(queries: DataFrame, endpoints: DataFrame, intents: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, kind, hit_id, capability_id, score): the ``k`` best of intents and endpoints together."""
+    """(query_id, rank, kind, hit_id, capability_id, score): the ``k`` best of intents and endpoints together.
+
+    Scores that agree to nine digits tie, as sums in another order differ in their last bits."""
     a = keyword_intents(queries, intents).select("query_id", F.lit("capability").alias("kind"), F.col("intent_id").alias("hit_id"), F.col("intent_id").alias("capability_id"), "score", F.lit(0).alias("o"), F.col("intent_ord").cast("long").alias("ord"))
     first = endpoints.select("id", F.try_element_at("capabilities", F.lit(1)).alias("capability_id"))
     b = keyword_endpoints(queries, endpoints).join(first, "id").select("query_id", F.lit("endpoint").alias("kind"), F.col("id").alias("hit_id"), "capability_id", "score", F.lit(1).alias("o"), F.col("ep_ord").alias("ord"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "o", "ord")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "o", "ord")
     return a.union(b).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "kind", "hit_id", "capability_id", "score")
 
 

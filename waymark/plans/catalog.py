@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.gate import passing
 from ..operators.merge import carry_forward, first_source, origin_sources, override
 from ..sources.openapi import parse_openapi
-from ..sources.registry import provider_origins, resources_to_endpoints, service_origins, services_to_endpoints
+from ..sources.registry import clean_snapshot, provider_origins, resources_to_endpoints, service_origins, services_to_endpoints
 
 
 def build_catalog(resources: DataFrame, services: DataFrame, providers: DataFrame, docs: DataFrame, prior: DataFrame | None, built_at: str) -> DataFrame:
@@ -25,6 +25,11 @@ def build_catalog(resources: DataFrame, services: DataFrame, providers: DataFram
     return passing(merged)
 
 
+def regate(snapshot: DataFrame) -> DataFrame:
+    """A saved snapshot's rows without what an earlier gate noted on them, gated anew."""
+    return passing(clean_snapshot(snapshot))
+
+
 def numbered(endpoints: DataFrame) -> DataFrame:
     """``endpoints`` with ``ep_ord``, a unique number in order of id within their hash part; no global sort."""
     parts = endpoints.withColumn("__p", F.pmod(F.xxhash64("id"), F.lit(4096)))

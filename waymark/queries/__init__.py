@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binding, catalog, checks, evaluation, flow, ingest
+from . import binding, catalog, checks, evaluation, flow, ingest, whole
 
-QUERIES = {name: f for m in (catalog, binding, flow, ingest, evaluation, checks) for name, (f, _) in m.ALL.items()}
-ORACLES = {name: sql for m in (catalog, binding, flow, ingest, evaluation, checks) for name, (_, sql) in m.ALL.items() if sql}
+QUERIES = {name: f for m in (catalog, binding, flow, ingest, evaluation, checks, whole) for name, (f, _) in m.ALL.items()}
+ORACLES = {name: sql for m in (catalog, binding, flow, ingest, evaluation, checks, whole) for name, (_, sql) in m.ALL.items() if sql}

@@ -302,7 +302,7 @@ ALL = {
     "keyword_endpoints": (keyword_endpoints, with_(E, Q, _SCORE_Q, _KE) + "SELECT query_id, ep_ord, round(score, 9) AS score FROM ke"),
     "keyword_search": (
         keyword_search,
-        with_(E, I, Q, _SCORE_Q, _KI, _KE) + "SELECT query_id, rank, kind, hit_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o, ord) AS rank FROM ("
+        with_(E, I, Q, _SCORE_Q, _KI, _KE) + "SELECT query_id, rank, kind, hit_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, o, ord) AS rank FROM ("
         "SELECT query_id, 'capability' AS kind, intent_id AS hit_id, score, 0 AS o, io AS ord FROM ki UNION ALL SELECT query_id, 'endpoint', id, score, 1, ep_ord FROM ke)) WHERE rank <= 5",
     ),
     "match_capabilities": (

@@ -123,10 +123,6 @@ def _pool(spark: S, sf: str) -> D:
     return followups.candidates(held, i, v.parents(spark), v.entities(spark, sf), best, topical)
 
 
-def followups_filled(spark: S, sf: str) -> D:
-    return followups.fill(_pool(spark, sf)).select("query_id", "rank", "intent_id", "bridge", F.round("score", 6).alias("score"))
-
-
 def next_steps(spark: S, sf: str) -> D:
     """Leads from suppliers of an order's lines, the query's cluster from its parts, links from its returned lines."""
     li = v.table(spark, sf, "lineitem")
@@ -187,20 +183,36 @@ _EXP = PARENT_SQL + ",\nmade AS (SELECT intent_id, domain, produces AS own, prod
 _REL = f"rel AS (SELECT intent_id AS src, {_ID.format('(ph + 2) % 16 + 1')} AS dst FROM i)"
 _GRAPH = with_(E, I, L)
 
-_POOL = (
-    with_(E, I, PARENT_SQL)
-    + f", held AS (SELECT c_custkey AS qid, 0 AS pos, list_extract(['City', 'Brand', 'Location', 'Domain', 'Query'], c_custkey % 5 + 1) AS entity, c_custkey, c_nationkey FROM customer UNION ALL SELECT c_custkey, 1, list_extract(['Company', 'Place'], c_nationkey % 2 + 1), c_custkey, c_nationkey FROM customer),\n"
-    f"h2 AS (SELECT held.*, parent, CASE WHEN entity IN {BRIDGE_LIST} THEN entity WHEN parent IN {BRIDGE_LIST} THEN parent END AS bridge, {_ID.format('c_custkey % 16 + 1')} AS src, {_ID.format('c_nationkey % 16 + 1')} AS exc FROM held LEFT JOIN par ON child = entity WHERE entity <> 'Query'),\n"
+#: Scores of what is held (``h2``) and topical (``top``), up to the pool ``po``.
+FOLLOW = (
     "con AS (SELECT consumes AS held_e, intent_id, domain, consumes AS port FROM i UNION SELECT child, intent_id, domain, consumes FROM i JOIN par ON parent = consumes),\n"
-    f"top AS (SELECT o_custkey AS qid, {_ID.format('o_orderkey % 16 + 1')} AS intent_id, CAST(count(*) AS DOUBLE) AS topic FROM orders GROUP BY 1, 2),\n"
     "w AS (SELECT h2.qid, con.intent_id, bridge, con.domain, CASE WHEN entity = port THEN 1.0 WHEN parent = port THEN 0.7 END AS st, coalesce(topic, 0) AS topic, i.ph AS io, sd.domain AS sdom, h2.pos FROM h2 JOIN con ON con.held_e = bridge JOIN i ON i.intent_id = con.intent_id LEFT JOIN i sd ON sd.intent_id = src "
     "LEFT JOIN top ON top.qid = h2.qid AND top.intent_id = con.intent_id WHERE bridge IS NOT NULL AND con.intent_id <> exc AND con.intent_id <> src AND i.action NOT IN ('send', 'provision', 'transform', 'execute')),\n"
     "w2 AS (SELECT *, min(topic) OVER (PARTITION BY qid) AS lo, max(topic) OVER (PARTITION BY qid) - min(topic) OVER (PARTITION BY qid) AS spread FROM w WHERE st IS NOT NULL),\n"
     "w3 AS (SELECT *, st * CASE WHEN spread > 0 THEN 0.15 + 0.85 * (topic - lo) / spread ELSE 1 END AS relevance FROM w2),\n"
     "w4 AS (SELECT *, relevance + CASE WHEN sdom <> domain THEN 0.05 ELSE 0 END + 0.05 * io / 16 AS score FROM w3),\n"
-    "w5 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos, io) AS ord, count(*) FILTER (relevance >= 0.3) OVER (PARTITION BY qid) AS n_ok FROM w4)\n"
-    "SELECT qid AS query_id, intent_id, bridge, round(score, 6) AS score, round(relevance, 6) AS relevance FROM w5 WHERE spread <= 0 OR relevance >= 0.3 OR (n_ok = 0 AND ord = 1)"
+    "w5 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos, io) AS ord, count(*) FILTER (relevance >= 0.3) OVER (PARTITION BY qid) AS n_ok FROM w4),\n"
+    "po AS (SELECT * FROM w5 WHERE spread <= 0 OR relevance >= 0.3 OR (n_ok = 0 AND ord = 1))"
+)
+#: The greedy choice from ``po``, one candidate a round: ``filled``.
+FILL = """pk AS (SELECT qid, intent_id, bridge, coalesce(domain, 'unknown') AS domain, CAST(score AS DOUBLE) AS score,
+        row_number() OVER (PARTITION BY qid ORDER BY ord) AS k FROM po),
+    ch AS (SELECT DISTINCT qid, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(i VARCHAR, b VARCHAR, d VARCHAR, s DOUBLE)[]) AS got FROM pk
+        UNION ALL SELECT pk.qid, pk.k, CASE WHEN len(got) < 8 AND len(list_filter(got, lambda g: g.i = intent_id)) = 0
+            AND len(list_filter(got, lambda g: g.b = bridge)) < 3 AND len(list_filter(got, lambda g: g.d = domain)) < 2
+            THEN list_append(got, {'i': intent_id, 'b': bridge, 'd': domain, 's': score}) ELSE got END
+        FROM ch JOIN pk ON pk.qid = ch.qid AND pk.k = ch.k + 1),
+    ends AS (SELECT qid, arg_max(got, k) AS got FROM ch GROUP BY 1),
+    filled AS (SELECT qid AS query_id, rank, g.i AS intent_id, g.b AS bridge, g.s AS score FROM (
+        SELECT qid, unnest(got) AS g, generate_subscripts(got, 1) AS rank FROM ends))"""
+POOL = (
+    with_(E, I, PARENT_SQL)
+    + f", held AS (SELECT c_custkey AS qid, 0 AS pos, list_extract(['City', 'Brand', 'Location', 'Domain', 'Query'], c_custkey % 5 + 1) AS entity, c_custkey, c_nationkey FROM customer UNION ALL SELECT c_custkey, 1, list_extract(['Company', 'Place'], c_nationkey % 2 + 1), c_custkey, c_nationkey FROM customer),\n"
+    f"h2 AS (SELECT held.*, parent, CASE WHEN entity IN {BRIDGE_LIST} THEN entity WHEN parent IN {BRIDGE_LIST} THEN parent END AS bridge, {_ID.format('c_custkey % 16 + 1')} AS src, {_ID.format('c_nationkey % 16 + 1')} AS exc FROM held LEFT JOIN par ON child = entity WHERE entity <> 'Query'),\n"
+    f"top AS (SELECT o_custkey AS qid, {_ID.format('o_orderkey % 16 + 1')} AS intent_id, CAST(count(*) AS DOUBLE) AS topic FROM orders GROUP BY 1, 2),\n"
+    + FOLLOW
 )
+_POOL = POOL + "\nSELECT qid AS query_id, intent_id, bridge, round(score, 6) AS score, round(relevance, 6) AS relevance FROM po"
 
 ALL = {
     "links": (links, _GRAPH + 'SELECT src AS "from", type, dst AS "to" FROM l'),
@@ -249,7 +261,6 @@ ALL = {
         "SELECT intent_id AS id, coalesce(errors, '') = '' AS valid, coalesce(errors, '') AS errors, coalesce(x.n, 0) AS n_warnings FROM i LEFT JOIN (SELECT intent_id, string_agg(err, ';' ORDER BY err) AS errors FROM er WHERE err IS NOT NULL GROUP BY 1) USING (intent_id) LEFT JOIN (SELECT id, count(*) AS n FROM wr GROUP BY 1) x ON x.id = intent_id",
     ),
     "followups_pool": (followups_pool, _POOL),
-    "followups_filled": (followups_filled, None),
     "next_steps": (
         next_steps,
         "WITH s AS (SELECT l_orderkey AS q, CAST(l_suppkey % 16 AS VARCHAR) AS x, min(l_linenumber) AS r, 0 AS st, 'held' AS src FROM lineitem GROUP BY 1, 2 UNION ALL SELECT l_orderkey, CAST(l_partkey % 16 AS VARCHAR), min(l_linenumber), 1, 'query' FROM lineitem GROUP BY 1, 2 "

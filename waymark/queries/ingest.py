@@ -129,11 +129,24 @@ def merged_records(spark: S, sf: str) -> D:
 
 
 def folded_records(spark: S, sf: str) -> D:
-    """Events of a user and type as records of one id, folded in order."""
-    e = _events(spark, sf)
-    pay = F.struct(F.col("value").alias("price_usd"), (F.col("ep_ord") % 2 == 0).alias("paid"), F.lit(None).cast("string").alias("currency"), F.array().cast("array<struct<protocol:string,version:string,networks:array<string>>>").alias("rails"), F.array().cast("array<struct<intent:string,method:string,amount:string,currency:string,description:string>>").alias("offers"))
-    rows = e.select(F.concat("origin", "path").alias("id"), "ep_ord", "method", "path", F.concat(F.lit("value "), F.col("value").cast("string")).alias("summary"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("operation_id"), F.array().cast("array<string>").alias("inputs"), pay.cast(PAYMENT).alias("payment"), F.col("day").cast("string").alias("search_text"))
-    return merge.fold(rows).select("id", "summary", "paid", F.round("price_usd", 6).alias("price_usd"))
+    """Events of a user and type as records of one id, folded in order; each knows some of the fields."""
+    n, c = F.col("ep_ord"), F.col
+    some = lambda cond, value: F.when(cond, value)
+    none = F.array().cast("array<string>")
+    rail = F.array(F.struct(F.lit("x402").alias("protocol"), F.lit("2").alias("version"), F.lit(None).cast("array<string>").alias("networks")))
+    rows = _events(spark, sf).select(
+        F.concat("origin", "path").alias("id"), "ep_ord", "origin", "method", "path", F.concat(F.lit("value "), c("value").cast("string")).alias("summary"),
+        some(n % 5 == 0, F.concat(F.lit("about "), n)).alias("description"), some(n % 7 == 0, F.concat(F.lit("op"), n)).alias("operation_id"),
+        F.when(n % 4 == 0, F.array(F.concat(F.lit("in"), n % 3))).otherwise(none).alias("inputs"), none.alias("tags"),
+        some(n % 3 == 0, F.concat(F.lit("p"), n % 9)).alias("provider_fqn"), F.lit(None).cast("string").alias("provider_title"),
+        some(n % 6 == 1, F.concat(F.lit("day "), c("day"))).alias("category"),
+        F.struct(some(n % 2 == 1, c("value")).alias("price_usd"), (n % 10 == 0).alias("paid"), F.when(n % 8 == 0, rail).alias("rails")).alias("payment"),
+        F.concat(F.lit("t"), n % 13).alias("search_text"),
+    )
+    return merge.fold(rows).select(
+        "id", "origin", "path", "summary", "description", "operation_id", F.array_join("inputs", ",").alias("inputs"), "provider_fqn", "category", "paid",
+        F.round("price_usd", 6).alias("price_usd"), F.coalesce(F.size("rails"), F.lit(0)).alias("rails"), "search_text",
+    )
 
 
 def content_hashes(spark: S, sf: str) -> D:
@@ -238,7 +251,24 @@ ALL = {
         "SELECT ep_ord, CASE WHEN tb THEN summary ELSE s_a END AS summary, CASE WHEN tb THEN coalesce(description, d_a) WHEN has_b THEN coalesce(d_a, description) ELSE d_a END AS description, CASE WHEN has_b THEN operation_id END AS operation_id, paid, round(price_usd, 6) AS price_usd, "
         "CASE WHEN tb THEN CASE WHEN inputs_csv <> '' THEN inputs_csv ELSE i_a END WHEN i_a <> '' THEN i_a WHEN has_b THEN inputs_csv ELSE i_a END AS inputs FROM z",
     ),
-    "folded_records": (folded_records, None),
+    "folded_records": (
+        folded_records,
+        "WITH " + _EV + """, r AS (SELECT concat(origin, path) AS id, origin, path, ep_ord, concat('value ', value) AS summary,
+            CASE WHEN ep_ord % 5 = 0 THEN concat('about ', ep_ord) END AS description, CASE WHEN ep_ord % 7 = 0 THEN concat('op', ep_ord) END AS op,
+            CASE WHEN ep_ord % 4 = 0 THEN concat('in', ep_ord % 3) END AS input, CASE WHEN ep_ord % 3 = 0 THEN concat('p', ep_ord % 9) END AS fqn,
+            CASE WHEN ep_ord % 6 = 1 THEN concat('day ', day) END AS category, CASE WHEN ep_ord % 2 = 1 THEN value END AS price,
+            ep_ord % 10 = 0 AS paid, ep_ord % 8 = 0 AS has_rails FROM ev),
+        k AS (SELECT *, row_number() OVER w AS pos, length(summary) + CASE WHEN description IS NULL AND input IS NULL AND op IS NULL AND price IS NULL
+            AND length(summary) < 20 THEN 0 ELSE 100000 END AS lead FROM r WINDOW w AS (PARTITION BY id ORDER BY ep_ord)),
+        m AS (SELECT *, max(lead) OVER (PARTITION BY id ORDER BY ep_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS led FROM k),
+        p AS (SELECT *, CASE WHEN led IS NULL OR lead > led THEN -pos ELSE pos END AS a FROM m)
+        SELECT id, any_value(origin) AS origin, any_value(path) AS path, arg_min(summary, a) AS summary,
+            arg_min(description, a) FILTER (description IS NOT NULL) AS description, arg_min(op, a) FILTER (op IS NOT NULL) AS operation_id,
+            coalesce(arg_min(input, a) FILTER (input IS NOT NULL), '') AS inputs, arg_min(fqn, pos) FILTER (fqn IS NOT NULL) AS provider_fqn,
+            arg_min(category, a) FILTER (category IS NOT NULL) AS category, bool_or(paid) AS paid,
+            round(arg_min(price, a) FILTER (price IS NOT NULL), 6) AS price_usd, bool_or(has_rails)::INT AS rails,
+            string_agg(concat('t', ep_ord % 13), ' ' ORDER BY pos) AS search_text FROM p GROUP BY id""",
+    ),
     "content_hashes": (content_hashes, with_(E) + "SELECT ep_ord, sha256(concat_ws(chr(10), method, path, summary, coalesce(description, ''), inputs_csv_bar))[1:16] AS hash FROM (SELECT *, array_to_string(inputs, '|') AS inputs_csv_bar FROM e)"),
     "label_delta": (label_delta, with_(E) + "SELECT CASE WHEN ep_ord % 4 = 0 THEN 'new' WHEN ep_ord % 3 = 0 THEN 'changed' ELSE 'current' END AS status, count(*) AS n FROM e GROUP BY 1"),
     "labelled_facets": (

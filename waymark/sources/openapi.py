@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -135,6 +136,24 @@ def legacy_rails(doc: dict, op: dict) -> list[dict]:
     return out or [{"protocol": "x402", "version": "2", "networks": None}]
 
 
+# The documents that a service extension names, and how their addresses begin.
+SERVICE_DOCS = ("apiReference", "homepage", "llms")
+ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:\S+")
+
+
+def service_info(raw) -> tuple[list[str], dict[str, str] | None]:
+    """Categories and named documents of a service extension; nothing of one whose shape is wrong anywhere."""
+    if not isinstance(raw, dict):
+        return [], None
+    categories, docs = raw.get("categories", []), raw.get("docs", {})
+    if not isinstance(categories, list) or not isinstance(docs, dict) or not all(isinstance(c, str) for c in categories):
+        return [], None
+    named = {k: docs[k] for k in SERVICE_DOCS if k in docs}
+    if not all(isinstance(v, str) and ADDRESS.fullmatch(v) for v in named.values()):
+        return [], None
+    return categories, named or None
+
+
 def operations(origin: str | None, text: str | None) -> Iterator[dict]:
     """Raw rows of a document's operations; an unreadable or over-long document gives none."""
     if not text or len(text) > LONGEST:
@@ -147,7 +166,7 @@ def operations(origin: str | None, text: str | None) -> Iterator[dict]:
         return
     info = doc.get("info") if isinstance(doc.get("info"), dict) else {}
     guidance = next((info[k] for k in ("x-agent-guidance", "x-guidance", "guidance") if info.get(k) is not None), None)
-    service = doc.get("x-service-info") if isinstance(doc.get("x-service-info"), dict) else {}
+    categories, named = service_info(doc.get("x-service-info"))
     text_or = lambda x: x if isinstance(x, str) else None
     for path, item in doc["paths"].items():
         for method, op in (item.items() if isinstance(item, dict) else ()):
@@ -163,14 +182,14 @@ def operations(origin: str | None, text: str | None) -> Iterator[dict]:
                 "tags": [t for t in op.get("tags") or [] if isinstance(t, str)], "inputs": input_names(op, doc), "offers": offers, "paid": paid, "old_price": legacy_price(op) if paid else None,
                 "old_rails": legacy_rails(doc, op) if paid else [], "has200": given(responses.get("200")), "has402": given(responses.get("402")), "body": given(op.get("requestBody")),
                 "title": text_or(info.get("title")), "about": text_or(info.get("description")), "guidance": guidance if guidance is None else str(guidance)[:GUIDANCE],
-                "categories": [c for c in service.get("categories") or [] if isinstance(c, str)],
+                "categories": categories, "docs": named,
             }
 
 
 RAW = (
     "origin string, method string, path string, operation_id string, summary string, description string, tags array<string>, inputs array<string>, "
     "offers array<struct<intent:string,method:string,amount:string,currency:string,description:string>>, paid boolean, old_price double, "
-    "old_rails array<struct<protocol:string,version:string,networks:array<string>>>, has200 boolean, has402 boolean, body boolean, title string, about string, guidance string, categories array<string>"
+    "old_rails array<struct<protocol:string,version:string,networks:array<string>>>, has200 boolean, has402 boolean, body boolean, title string, about string, guidance string, categories array<string>, docs map<string,string>"
 )
 
 
@@ -195,7 +214,7 @@ def parse_openapi(docs: DataFrame, built_at: str) -> DataFrame:
     text = search_text(*[F.col(c) for c in ("title", "about", "summary", "description", "path")], F.array_join("tags", " "), F.col("guidance"))
     return raw.select(
         endpoint_id(F.col("origin"), F.col("method"), F.col("path")).alias("id"), "origin", "method", "path", "operation_id", "summary", "description", "tags", "inputs", payment.alias("payment"),
-        F.struct(F.col("categories").alias("categories"), null.cast("map<string,string>").alias("docs")).alias("service"), F.struct("has200", "has402").alias("responses"),
+        F.struct("categories", "docs").alias("service"), F.struct("has200", "has402").alias("responses"),
         (F.col("paid") & F.col("method").isin("POST", "PUT", "PATCH") & ~F.col("body")).alias("schema_missing"), F.col("guidance").isNotNull().alias("guidance_available"),
         F.concat("origin", F.lit("/openapi.json")).alias("openapi_url"), text.alias("search_text"), F.lit(built_at).alias("built_at"),
     )
