@@ -7,19 +7,25 @@ from pyspark.sql import functions as F
 
 from ..operators.gate import passing
 from ..operators.merge import carry_forward, first_source, origin_sources, override
+from ..schemas import ENDPOINT
 from ..sources.openapi import parse_openapi
 from ..sources.registry import clean_snapshot, provider_origins, resources_to_endpoints, service_origins, services_to_endpoints
 
 
+def shaped(rows: DataFrame) -> DataFrame:
+    """``rows`` with every declared column and field, those they lack as nulls; columns of their own stay."""
+    return rows.sparkSession.createDataFrame([], ENDPOINT).unionByName(rows, allowMissingColumns=True)
+
+
 def build_catalog(resources: DataFrame, services: DataFrame, providers: DataFrame, docs: DataFrame, prior: DataFrame | None, built_at: str) -> DataFrame:
     """Inline rows by source order, OpenAPI rows in place of their origins', prior rows of unseen origins, then the gate."""
     a = resources_to_endpoints(resources, built_at).withColumn("source", F.lit("bazaar"))
     b = services_to_endpoints(services, built_at).withColumn("source", F.lit("mpp"))
     # ties inside a source: the first by id
-    rows = a.unionByName(b, allowMissingColumns=True).withColumn("ep_ord", F.xxhash64("id", "summary"))
+    rows = shaped(a).unionByName(shaped(b)).withColumn("ep_ord", F.xxhash64("id", "summary"))
     inline = first_source(rows)
     named = inline.select("origin", "source").union(service_origins(services).select("origin", F.lit("mpp"))).union(provider_origins(providers).select("origin", F.lit("paysh")))
-    merged = override(inline, parse_openapi(docs, built_at), origin_sources(named))
+    merged = override(inline, shaped(parse_openapi(docs, built_at)), origin_sources(named))
     if prior is not None:
         merged = carry_forward(merged, prior, F.lit(built_at))
     return passing(merged)
