@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import new_path
-from . import ann, decontam, langid, license, packing, pii, quality, secrets, simhash, store, whitening
+from . import ann, decontam, langid, license, packing, pii, pstable, quality, secrets, simhash, store, whitening
 from .tokens import vocabulary
 
 
@@ -93,12 +93,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_quality, op3_language, op4_packing, op5_decontamination, op6_neighbours, op7_store, op8_pii, op9_license, op10_secrets, op13_whitening)
+    for f in (op1_simhash, op2_quality, op3_language, op4_packing, op5_decontamination, op6_neighbours, op7_store, op8_pii, op9_license, op10_secrets, op12_embedding_dedup, op13_whitening)
 }
 ORACLES: dict[str, str] = {}
