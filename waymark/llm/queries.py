@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import new_path
-from . import ann, decontam, langid, license, packing, pii, pstable, quality, secrets, simhash, store, whitening
+from . import ann, decontam, langid, license, packing, pii, pstable, quality, repair, secrets, simhash, store, whitening
 from .tokens import vocabulary
 
 
@@ -93,6 +93,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -103,6 +107,6 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_quality, op3_language, op4_packing, op5_decontamination, op6_neighbours, op7_store, op8_pii, op9_license, op10_secrets, op12_embedding_dedup, op13_whitening)
+    for f in (op1_simhash, op2_quality, op3_language, op4_packing, op5_decontamination, op6_neighbours, op7_store, op8_pii, op9_license, op10_secrets, op11_repair, op12_embedding_dedup, op13_whitening)
 }
 ORACLES: dict[str, str] = {}
