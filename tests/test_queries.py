@@ -12,6 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: One of each module's kinds; all of them run in the driver's own comparison.
 CHECKED = ["endpoint_facets", "quality_gate", "document_mirrors", "materialized", "resolved", "bound", "keyword_search", "arm_guard", "inverse_links", "lateral_flow", "followups_pool", "registry_endpoints", "carried", "merged_records", "judged_precision", "agent_runs", "heldout", "multi_label", "probe_scores", "embedded_delta", "intent_texts", "payload_sizes", "floor_sweep", "endpoint_top_k", "classified",
            "searched", "answered", "resolved_by_facets", "finding_leads", "followups_filled", "folded_records", "entity_rollup", "domain_rollup",
+           "keyword_top", "int8_top_k", "int8_reranked", "pair_cosines", "resolved_semantic",
            "regated", "merged_labels", "inferred_links", "service_documents"]
 
 
@@ -62,13 +63,15 @@ def test_followups_are_filled_in_one_native_stage(spark, sf):
     assert sorted(map(tuple, followups.fill(pool).collect())) == want
 
 
-@pytest.mark.parametrize("block", [40, 4_000_000])
+@pytest.mark.parametrize("block", [300, 4_000_000])
 def test_blocks_of_queries_find_the_same(spark, block, monkeypatch):
     import numpy as np
 
-    from waymark.operators import search
+    from waymark.operators import blocks, search
 
-    monkeypatch.setattr(search, "BLOCK", block)
+    monkeypatch.setattr(blocks, "QUERY_BYTES", block)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", block)
+    monkeypatch.setattr(blocks, "PRODUCTS", 60)
     rng = np.random.default_rng(1)
     x, y = rng.standard_normal((23, 4)), rng.standard_normal((50, 4))
     queries = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "query_id long, vec array<double>")
@@ -77,6 +80,42 @@ def test_blocks_of_queries_find_the_same(spark, block, monkeypatch):
     assert got == [(q, n + 1, int(k)) for q in range(23) for n, k in enumerate(np.argsort(-(y @ x[q]), kind="stable")[:5])]
 
 
+@pytest.mark.parametrize("block", [400, 4_000_000])
+def test_keyword_top_is_the_top_of_all_hits(spark, block, monkeypatch):
+    """Common and rare words, stems and compounds, ties, and blocks of a few rows."""
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from waymark.operators import blocks, search
+
+    monkeypatch.setattr(blocks, "QUERY_BYTES", block)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 4 * block)
+    monkeypatch.setattr(blocks, "INDEXED", 7)
+    rng = random.Random(4)
+    words = "search searching cats city cities page webpage webpages market marketplace exchange ex.change rate rates the".split()
+    text = lambda n: " ".join(rng.choice(words[: rng.randrange(1, len(words) + 1)]) for _ in range(rng.randrange(n)))
+    rows = [(f"e{k}", k, rng.choice(["authenticate now", "x", None]), rng.choice([True, False, None]), (rng.choice([None, 1.0]),), text(9)) for k in range(150)]
+    e = spark.createDataFrame(rows, "id string, ep_ord long, summary string, guidance_available boolean, payment struct<price_usd:double>, search_text string").repartition(3)
+    q = spark.createDataFrame([(k, text(6)) for k in range(25)] + [(99, None)], "query_id long, query string")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ep_ord")
+    every = search.keyword_endpoints(q, e).withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(w)).where("rank <= 4")
+    cols = ["query_id", "rank", "id", "score"]
+    got = search.keyword_top(q, e, 4)
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, every.select(cols).collect()))
+
+
+def test_a_tied_best_list_is_by_order(spark):
+    from waymark.operators import search
+
+    rows = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(500)], "vec_id long, vec array<float>").repartition(5)
+    q = spark.createDataFrame([(1, [2.0, 0.0]), (2, [-1.0, 0.0])], "query_id long, vec array<float>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in search.block_top_k(spark, q, rows, 3, "vec_id").collect())
+    assert got == [(q, n + 1, n) for q in (1, 2) for n in range(3)]
+    assert search.pair_cosines(spark.createDataFrame([(1, 3), (1, 3), (7, 3)], "query_id long, vec_id long"), q, rows, "vec_id").collect() == [(1, 3, 1.0)]
+
+
 def test_materialize_limits_before_the_shuffle(spark, sf):
     plan = QUERIES["neutral_top"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -10,6 +10,7 @@ from ..functions.ids import rooted
 from ..functions.text import intent_id_tokens, intent_vocab_tokens, query_tokens
 from ..storage import saved
 from ..tuning import Tuning
+from .search import pair_cosines
 
 #: Input names that speak for an entity.
 ENTITY_INPUTS = {
@@ -166,12 +167,13 @@ def facet_penalties(tuning: Tuning, intent_id: Column, domain: Column, action: C
     )
 
 
-def resolve(asks: DataFrame, refs: DataFrame, endpoints: DataFrame, intents: DataFrame, k: int = 10, tuning: Tuning = Tuning(), semantic: DataFrame | None = None) -> DataFrame:
+def resolve(asks: DataFrame, refs: DataFrame, endpoints: DataFrame, intents: DataFrame, k: int = 10, tuning: Tuning = Tuning(), semantic: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Top ``k`` endpoints of each (query_id, intent_id, query) ask, by a score that sees the query.
 
     Candidates are the endpoints of the intent's references; references of endpoints that share a key name them all.
-    ``semantic`` (query_id, id, cosine) rescues close endpoints of narrow hosts; missing pairs get nothing. Without it
-    equal queries have equal answers, so each distinct one is scored once and its answer joined back.
+    ``semantic``, vectors of queries (query_id, vec) and endpoints (id, vec), rescues close endpoints of narrow hosts; pairs
+    without a vector get nothing. Cosines are made of candidates alone, by key. Without vectors equal queries have equal
+    answers, so each distinct one is scored once and its answer joined back.
     Returns query_id, intent_id, rank, id, origin, method, path, price_usd, inputs, rails, score.
     """
     if semantic is None:
@@ -184,7 +186,7 @@ def resolve(asks: DataFrame, refs: DataFrame, endpoints: DataFrame, intents: Dat
     return _resolved(asks, refs, endpoints, intents, k, tuning, semantic)
 
 
-def _resolved(asks: DataFrame, refs: DataFrame, endpoints: DataFrame, intents: DataFrame, k: int, tuning: Tuning, semantic: DataFrame | None) -> DataFrame:
+def _resolved(asks: DataFrame, refs: DataFrame, endpoints: DataFrame, intents: DataFrame, k: int, tuning: Tuning, semantic: tuple[DataFrame, DataFrame] | None) -> DataFrame:
     i = F.col
     small = intents.select(
         i("id").alias("intent_id"), "consumes", "produces", i("facets.domain").alias("i_domain"), i("facets.action").alias("i_action"),
@@ -197,7 +199,8 @@ def _resolved(asks: DataFrame, refs: DataFrame, endpoints: DataFrame, intents: D
     known = known.withColumn("neutral", neutral_score(relevance_bonus(i("consumes"), i("produces"))))
     rows = asks.select("query_id", "intent_id", query_tokens(i("query")).alias("q_tokens")).join(known, "intent_id")
     if semantic is not None:
-        rows = rows.join(semantic.select("query_id", "id", "cosine"), ["query_id", "id"], "left")
+        narrow = asks.select("query_id", "intent_id").join(candidates.where(_or(i("host_breadth"), 0) <= tuning.breadth_threshold).select("intent_id", "id"), "intent_id")
+        rows = rows.join(pair_cosines(narrow, *semantic, "id"), ["query_id", "id"], "left")
     else:
         rows = rows.withColumn("cosine", F.lit(None).cast("double"))
     hits = F.size(F.filter("id_tokens", lambda t: F.contains(i("text"), t)))

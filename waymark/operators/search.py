@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import partial
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.facets import GENERIC_HIT
 from ..functions.patterns import matches
 from ..functions.text import search_tokens, stem
+from ..storage import spread
+from . import blocks
+from .bind import dot
 
 EXACT, STEM, COMPOUND = 1.0, 0.6, 0.5
 
@@ -65,12 +66,32 @@ def keyword_intents(queries: DataFrame, intents: DataFrame) -> DataFrame:
     return both.where((t + F.col("boost")) > 0).select("query_id", "intent_id", raw.alias("score"), "intent_ord")
 
 
+def hit_factor() -> Column:
+    """What an endpoint's record makes of its token score."""
+    guided = F.coalesce("guidance_available", F.lit(False))
+    generic = matches(F.coalesce("summary", F.lit("")), GENERIC_HIT)
+    return F.when(generic, 0.35).otherwise(1.0) * F.when(guided, 1.15).otherwise(1.0) * F.when(F.col("payment.price_usd").isNotNull(), 1.05).otherwise(1.0)
+
+
 def keyword_endpoints(queries: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """(query_id, id, score, ep_ord) of endpoints that a query hits."""
-    own = endpoints.select("id", "ep_ord", F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("guidance_available", F.lit(False)).alias("g"), F.col("payment.price_usd").isNotNull().alias("p"))
+    """(query_id, id, score, ep_ord) of all endpoints that a query hits; for the best alone see :func:`keyword_top`."""
+    own = endpoints.select("id", "ep_ord", hit_factor().alias("factor"))
     hits = token_scores(queries, endpoints.select("id", F.col("search_text").alias("text")), "id").join(own, "id")
-    factor = F.when(matches(F.col("summary"), GENERIC_HIT), 0.35).otherwise(1.0) * F.when(F.col("g"), 1.15).otherwise(1.0) * F.when(F.col("p"), 1.05).otherwise(1.0)
-    return hits.select("query_id", "id", (F.col("token_score") * factor).alias("score"), "ep_ord")
+    return hits.select("query_id", "id", (F.col("token_score") * F.col("factor")).alias("score"), "ep_ord")
+
+
+def keyword_top(queries: DataFrame, endpoints: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, ep_ord, rank): the ``k`` best of :func:`keyword_endpoints`, scores rounded to nine digits.
+
+    Postings stay with their endpoints in blocks, so a common token is no hot key; a query passes over what can't reach
+    its best so far, and a task gives ``k`` rows a query."""
+    tokens = search_tokens(F.col("query"))
+    asked = queries.select("query_id", tokens.alias("tokens"), F.transform(tokens, stem).alias("stems"))
+    own = F.array_distinct(search_tokens(F.col("search_text")))
+    rows = spread(endpoints).select("id", F.col("ep_ord").cast("long").alias("ep_ord"), own.alias("tokens"), F.array_distinct(F.transform(own, stem)).alias("stems"), hit_factor().alias("factor"))
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, id string, score double, ep_ord long"
+    weight = F.size("tokens") * 40 + 16
+    return blocks.ranked(blocks.meet(asked, rows.where(F.size("tokens") > 0), partial(blocks.Postings, k=k), schema, weight, weight), k, "ep_ord")
 
 
 def keyword_search(queries: DataFrame, endpoints: DataFrame, intents: DataFrame, k: int = 10) -> DataFrame:
@@ -79,60 +100,44 @@ def keyword_search(queries: DataFrame, endpoints: DataFrame, intents: DataFrame,
     Scores that agree to nine digits tie, as sums in another order differ in their last bits."""
     a = keyword_intents(queries, intents).select("query_id", F.lit("capability").alias("kind"), F.col("intent_id").alias("hit_id"), F.col("intent_id").alias("capability_id"), "score", F.lit(0).alias("o"), F.col("intent_ord").cast("long").alias("ord"))
     first = endpoints.select("id", F.try_element_at("capabilities", F.lit(1)).alias("capability_id"))
-    b = keyword_endpoints(queries, endpoints).join(first, "id").select("query_id", F.lit("endpoint").alias("kind"), F.col("id").alias("hit_id"), "capability_id", "score", F.lit(1).alias("o"), F.col("ep_ord").alias("ord"))
+    b = keyword_top(queries, endpoints, k).join(first, "id").select("query_id", F.lit("endpoint").alias("kind"), F.col("id").alias("hit_id"), "capability_id", "score", F.lit(1).alias("o"), F.col("ep_ord").alias("ord"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "o", "ord")
     return a.union(b).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "kind", "hit_id", "capability_id", "score")
 
 
-#: Components of query vectors, or of rows, that a task holds at once.
-BLOCK = 4_000_000
-
-
 def block_top_k(spark: SparkSession, queries: DataFrame, rows: DataFrame, k: int, order: str) -> DataFrame:
-    """(query_id, order, score): the ``k`` rows of the largest inner product with each query.
+    """(query_id, order, score, rank): the ``k`` rows of the largest inner product with each query, ties by ``order``.
 
-    ``queries`` (query_id, vec) is the stated query set. Up to ``BLOCK`` components of it are broadcast and rows stay
-    where they are; beyond, queries and rows meet in pairs of blocks, which Spark shuffles. Every batch or block keeps its
-    own best, ties by ``order``, and one window merges them.
+    ``queries`` (query_id, vec) is the stated query set; see :mod:`.blocks` for how it meets the rows (order, vec).
     """
-    kinds = {c: t for c, t in rows.dtypes} | {"query_id": dict(queries.dtypes)["query_id"]}
+    kinds = dict(rows.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
     schema = f"query_id {kinds['query_id']}, `{order}` {kinds[order]}, score double"
-    head = rows.select(F.size("vec").alias("d")).limit(1).collect()
-    dims, n = max(1, head[0]["d"] if head else 1), queries.count()
-
-    def best(ids: np.ndarray, matrix: np.ndarray, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(order, kind="stable")
-        scores = matrix @ np.stack(p["vec"].to_numpy()).astype(np.float64).T
-        near = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        r = np.repeat(np.arange(len(ids)), near.shape[1])
-        return pd.DataFrame({"query_id": ids[r], order: p[order].to_numpy()[near.ravel()], "score": scores[r, near.ravel()]})
-
-    if n * dims <= BLOCK:
-        own = queries.select("query_id", "vec").orderBy("query_id").collect()
-        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in own], object), np.array([r["vec"] for r in own], np.float64)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            for p in batches:
-                if len(p) and len(ids):
-                    yield best(ids, matrix, p)
-
-        found = rows.select(order, "vec").mapInPandas(run, schema)
-    else:
-        q_blocks, r_blocks = -(-n * dims // BLOCK), max(1, -(-rows.count() * dims // BLOCK))
-        spread = lambda name, m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(name)
-        dealt = lambda c, name, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int").alias(name)
-        left = queries.select("query_id", "vec", dealt("query_id", "qb", q_blocks), spread("rb", r_blocks))
-        right = rows.select(order, "vec", dealt(order, "rb", r_blocks), spread("qb", q_blocks))
-
-        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"query_id": [], order: [], "score": []})
-            return best(a["query_id"].to_numpy(object), np.stack(a["vec"].to_numpy()).astype(np.float64), b)
-
-        found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(meet, schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), order)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    own, bytes_of = queries.select("query_id", "vec"), F.size("vec") * 8
+    return blocks.ranked(blocks.meet(own, rows.select(order, "vec"), partial(blocks.Nearest, k=k, order=order), schema, bytes_of, bytes_of), k, order)
+
+
+def int8_top_k(queries: DataFrame, packed: DataFrame, k: int, order: str) -> DataFrame:
+    """(query_id, order, score, rank): as :func:`block_top_k` over the int8 index ``packed`` (order, scale, q: binary)."""
+    kinds = dict(packed.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
+    schema = f"query_id {kinds['query_id']}, `{order}` {kinds[order]}, score double"
+    own = queries.select("query_id", "vec")
+    found = blocks.meet(own, packed.select(order, "scale", "q"), partial(blocks.Nearest, k=k, order=order), schema, F.size("vec") * 8, F.octet_length("q") + 16)
+    return blocks.ranked(found, k, order)
+
+
+def pair_cosines(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """(query_id, key, cosine) of stated pairs; those of which either side has no vector, or a zero one, fall out.
+
+    Two joins by key: only the vectors that a pair names are multiplied."""
+    norm = lambda c: F.sqrt(dot(c, c))
+    rows = pairs.select("query_id", key).distinct().join(queries.select("query_id", F.col("vec").alias("a")), "query_id").join(vectors.select(key, F.col("vec").alias("b")), key)
+    length = norm(F.col("a")) * norm(F.col("b"))
+    return rows.where(length > 0).select("query_id", key, (dot(F.col("a"), F.col("b")) / length).alias("cosine"))
+
+
+def reranked(hits: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, order: str) -> DataFrame:
+    """The ``k`` best of an int8 arm's ``hits`` (query_id, order) by the cosine of the whole vectors."""
+    return blocks.ranked(pair_cosines(hits, queries, vectors, order).withColumnRenamed("cosine", "score"), k, order)
 
 
 def vector_intents(queries: DataFrame, intents: DataFrame, k: int = 10, squared: bool = True) -> DataFrame:

@@ -86,6 +86,38 @@ def quantized(spark: S, sf: str) -> D:
     return q.select(F.col("text_hash").cast("long").alias("vec_id"), F.round("scale", 9).alias("scale"), F.array_join("q", ",").alias("q"))
 
 
+def _packed(spark: S, sf: str) -> D:
+    """The int8 index of all embeddings by vec_id."""
+    e = v.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("text_hash"), F.col("embedding").alias("vec"))
+    return vectors.packed(vectors.quantize(e, e)).select(F.col("text_hash").cast("long").alias("vec_id"), "scale", "q")
+
+
+def int8_top_k(spark: S, sf: str) -> D:
+    """The ten nearest of all int8 rows for each label's centroid."""
+    q = _centroids(spark, sf).select(F.col("intent_id").alias("query_id"), "vec")
+    return search.int8_top_k(q, _packed(spark, sf), 10, "vec_id").select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def int8_reranked(spark: S, sf: str) -> D:
+    """Forty of the int8 arm for each label's centroid, and of these the ten nearest by whole vectors."""
+    q = saved(_centroids(spark, sf).select(F.col("intent_id").alias("query_id"), "vec"), "centroids")
+    hits = search.int8_top_k(q, _packed(spark, sf), 40, "vec_id")
+    return search.reranked(hits, q, _rows(spark, sf), 10, "vec_id").select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def pair_cosines(spark: S, sf: str) -> D:
+    """Every vector with its own label's centroid and the next label's."""
+    q = saved(_centroids(spark, sf).select(F.col("intent_id").cast("int").alias("query_id"), "vec"), "centroids")
+    own = v.table(spark, sf, "embeddings").select("vec_id", F.explode(F.array(F.col("label"), F.col("label") + 1)).alias("query_id"))
+    return search.pair_cosines(own, q, _rows(spark, sf), "vec_id").select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"))
+
+
+def keyword_top(spark: S, sf: str) -> D:
+    """The seven best endpoints of each different request, by words."""
+    out = search.keyword_top(_requests(spark, sf), v.endpoints(spark, sf), 7)
+    return out.select("query_id", "rank", "id", F.round("score", 9).alias("score"))
+
+
 def vector_intents(spark: S, sf: str) -> D:
     rows = _rows(spark, sf).withColumnRenamed("vec_id", "query_id")
     return search.vector_intents(rows, _centroids(spark, sf), 3).select("query_id", "rank", "intent_id", F.round("score", 6).alias("score"))
@@ -121,11 +153,7 @@ def match_capabilities(spark: S, sf: str) -> D:
 
 def _arm(spark: S, sf: str, e: D) -> D:
     """Keyword hits of each request as an arm of ten."""
-    from pyspark.sql import Window
-
-    hits = search.keyword_endpoints(_requests(spark, sf), e).withColumn("score", F.round("score", 9))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ep_ord")
-    return saved(hits.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("query_id", "rank", "id", "score", "ep_ord"), "arm")
+    return saved(search.keyword_top(_requests(spark, sf), e, 10).select("query_id", "rank", "id", "score", "ep_ord"), "arm")
 
 
 def _order(spark: S, sf: str) -> D:
@@ -219,6 +247,13 @@ _CENT = (
     "mean AS (SELECT label, p, avg(x) AS m FROM ex GROUP BY 1, 2),\n"
     "cent AS (SELECT label, list(m / nrm ORDER BY p) AS c FROM mean JOIN (SELECT label, sqrt(sum(m * m)) AS nrm FROM mean GROUP BY 1) USING (label) GROUP BY 1)"
 )
+_INT8 = (
+    "sc8 AS (SELECT vec_id, embedding, CASE WHEN mx > 0 THEN mx / 127 ELSE 1 END AS scale FROM (SELECT *, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS mx FROM embeddings)),\n"
+    "q8 AS (SELECT vec_id, scale, list_transform(embedding, lambda x: greatest(-127, least(127, floor(x::DOUBLE / scale + 0.5)))) AS q FROM sc8),\n"
+    "h8 AS (SELECT label, vec_id, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (\n"
+    "SELECT cent.label AS label, vec_id, scale * list_dot_product(q::DOUBLE[], c) AS score FROM q8, cent))"
+)
+_COSINE = "list_dot_product(embedding::DOUBLE[], c) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(c, c))"
 _DENSE = _CENT + ",\nden AS (SELECT vec_id, cent.label AS label, list_dot_product(embedding::DOUBLE[], c) AS dense FROM embeddings, cent)"
 
 
@@ -298,6 +333,28 @@ ALL = {
         endpoint_top_k,
         with_(_DENSE) + "SELECT CAST(label AS VARCHAR) AS query_id, rank, vec_id, round(dense, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY dense DESC, vec_id) AS rank FROM den) WHERE rank <= 10",
     ),
+    "int8_top_k": (
+        int8_top_k,
+        with_(_CENT, _INT8) + "SELECT CAST(label AS VARCHAR) AS query_id, rank, vec_id, round(score, 6) AS score FROM h8 WHERE rank <= 10",
+    ),
+    "int8_reranked": (
+        int8_reranked,
+        with_(_CENT, _INT8)
+        + f"""SELECT CAST(label AS VARCHAR) AS query_id, rank, vec_id, round(score, 6) AS score FROM (
+            SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (
+                SELECT cent.label AS label, h8.vec_id AS vec_id, {_COSINE} AS score
+                FROM h8 JOIN cent ON cent.label = h8.label JOIN embeddings e ON e.vec_id = h8.vec_id WHERE rank <= 40)) WHERE rank <= 10""",
+    ),
+    "pair_cosines": (
+        pair_cosines,
+        with_(_CENT) + f"SELECT cent.label AS query_id, vec_id, round({_COSINE}, 6) AS cosine FROM embeddings e JOIN cent ON cent.label IN (e.label, e.label + 1)",
+    ),
+    "keyword_top": (
+        keyword_top,
+        with_(E, I, Q, _SCORE_Q, _KE)
+        + """SELECT query_id, rank, id, round(score, 9) AS score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ep_ord) AS rank FROM ke) WHERE rank <= 7""",
+    ),
     "keyword_intents": (keyword_intents, with_(E, I, Q, _SCORE_Q, _KI) + "SELECT query_id, intent_id, round(score, 6) AS score FROM ki"),
     "keyword_endpoints": (keyword_endpoints, with_(E, Q, _SCORE_Q, _KE) + "SELECT query_id, ep_ord, round(score, 9) AS score FROM ke"),
     "keyword_search": (

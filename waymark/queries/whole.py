@@ -12,7 +12,7 @@ from ..storage import saved
 from ..tuning import Tuning
 from . import views as v
 from .binding import _KE, _KI, _SCORE_Q, _requests
-from .catalog import _GATE, _RESOLVE
+from .catalog import _GATE, _RESOLVE, HOST_SQL
 from .flow import _ID, _ORDER, _links, _map, _pool, FILL, FOLLOW, L, POOL
 from .views import BRIDGE_LIST, E, I, M, OBSERVATIONS, PARENT_SQL, Q, with_
 
@@ -78,6 +78,21 @@ def resolved_by_facets(spark: S, sf: str) -> D:
     return out.select("query_id", "intent_id", "rank", F.round("score", 6).alias("score"), "price_usd")
 
 
+SEMANTIC = Tuning(semantic_floor=0.05, breadth_threshold=3)
+
+
+def resolved_semantic(spark: S, sf: str) -> D:
+    """Each different request with a vector, where close endpoints of hosts with few intents are rescued."""
+    refs = v.refs(spark, sf)
+    e = saved(rank.with_breadth(v.faceted(spark, sf), refs), "endpoints")
+    vec = v.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    own = e.select("id", (F.col("ep_ord") % 500).alias("vec_id")).join(vec, "vec_id").select("id", "vec")
+    ids = F.array(*[F.lit(x) for x in v.IDS])
+    asks = saved(_requests(spark, sf).select("query_id", "query", F.element_at(ids, (F.col("ph") + 1).cast("int")).alias("intent_id")), "asks")
+    out = rank.resolve(asks, _keyed(refs), e, v.intents(spark, sf), 3, SEMANTIC, (vec.withColumnRenamed("vec_id", "query_id"), own))
+    return out.select("query_id", "intent_id", "rank", F.round("score", 6).alias("score"), "price_usd")
+
+
 def _findings(spark: S, sf: str) -> D:
     """Customers' findings: a request, and for some a domain, a place, an intent or an entity that is given."""
     text = (
@@ -220,6 +235,19 @@ _PEN = f"""xf AS (SELECT ep_ord, domain AS own_domain, output_entity AS own_made
         FROM sc JOIN xf USING (ep_ord) JOIN i USING (intent_id))
     """
 
+#: The resolve score of different requests, with the rescue by cosine.
+_RQ = Q.replace("q AS (", "q0 AS (", 1) + ",\nq AS (SELECT min(query_id) AS query_id, query, ph FROM q0 GROUP BY query, ph)"
+_RESCUE = (
+    _RESOLVE.replace(Q, _RQ).replace("> 12 THEN -2.0 * (breadth - 12)", f"> {SEMANTIC.breadth_threshold} THEN -2.0 * (breadth - {SEMANTIC.breadth_threshold})").rstrip()
+    + f""",
+    cs AS (SELECT sc.*, coalesce(breadth, 0) AS b, list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[])
+            / sqrt(list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) / sqrt(list_dot_product(y.embedding::DOUBLE[], y.embedding::DOUBLE[])) AS cosine
+        FROM sc JOIN e USING (ep_ord) LEFT JOIN hb ON hb.host = {HOST_SQL.format('e.origin')}
+        LEFT JOIN embeddings x ON x.vec_id = sc.query_id LEFT JOIN embeddings y ON y.vec_id = sc.ep_ord % 500),
+    rc AS (SELECT *, score + CASE WHEN cosine IS NOT NULL AND b <= {SEMANTIC.breadth_threshold}
+        THEN {SEMANTIC.semantic_weight} * greatest(0, cosine - {SEMANTIC.semantic_floor}) ELSE 0 END AS s3 FROM cs)
+    """
+)
 _HASH = "sha256(concat_ws(chr(10), method, path, summary, coalesce(description, ''), array_to_string(inputs, '|')))[1:16]"
 
 ALL = {
@@ -247,6 +275,11 @@ ALL = {
         "WITH " + _RESOLVE.rstrip() + ",\n" + _PEN + """SELECT query_id, intent_id, rank, round(s2, 6) AS score, price_usd FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id, intent_id ORDER BY s2 DESC, ref_rank, ep_ord) AS rank FROM pn) WHERE rank <= 3""",
     ),
+    "resolved_semantic": (
+        resolved_semantic,
+        "WITH " + _RESCUE + """SELECT query_id, intent_id, rank, round(s3, 6) AS score, price_usd FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id, intent_id ORDER BY s3 DESC, ref_rank, ep_ord) AS rank FROM rc) WHERE rank <= 3""",
+    ),
     "finding_leads": (
         finding_leads,
         with_(E, I, FQ, _SCORE_Q, _KI, _KE, _IV, _found(200), PARENT_SQL, _LEADS, FOLLOW, FILL).replace("WITH ", "WITH RECURSIVE ", 1)

@@ -35,8 +35,10 @@ def quantize(vectors: DataFrame, live: DataFrame) -> DataFrame:
     return rows.select("text_hash", "scale", q.alias("q"))
 
 
-def quantized_score(q: Column, scale: Column, query: Column) -> Column:
-    return scale * F.aggregate(F.zip_with(q, query, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def packed(quantized: DataFrame) -> DataFrame:
+    """(text_hash, scale, q: binary): the int8 index, a byte a component, as the arm searches it."""
+    byte = F.transform("q", lambda x: F.lpad(F.hex(x.cast("int").bitwiseAND(255)), 2, "0"))
+    return quantized.select("text_hash", "scale", F.unhex(F.array_join(byte, "")).alias("q"))
 
 
 def attach(endpoints: DataFrame, vectors: DataFrame, text: Column) -> DataFrame:
