@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: One of each module's kinds; all of them run in the driver's own comparison.
 CHECKED = ["endpoint_facets", "quality_gate", "document_mirrors", "materialized", "resolved", "bound", "keyword_search", "arm_guard", "inverse_links", "lateral_flow", "followups_pool", "registry_endpoints", "carried", "merged_records", "judged_precision", "agent_runs", "heldout", "multi_label", "probe_scores", "embedded_delta", "intent_texts", "payload_sizes", "floor_sweep", "endpoint_top_k", "classified",
            "searched", "answered", "resolved_by_facets", "finding_leads", "followups_filled", "folded_records", "entity_rollup", "domain_rollup",
-           "keyword_top", "int8_top_k", "int8_reranked", "pair_cosines", "resolved_semantic",
+           "keyword_top", "int8_top_k", "int8_reranked", "pair_cosines", "resolved_semantic", "sparse_cosines", "bound_catalog", "catalog_bind_report", "catalog_sweep", "bind_report",
            "regated", "merged_labels", "inferred_links", "service_documents"]
 
 
@@ -106,6 +106,14 @@ def test_keyword_top_is_the_top_of_all_hits(spark, block, monkeypatch):
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, every.select(cols).collect()))
 
 
+@pytest.mark.parametrize("name", ["sparse_cosines", "bound", "catalog_sweep"])
+def test_beyond_the_bound_of_tokens(spark, sf, duck, name, monkeypatch):
+    from waymark.operators import binder
+
+    monkeypatch.setattr(binder, "IDF_TOKENS", 10)
+    test_query_is_its_sql(spark, sf, duck, name)
+
+
 def test_a_tied_best_list_is_by_order(spark):
     from waymark.operators import search
 

@@ -67,62 +67,27 @@ def dense_block(spark: SparkSession, vectors: DataFrame, intents: DataFrame, key
 def decide(scores: DataFrame, key: str, tuning: Tuning = Tuning()) -> DataFrame:
     """Binding of (key, intent_id, intent_ord, dense, sparse) for all intents of each key.
 
-    Ranks run over all intents. Candidates have dense at their floor, or sparse at the strong floor (promoted);
+    The same as :func:`.binder.bind_endpoints` makes of blocks, for scores that are pairs already. Ranks run over all intents. Candidates have dense at their floor, or sparse at the strong floor (promoted);
     dense ones come first, each by reciprocal rank; the first ``top_k`` stay; then sparse must reach its floor;
     then sparse must be strong, or dense must lead the best other by the margin (a sole intent always does).
     Returns one row a candidate: key, intent_id, place, promoted, slot (in the top k), sparse_ok, bound.
     """
-    return _decided(_ranked(scores, key), key, [tuning]).drop("setting")
-
-
-def _ranked(scores: DataFrame, key: str) -> DataFrame:
-    """``scores`` with what no setting changes: both ranks (from 0) over all intents, and the two best dense scores."""
-    part = Window.partitionBy(key)
-    ranks = {"d": F.row_number().over(part.orderBy(F.desc("dense"), "intent_ord")) - 1, "s": F.row_number().over(part.orderBy(F.desc("sparse"), "intent_ord")) - 1}
-    first = F.max(F.when(F.col("d") == 0, F.col("dense"))).over(part)
-    second = F.coalesce(F.max(F.when(F.col("d") == 1, F.col("dense"))).over(part), F.lit(float("-inf")))
-    return scores.withColumns(ranks).withColumns({"best": first, "second": second})
-
-
-def _decided(ranked: DataFrame, key: str, settings: list[Tuning]) -> DataFrame:
-    """The candidates of each setting, numbered from 0, in one pass over ``ranked``."""
-    c = F.col
-
-    def of(value) -> Column:
-        """A value of the row's setting."""
-        return F.element_at(F.array(*[F.lit(float(value(t))) for t in settings]), c("setting") + 1)
-
-    floor = of(lambda t: t.dense_floor)
-    for k, t in enumerate(settings):
-        for intent, own in t.floor_overrides.items():
-            floor = F.when((c("setting") == k) & (c("intent_id") == intent), own).otherwise(floor)
-    rows = ranked.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(settings) - 1))).alias("setting"))
-    strong = c("sparse") >= of(lambda t: t.strong_sparse_floor)
+    c, part = F.col, Window.partitionBy(key)
+    d, s = F.row_number().over(part.orderBy(F.desc("dense"), "intent_ord")) - 1, F.row_number().over(part.orderBy(F.desc("sparse"), "intent_ord")) - 1
+    rows = scores.withColumns({"d": d, "s": s})
+    second = F.coalesce(F.max(F.when(c("d") == 1, c("dense"))).over(part), F.lit(float("-inf")))
+    rows = rows.withColumns({"best": F.max(F.when(c("d") == 0, c("dense"))).over(part), "second": second})
+    floor = F.lit(tuning.dense_floor)
+    for intent, own in tuning.floor_overrides.items():
+        floor = F.when(c("intent_id") == intent, own).otherwise(floor)
+    strong = c("sparse") >= tuning.strong_sparse_floor
     rows = rows.withColumn("promoted", ~(c("dense") >= floor) & strong).where((c("dense") >= floor) | c("promoted"))
-    rrf = 1 / (of(lambda t: t.rrf_k) + c("d")) + 1 / (of(lambda t: t.rrf_k) + c("s"))
-    place = F.row_number().over(Window.partitionBy("setting", key).orderBy(c("promoted").cast("int"), F.desc(rrf), "intent_ord"))
+    rrf = 1 / (tuning.rrf_k + c("d")) + 1 / (tuning.rrf_k + c("s"))
+    place = F.row_number().over(part.orderBy(c("promoted").cast("int"), F.desc(rrf), "intent_ord"))
     lead = c("dense") - F.when(c("dense") >= c("best"), c("second")).otherwise(c("best"))
-    told = strong | (lead >= of(lambda t: t.dense_margin))
-    out = rows.withColumn("place", place).withColumn("slot", c("place") <= of(lambda t: t.top_k))
-    out = out.withColumn("sparse_ok", c("slot") & (c("sparse") >= of(lambda t: t.sparse_floor))).withColumn("bound", c("sparse_ok") & told)
-    return out.select("setting", key, "intent_id", "place", "promoted", "slot", "sparse_ok", "bound", "dense", "sparse")
-
-
-def score_table(endpoints: DataFrame, intents: DataFrame, key: str, text: Column, intent_text: Column, dense: DataFrame) -> DataFrame:
-    """(key, intent_id, intent_ord, dense, sparse) of every endpoint and intent.
-
-    ``dense`` is :func:`dense_block`'s; df counts all endpoints, meta files too. Rows of meta-file paths are left out.
-    """
-    counts = token_counts(endpoints, key, text)
-    n = endpoints.count()
-    idf = idf_table(counts, n)
-    docs = tfidf(counts, idf, n, key)
-    own = tfidf(token_counts(intents, "intent_id", intent_text), idf, n, "intent_id")
-    sparse = sparse_cosines(docs, own, key)
-    live = endpoints.where(~matches(F.coalesce("path", F.lit("")), BIND_META)).select(key)
-    order = intents.select("intent_id", "intent_ord", (F.row_number().over(Window.orderBy("intent_ord")) - 1).alias("at"))  # the vocabulary
-    pairs = live.join(dense, key).select(key, F.posexplode("dense").alias("at", "dense")).join(F.broadcast(order), "at")
-    return pairs.join(sparse, [key, "intent_id"], "left").select(key, "intent_id", "intent_ord", "dense", F.coalesce("sparse", F.lit(0.0)).alias("sparse"))
+    out = rows.withColumn("place", place).withColumn("slot", c("place") <= tuning.top_k)
+    out = out.withColumn("sparse_ok", c("slot") & (c("sparse") >= tuning.sparse_floor)).withColumn("bound", c("sparse_ok") & (strong | (lead >= tuning.dense_margin)))
+    return out.select(key, "intent_id", "place", "promoted", "slot", "sparse_ok", "bound", "dense", "sparse")
 
 
 def bind_report(decided: DataFrame, endpoints: DataFrame, key: str) -> DataFrame:
@@ -135,26 +100,8 @@ def bind_report(decided: DataFrame, endpoints: DataFrame, key: str) -> DataFrame
     return counts.crossJoin(meta).select("bound", "promoted_sparse", "gated_meta", "gated_sparse", "gated_margin")  # a row each
 
 
-def per_intent(decided: DataFrame) -> DataFrame:
-    return decided.where("bound").groupBy("intent_id").agg(F.count(F.lit(1)).alias("endpoints"))
-
-
 def capabilities(endpoints: DataFrame, decided: DataFrame, key: str) -> DataFrame:
     """``endpoints`` with the capabilities that were bound, best first; none is an empty list."""
     lists = decided.where("bound").groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "intent_id"))), lambda x: x["intent_id"]).alias("__caps"))
     out = endpoints.join(lists, key, "left")
     return out.withColumn("capabilities", F.coalesce("__caps", F.array().cast("array<string>"))).drop("__caps")
-
-
-def floor_sweep(scores: DataFrame, key: str, settings: list[Tuning]) -> DataFrame:
-    """(setting, bound, promoted_sparse, gated_sparse, gated_margin): the binding decided anew for each setting.
-
-    Scores are ranked once; each setting takes its candidates from the ranked rows, all in one pass.
-    """
-    flags = {"b": F.max("bound"), "p": F.max(F.col("bound") & F.col("promoted")), "s": F.max("sparse_ok")}
-    each = _decided(_ranked(scores, key), key, settings).groupBy("setting", key).agg(*[f.alias(n) for n, f in flags.items()])
-    counts = each.groupBy("setting").agg(
-        F.count_if("b").alias("bound"), F.count_if("p").alias("promoted_sparse"), F.count_if(~F.col("b") & ~F.col("s")).alias("gated_sparse"), F.count_if(~F.col("b") & F.col("s")).alias("gated_margin")
-    )
-    asked = scores.sparkSession.range(len(settings)).select(F.col("id").cast("int").alias("setting"))
-    return asked.join(counts, "setting", "left").na.fill(0)  # a setting that has no candidate has zeros

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import arm, bind, search
+from ..operators import arm, bind, binder, search
 from ..sources import vectors
 from ..storage import saved
 from ..tuning import Tuning
@@ -30,11 +30,7 @@ def sparse_cosines(spark: S, sf: str) -> D:
     """Documents' whole texts against benchmark items, by TF-IDF."""
     docs = v.table(spark, sf, "documents")
     items = v.table(spark, sf, "benchmark").select(F.col("item_id").alias("intent_id"), "text")
-    n = docs.count()
-    counts = saved(bind.token_counts(docs, "doc_id", F.col("text")), "counts")
-    table = saved(bind.idf_table(counts, n), "idf")
-    own = bind.tfidf(bind.token_counts(items, "intent_id", F.col("text")), table, n, "intent_id")
-    out = bind.sparse_cosines(bind.tfidf(counts, table, n, "doc_id"), own, "doc_id")
+    out = binder.sparse_cosines(docs, items, "doc_id", F.col("text"), F.col("text"))
     return out.select("doc_id", F.col("intent_id").alias("item_id"), F.round("sparse", 6).alias("sparse"))
 
 
@@ -56,27 +52,72 @@ def dense_scores(spark: S, sf: str) -> D:
     return d.select("vec_id", F.posexplode("dense").alias("label", "x")).select("vec_id", "label", F.round("x", 6).alias("dense"))
 
 
-def _scores(spark: S, sf: str) -> D:
-    """Vectors with the documents of their id against label centroids with the benchmark items of theirs."""
+def _bindable(spark: S, sf: str) -> tuple[D, D]:
+    """Vectors with the documents of their id, and label centroids with the benchmark items of theirs."""
     cent = saved(_centroids(spark, sf), "centroids")
     docs = v.table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    ep = v.table(spark, sf, "embeddings").select("vec_id").join(docs, "vec_id").withColumn("path", F.lit("/v1"))
-    items = v.table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("intent_id"), "text").join(cent.select("intent_id", "intent_ord"), "intent_id")
-    dense = bind.dense_block(spark, _rows(spark, sf), cent, "vec_id")
-    return saved(bind.score_table(ep, items, "vec_id", F.col("text"), F.col("text"), dense), "scores")
+    ep = _rows(spark, sf).join(docs, "vec_id").withColumn("path", F.lit("/v1"))
+    items = v.table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("intent_id"), "text").join(cent, "intent_id")
+    return ep, items
+
+
+def _bound(spark: S, sf: str) -> D:
+    return binder.bind_endpoints(*_bindable(spark, sf), "vec_id", F.col("text"), F.col("text"), TUNING)
 
 
 def bound(spark: S, sf: str) -> D:
-    return bind.decide(_scores(spark, sf), "vec_id", TUNING).select("vec_id", "intent_id", "place", "promoted", "slot", "sparse_ok", "bound")
+    return _bound(spark, sf).select("vec_id", "intent_id", "place", "promoted", "slot", "sparse_ok", "bound")
 
 
 def bind_report(spark: S, sf: str) -> D:
     e = v.table(spark, sf, "embeddings").select("vec_id", F.lit("/v1").alias("path"))
-    return bind.bind_report(bind.decide(_scores(spark, sf), "vec_id", TUNING), e, "vec_id")
+    return bind.bind_report(_bound(spark, sf), e, "vec_id")
 
 
 def floor_sweep(spark: S, sf: str) -> D:
-    return bind.floor_sweep(_scores(spark, sf), "vec_id", SETTINGS)
+    return binder.floor_sweep(*_bindable(spark, sf), "vec_id", F.col("text"), F.col("text"), SETTINGS)
+
+
+def intent_vectors(spark: S, sf: str) -> D:
+    """(intent_id, intent_ord, vec): each intent's vector, the mean of every sixteenth embedding, scaled to unit length."""
+    e = v.table(spark, sf, "embeddings").select((F.col("vec_id") % 16).cast("int").alias("ph"), F.posexplode("embedding").alias("p", "x"))
+    mean = e.groupBy("ph", "p").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    vec = mean.groupBy("ph").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "m"))), lambda x: x["m"]).alias("c"))
+    norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x))
+    ids = F.array(*[F.lit(x) for x in v.IDS])
+    unit = F.transform("c", lambda x: x / norm)
+    return saved(vec.select(F.element_at(ids, F.col("ph") + 1).alias("intent_id"), F.col("ph").alias("intent_ord"), unit.alias("vec")), "intent-vectors")
+
+
+CATALOG_TUNING = Tuning(dense_floor=0.1, sparse_floor=0.01, strong_sparse_floor=0.3, dense_margin=0.02, top_k=2)
+SWEPT = [Tuning(dense_floor=d, sparse_floor=0.01, strong_sparse_floor=s, dense_margin=m, top_k=2) for d in (0.0, 0.1, 0.2) for s in (0.2, 0.35) for m in (0.0, 0.05)]
+
+
+def _catalog(spark: S, sf: str) -> tuple[D, D]:
+    """All endpoints, some of them meta files, with vectors, and the intents that they carry, with theirs."""
+    path = F.when(F.col("ep_ord") % 29 == 0, F.lit("/v1/status")).otherwise(F.col("path"))
+    text_of = F.concat_ws(" ", "summary", "description", "path")
+    vec = v.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    e = v.endpoints(spark, sf).select("ep_ord", path.alias("path"), text_of.alias("text"), (F.col("ep_ord") % 500).alias("vec_id"))
+    own = v.intents(spark, sf).select(F.col("id").alias("intent_id"), F.concat_ws(" ", "id", "label").alias("text"))
+    return e.join(vec, "vec_id"), own.join(intent_vectors(spark, sf), "intent_id")
+
+
+def bound_catalog(spark: S, sf: str) -> D:
+    """Every endpoint's binding to the catalog's intents."""
+    out = binder.bind_endpoints(*_catalog(spark, sf), "ep_ord", F.col("text"), F.col("text"), CATALOG_TUNING)
+    return out.select("ep_ord", "intent_id", "place", "promoted", "slot", "sparse_ok", "bound")
+
+
+def catalog_bind_report(spark: S, sf: str) -> D:
+    """What the binding of the catalog came to, meta files among it."""
+    e, i = _catalog(spark, sf)
+    return bind.bind_report(binder.bind_endpoints(e, i, "ep_ord", F.col("text"), F.col("text"), CATALOG_TUNING), e, "ep_ord")
+
+
+def catalog_sweep(spark: S, sf: str) -> D:
+    """The binding of the catalog decided for twelve settings."""
+    return binder.floor_sweep(*_catalog(spark, sf), "ep_ord", F.col("text"), F.col("text"), SWEPT)
 
 
 def quantized(spark: S, sf: str) -> D:
@@ -288,6 +329,20 @@ def _decide(t: Tuning, name: str) -> str:
     )
 
 
+#: The catalog's scores under the names of :data:`_SCORES`.
+_CATALOG = (
+    "vx AS (SELECT vec_id % 16 AS ph, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM embeddings),\n"
+    "vm AS (SELECT ph, p, avg(x) AS m FROM vx GROUP BY 1, 2),\n"
+    "iv AS (SELECT ph, list(m / nrm ORDER BY p) AS c FROM vm JOIN (SELECT ph, sqrt(sum(m * m)) AS nrm FROM vm GROUP BY 1) USING (ph) GROUP BY 1),\n"
+    "ep AS (SELECT ep_ord, CASE WHEN ep_ord % 29 = 0 THEN '/v1/status' ELSE path END AS path, concat_ws(' ', summary, description, path) AS text, embedding FROM e JOIN embeddings ON vec_id = ep_ord % 500),\n"
+    "lab AS (SELECT ph AS item_id, concat_ws(' ', intent_id, label) AS text FROM i),\n" + _tfidf("ep", "lab", "ep_ord")
+    + """,
+    sco AS (SELECT ep_ord AS vec_id, iv.ph AS label, list_dot_product(embedding::DOUBLE[], iv.c) AS dense, coalesce(sparse, 0) AS sparse
+        FROM ep CROSS JOIN iv JOIN i ON i.ph = iv.ph LEFT JOIN sp ON sp.k = ep_ord AND sp.item = iv.ph WHERE path <> '/v1/status'),
+    """ + _SCORES[_SCORES.index("rk AS ("):]
+)
+
+
 def _report(name: str) -> str:
     return (
         "SELECT {} count(*) FILTER (b) AS bound, count(*) FILTER (p) AS promoted_sparse, count(*) FILTER (NOT b AND NOT s) AS gated_sparse, count(*) FILTER (NOT b AND s) AS gated_margin {} "
@@ -319,6 +374,19 @@ ALL = {
     "bound": (bound, with_(_SCORES, _decide(TUNING, "x")) + "SELECT * FROM x"),
     "bind_report": (bind_report, with_(_SCORES, _decide(TUNING, "x")) + _report("x").format("", ", 0 AS gated_meta")),
     "floor_sweep": (floor_sweep, with_(_SCORES, *[_decide(t, f"x{k}") for k, t in enumerate(SETTINGS)]) + " UNION ALL ".join(_report(f"x{k}").format(f"{k} AS setting,", "") for k in range(len(SETTINGS)))),
+    "bound_catalog": (
+        bound_catalog,
+        with_(E, I, _CATALOG, _decide(CATALOG_TUNING, "x"))
+        + f"SELECT vec_id AS ep_ord, {v.case('CAST(intent_id AS INT)', v.IDS)} AS intent_id, place, promoted, slot, sparse_ok, bound FROM x",
+    ),
+    "catalog_bind_report": (
+        catalog_bind_report,
+        with_(E, I, _CATALOG, _decide(CATALOG_TUNING, "x")) + _report("x").format("", ", (SELECT count(*) FROM ep WHERE path = '/v1/status') AS gated_meta"),
+    ),
+    "catalog_sweep": (
+        catalog_sweep,
+        with_(E, I, _CATALOG, *[_decide(t, f"x{k}") for k, t in enumerate(SWEPT)]) + " UNION ALL ".join(_report(f"x{k}").format(f"{k} AS setting,", "") for k in range(len(SWEPT))),
+    ),
     "quantized": (
         quantized,
         "WITH s AS (SELECT vec_id, embedding, CASE WHEN mx > 0 THEN mx / 127 ELSE 1 END AS scale FROM (SELECT *, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS mx FROM embeddings)) "

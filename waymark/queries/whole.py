@@ -11,7 +11,7 @@ from ..sources import openapi
 from ..storage import saved
 from ..tuning import Tuning
 from . import views as v
-from .binding import _KE, _KI, _SCORE_Q, _requests
+from .binding import _KE, _KI, _SCORE_Q, _requests, intent_vectors
 from .catalog import _GATE, _RESOLVE, HOST_SQL
 from .flow import _ID, _ORDER, _links, _map, _pool, FILL, FOLLOW, L, POOL
 from .views import BRIDGE_LIST, E, I, M, OBSERVATIONS, PARENT_SQL, Q, with_
@@ -20,23 +20,12 @@ S, D = SparkSession, DataFrame
 PENALTIES = Tuning(domain_penalty=30.0, action_penalty=20.0, entity_penalty=10.0, gated_intents=v.IDS[:12])
 
 
-def _intent_vectors(spark: S, sf: str) -> D:
-    """(intent_id, intent_ord, vec): each intent's vector, the mean of every sixteenth embedding, scaled to unit length."""
-    e = v.table(spark, sf, "embeddings").select((F.col("vec_id") % 16).cast("int").alias("ph"), F.posexplode("embedding").alias("p", "x"))
-    mean = e.groupBy("ph", "p").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    vec = mean.groupBy("ph").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "m"))), lambda x: x["m"]).alias("c"))
-    norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x))
-    ids = F.array(*[F.lit(x) for x in v.IDS])
-    unit = F.transform("c", lambda x: x / norm)
-    return saved(vec.select(F.element_at(ids, F.col("ph") + 1).alias("intent_id"), F.col("ph").alias("intent_ord"), unit.alias("vec")), "intent-vectors")
-
-
 def _hits(spark: S, sf: str, texts: D, k: int) -> D:
     """Search hits of ``texts`` (query_id, query): those of even number have the vector of their number, if there is one."""
     texts = saved(texts, "texts")
     vectors = v.table(spark, sf, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
     own = vectors.join(texts.select("query_id"), "query_id", "left_semi")
-    return search.search_with_fallback(texts, own, v.intents(spark, sf), _intent_vectors(spark, sf), v.endpoints(spark, sf), k)
+    return search.search_with_fallback(texts, own, v.intents(spark, sf), intent_vectors(spark, sf), v.endpoints(spark, sf), k)
 
 
 def searched(spark: S, sf: str) -> D:
