@@ -60,8 +60,10 @@ def words(text: Column) -> Column:
 
 def bind_tokens(text: Column) -> Column:
     """Tokens for binding: over two letters, not a stop word, one ending cut, still over two letters."""
-    kept = F.filter(words(text), lambda t: (F.length(t) > 2) & ~t.isin(*BIND_STOP))
-    return F.filter(F.transform(kept, lambda t: F.regexp_replace(t, "(ing|ed|es|s)$", "")), lambda t: F.length(t) > 2)
+    kept = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{3,}"), F.lit(0)), lambda t: ~t.isin(*BIND_STOP))
+    less = lambda t, n: F.left(t, F.length(t) - n)
+    cut = lambda t: F.when(t.endswith("ing"), less(t, 3)).when(t.endswith("ed") | t.endswith("es"), less(t, 2)).when(t.endswith("s"), less(t, 1)).otherwise(t)
+    return F.filter(F.transform(kept, cut), lambda t: F.length(t) > 2)
 
 
 def search_tokens(text: Column) -> Column:

@@ -70,21 +70,16 @@ class Vocabulary:
         return np.repeat(row, many), self.intents[at], np.repeat(weight, many) * self.weights[at]
 
 
-def _weighted(docs: DataFrame, own: DataFrame, key: str, text: Column) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """(idf, postings of the intents' own counts, documents' counts, number of documents)."""
-    n = docs.count()
-    each = docs.select(F.explode(F.array_distinct(bind_tokens(text))).alias("token"))
-    df = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = saved(df.withColumn("idf", F.log(F.lit(n) / (1 + F.col("df")))), "idf")
-    return idf, saved(bind.tfidf(own, idf, n, "intent_id"), "postings"), bind.token_counts(docs, key, text), n
-
-
 def vocabulary(docs: DataFrame, intents: DataFrame, key: str, text: Column, intent_text: Column) -> tuple[Vocabulary, DataFrame | None]:
     """The vocabulary of ``intents`` (intent_id, intent_ord, vec if there is one), and beyond ``IDF_TOKENS`` (key, tokens):
     what the documents' tokens among the intents' weigh.
 
     idf counts all ``docs``. More intents than ``COMPONENTS`` and ``POSTINGS`` allow are an error: every document is ranked against all."""
-    idf, post, counts, n = _weighted(docs, bind.token_counts(intents, "intent_id", intent_text), key, text)
+    n = docs.count()
+    each = spread(docs.select(key, text.alias("text"))).select(F.explode(F.array_distinct(bind_tokens(F.col("text")))).alias("token"))
+    df = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    idf = saved(df.withColumn("idf", F.log(F.lit(n) / (1 + F.col("df")))), "idf")
+    post = saved(bind.token_counts(intents, "intent_id", intent_text), "postings")
     dense = "vec" in intents.columns
     wide = intents.agg(F.sum(F.size("vec"))).first()[0] or 0 if dense else 0
     if wide > COMPONENTS or post.count() > POSTINGS:
@@ -92,31 +87,36 @@ def vocabulary(docs: DataFrame, intents: DataFrame, key: str, text: Column, inte
     rows = intents.select("intent_id", *["vec"] * dense).orderBy("intent_ord").toArrow()
     ids = rows.column("intent_id").combine_chunks()
     matrix = np.array(rows.column("vec").to_pylist(), np.float64).reshape(len(ids), -1) if dense else None
-    p = post.orderBy("token", "intent_id").toArrow()
+    few = idf.count() <= IDF_TOKENS
+    known = (idf if few else idf.join(post.select("token").distinct(), "token", "left_semi")).select("token", "idf").toArrow()
+    known_tokens, values = known.column("token").combine_chunks(), known.column("idf").to_numpy()
+    # the intents' own weights; a token that no document has counts as one of df 0
+    p = post.toArrow().sort_by([("token", "ascending"), ("intent_id", "ascending")])
+    at = pc.index_in(p.column("intent_id").combine_chunks(), ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    seen = pc.fill_null(pc.index_in(p.column("token").combine_chunks(), known_tokens), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    weight = p.column("n").to_numpy() * np.append(values, np.log(n or 1))[seen]
+    norm = np.sqrt(np.bincount(at, weight * weight, len(ids)))
     flat = p.column("token").combine_chunks().dictionary_encode()
     begins = np.append(0, np.cumsum(np.bincount(flat.indices.to_numpy(zero_copy_only=False), minlength=len(flat.dictionary))))
-    at = pc.index_in(p.column("intent_id").combine_chunks(), ids).to_numpy(zero_copy_only=False).astype(np.int64)
-    vocab = Vocabulary(ids, matrix, flat.dictionary, begins, at, p.column("weight").to_numpy(), None, None)
-    if idf.count() <= IDF_TOKENS:
-        known = idf.select("token", "idf").toArrow()
-        vocab.idf_tokens, vocab.idf = known.column("token").combine_chunks(), known.column("idf").to_numpy()
+    vocab = Vocabulary(ids, matrix, flat.dictionary, begins, at, weight / np.where(norm == 0, 1.0, norm)[at], known_tokens if few else None, values if few else None)
+    if few:
         return vocab, None
-    own = bind.tfidf(counts, idf, n, key).join(post.select("token").distinct(), "token", "left_semi")
+    own = bind.tfidf(bind.token_counts(docs, key, text), idf, n, key).join(post.select("token").distinct(), "token", "left_semi")
     return vocab, own.groupBy(key).agg(F.collect_list(F.struct("token", "weight")).alias("tokens"))  # of the intents' tokens alone
 
 
 def sparse_cosines(docs: DataFrame, intents: DataFrame, key: str, text: Column, intent_text: Column) -> DataFrame:
     """(key, intent_id, sparse) of pairs that share a token; an intent has one row."""
     vocab, weights = vocabulary(docs, intents.withColumn("intent_ord", F.col("intent_id")), key, text, intent_text)
-    rows = spread(docs.select(key, bind_tokens(text).alias("tokens"))) if weights is None else weights
+    rows = spread(docs.select(key, text.alias("text"))).select(key, bind_tokens(F.col("text")).alias("tokens")) if weights is None else weights
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
     names = [key, "intent_id", "sparse"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for b in batches:
-            for s in range(0, b.num_rows, 256):
-                part = b.slice(s, 256)
+            for s in range(0, b.num_rows, 1024):
+                part = b.slice(s, 1024)
                 row, intent, value = v.sparse(part.column(1))
                 pair, at = np.unique(row * max(1, len(v.ids)) + intent, return_inverse=True)
                 total = np.bincount(at, value, len(pair)) if len(pair) else np.zeros(0)
@@ -171,7 +171,8 @@ def _live(endpoints: DataFrame, weights: DataFrame | None, key: str, text: Colum
     """(key, tokens, vec) of endpoints with a vector that are no meta files."""
     live = endpoints.where(~matches(F.coalesce("path", F.lit("")), BIND_META) & F.col("vec").isNotNull())
     if weights is None:
-        return spread(live.select(key, bind_tokens(F.coalesce(text, F.lit(""))).alias("tokens"), "vec"))
+        rows = spread(live.select(key, F.coalesce(text, F.lit("")).alias("text"), "vec"))
+        return rows.select(key, bind_tokens(F.col("text")).alias("tokens"), "vec")
     none = F.array().cast(weights.schema["tokens"].dataType)
     return live.select(key, "vec").join(weights, key, "left").select(key, F.coalesce("tokens", none).alias("tokens"), "vec")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import facets as ft
 from ..functions import ids, money, text
 from ..operators import gate, rank
-from ..storage import saved
+from ..storage import saved, spread
 from . import views as v
 from .views import E, I, M, Q, with_
 
@@ -67,7 +67,7 @@ def endpoint_texts(spark: S, sf: str) -> D:
 
 def document_tokens(spark: S, sf: str) -> D:
     """Binder tokens of all documents' whole texts, with their counts and document frequencies."""
-    d = v.table(spark, sf, "documents").select("doc_id", F.explode(text.bind_tokens(F.col("text"))).alias("token"))
+    d = spread(v.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(text.bind_tokens(F.col("text"))).alias("token"))
     return d.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("df"))
 
 
