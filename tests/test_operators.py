@@ -190,6 +190,51 @@ def test_openapi(spark):
     assert got["/old"]["payment"]["price_usd"] == 0.5 and got["/old"]["schema_missing"] and [r["protocol"] for r in got["/old"]["payment"]["rails"]] == ["x402"]
 
 
+def _doc(op, **top):
+    return json.dumps({"paths": {"/a": {"get": op}, "/good": {"get": {"summary": "Good"}}}} | top)
+
+
+PAY = {"x-payment-info": {"amount": 500}}
+#: Foreign shapes: the document, and the place and reason of its one reject.
+FOREIGN = [
+    (_doc({"parameters": 5}), "/paths/~1a/get/parameters", "not a list"),
+    (_doc({"requestBody": {"content": [1]}}), "/paths/~1a/get/requestBody/content", "not an object"),
+    (_doc({"tags": True}), "/paths/~1a/get/tags", "not a list"),
+    (_doc(PAY, **{"x-faremeter-assets": [1]}), "/x-faremeter-assets", "not an object"),
+    (_doc({"x-payment-info": {"protocols": 3}}), "/paths/~1a/get/x-payment-info/protocols", "not a list"),
+    (_doc({"x-payment-info": {"methods": 3}}), "/paths/~1a/get/x-payment-info/methods", "not a list"),
+    (_doc({"x-payment-info": {"offers": {"a": 1}}}), "/paths/~1a/get/x-payment-info/offers", "not a list"),
+    ('{"paths": ' * 60_000, "", "nested too deeply"), ('{"paths": {}', "", "not JSON"), ("7", "", "not an object"), ('{"paths": []}', "/paths", "no paths"), (None, "", "empty"), ("", "", "empty"), (" " * 2_000_001, "", "over 2000000 characters"),
+]
+
+
+def test_foreign_documents_are_rejected_and_end_nothing(spark):
+    docs = spark.createDataFrame([(f"https://d{k}.io", d) for k, (d, _, _) in enumerate(FOREIGN)], "origin string, doc string")
+    rows, rejects = openapi.read_openapi(docs, "2024-01-01")
+    assert sorted((r["origin"], r["pointer"], r["reason"]) for r in rejects.collect()) == sorted((f"https://d{k}.io", p, w) for k, (_, p, w) in enumerate(FOREIGN))
+    assert sorted(r["origin"] + r["path"] for r in rows.collect()) == sorted(f"https://d{k}.io/good" for k, (d, _, _) in enumerate(FOREIGN) if d and "good" in d)
+
+
+def test_odd_numbers_and_letters_are_read(spark):
+    amounts = {"nan": None, "Infinity": None, "1e400": None, " 12 ": 12.0, "": 0.0, True: 1.0, "1_0": None, 10**400: None}
+    ops = {f"/{k}": {"get": {"x-payment-info": {"price": {"amount": a}}}} for k, a in enumerate(amounts)}
+    for k, (decimals, _) in enumerate(((400, 0.0), (0, 5.0), ("x", None), (None, 0.000005))):
+        ops[f"/d{k}"] = {"get": {"x-payment-info": {"offers": [{"amount": "5", "decimals": decimals}]}}}
+    ops["/s"] = {"get": {"summary": "half \ud800 pair", "tags": ["\udfff"], "x-payment-info": {"price": {"amount": 1}}}}
+    got = {r["path"]: r for r in openapi.parse_openapi(spark.createDataFrame([("https://x.io", json.dumps({"paths": ops}))], "origin string, doc string"), "2024-01-01").collect()}
+    assert [got[f"/{k}"]["payment"]["price_usd"] for k in range(len(amounts))] == list(amounts.values())
+    assert [got[f"/d{k}"]["payment"]["price_usd"] for k in range(4)] == [0.0, 5.0, None, 0.000005]
+    assert got["/s"]["summary"] == "half \ufffd pair" and got["/s"]["tags"] == ["\ufffd"]
+
+
+def test_schemas_that_fan_out_are_walked_once():
+    names = [f"S{k}" for k in range(40)]
+    schemas_ = {n: {"properties": {n: {}}, "allOf": [{"$ref": f"#/components/schemas/{m}"} for m in names]} for n in names}
+    doc = {"components": {"schemas": schemas_}}
+    found = openapi.property_names(doc, {"$ref": "#/components/schemas/S0"})
+    assert set(found) == set(names) and found[0] == "S0"
+
+
 def test_registry_rows(spark):
     rows = [("https://a.io/x", None, None, "", None, None, "put", None), ("https://a.io", "mcp", None, None, None, None, None, None), ("nope", None, None, None, None, None, None, None), ("https://b.io", "http", [("12", USDC, None, None, None), ("x", None, None, None, None)], "d" * 300, "svc", ["t"], None, None)]
     got = {r["origin"]: r for r in registry.resources_to_endpoints(spark.createDataFrame(rows, schemas.REGISTRY_RESOURCE), "2024-01-01").collect()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import embed_text
@@ -81,6 +81,61 @@ def openapi_endpoints(spark: S, sf: str) -> D:
     return out.select("origin", "method", "path", "operation_id", "summary", F.array_join("inputs", ",").alias("inputs"), F.round("payment.price_usd", 9).alias("price_usd"), F.transform("payment.rails", lambda r: r["protocol"])[0].alias("rail"), "guidance_available", "search_text")
 
 
+#: What a payment looked like before offers, by form: what an operation says, from its order's number {n}.
+LEGACY = (
+    '"x-payment-info": {"offers": [{"method": "evm", "amount": "{n}", "decimals": 3}]}',
+    '"x-payment-info": {"method": "stripe", "price": {"amount": "{n}.5"}}',
+    '"x-payment-info": {"amount": {n}000, "protocols": ["x402"]}',
+    '"x-payment-info": {"amount": 50, "methods": [{"method": "tempo"}]}',
+    '"x-faremeter-pricing": {"rates": {"call": "{n}"}}',
+    '"pricing": {"dimensions": [{"tiers": [{"price_usd": {n}}]}]}',
+    '"x-payment-info": {"protocols": [{"mpp": {}}, {"x402": {"on": true}}]}',
+    '"x-payment-info": {"offers": [{"method": "card", "amount": {n}, "decimals": 0}]}',
+)
+#: An odd value in an operation, by kind: what is said there, the place, and the reason of its reject.
+ODD = (
+    ('"parameters": 5', "/parameters", "not a list"),
+    ('"requestBody": {"content": ["text"]}', "/requestBody/content", "not an object"),
+    ('"tags": true', "/tags", "not a list"),
+    ('"x-payment-info": {"protocols": 7}', "/x-payment-info/protocols", "not a list"),
+    ('"x-payment-info": {"methods": "all"}', "/x-payment-info/methods", "not a list"),
+)
+
+
+def _order_docs(spark: S, sf: str, said: Column, tail: Column) -> D:
+    """A document for each customer, with an operation for each of their orders."""
+    o = v.table(spark, sf, "orders")
+    op = F.concat(F.lit('"/o/'), "o_orderkey", F.lit('": {"post": {"summary": "An order", '), F.when(F.col("o_orderkey") % 3 == 0, '"requestBody": {}, ').otherwise(""), said, F.lit("}}"))
+    per = o.select("o_custkey", "o_orderkey", op.alias("op")).groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "op"))), lambda x: x["op"]), ", ").alias("ops"))  # a customer's orders
+    doc = F.concat(F.lit('{"paths": {'), "ops", F.lit("}"), tail, F.lit("}"))
+    return per.select(F.concat(F.lit("https://c"), "o_custkey", F.lit(".example.com")).alias("origin"), doc.alias("doc"), "o_custkey")
+
+
+def _said(forms: tuple[str, ...]) -> Column:
+    n = F.col("o_orderkey").cast("string")
+    return F.replace(F.element_at(F.array(*[F.lit(x) for x in forms]), (F.col("o_orderkey") % len(forms) + 1).cast("int")), F.lit("{n}"), n)
+
+
+def legacy_payments(spark: S, sf: str) -> D:
+    """Orders as operations whose payment is of a form from before offers; every third document names an asset."""
+    assets = F.when(F.col("o_custkey") % 3 == 0, ', "x-faremeter-assets": {"a": {"chain": "base"}}').otherwise("")
+    out = openapi.parse_openapi(_order_docs(spark, sf, _said(LEGACY), assets), "2024-01-31")
+    rail = lambda r: F.concat_ws(":", r["protocol"], F.coalesce(r["version"], F.lit("-")), F.coalesce(F.array_join(r["networks"], "+"), F.lit("-")))
+    return out.select("origin", "path", F.round("payment.price_usd", 9).alias("price_usd"), F.array_join(F.transform("payment.rails", rail), ",").alias("rails"), "schema_missing")
+
+
+def openapi_rejects(spark: S, sf: str) -> D:
+    """Orders as operations, two in seven of an odd shape, in documents of which some are unreadable as a whole."""
+    odd = F.col("o_orderkey") % 7 < 2
+    said = F.when(odd, _said(tuple(x for x, _, _ in ODD))).otherwise(F.lit('"tags": ["a"]'))
+    docs = _order_docs(spark, sf, said, F.lit(""))
+    kind = F.col("o_custkey") % 11
+    broken = F.when(kind == 1, F.concat("doc", F.lit("]"))).when(kind == 2, "[]").when(kind == 3, '{"paths": 1}').when(kind == 4, "").when(kind == 5, F.repeat(F.lit("["), 100_000)).otherwise(F.col("doc"))
+    rows, rejects = openapi.read_openapi(docs.withColumn("doc", broken), "2024-01-31")
+    kept = rows.groupBy("origin").agg(F.count(F.lit(1)).alias("n")).select("origin", F.lit("kept").alias("reason"), F.lit("").alias("pointer"), "n")
+    return rejects.groupBy("origin", "reason", "pointer").agg(F.count(F.lit(1)).alias("n")).select("origin", "reason", "pointer", "n").union(kept)
+
+
 def _events(spark: S, sf: str) -> D:
     """Events as observed endpoint rows: the user is the origin, the type the path."""
     e = v.table(spark, sf, "events")
@@ -225,6 +280,26 @@ ALL = {
         "SELECT concat('https://lines', l_suppkey, '.example.com') AS origin, 'POST' AS method, concat('/v1/', l_returnflag) AS path, concat('op', min(l_partkey)) AS operation_id, concat('Lines ', l_returnflag) AS summary, 'key,page,a,b' AS inputs, round(min(l_partkey) / 1000000.0, 9) AS price_usd, 'x402' AS rail, "
         "true AS guidance_available, lower(concat('Lines Lines ', l_returnflag, ' /v1/', l_returnflag, ' use it')) AS search_text FROM lineitem WHERE l_suppkey % 10 <> 3 GROUP BY l_suppkey, l_returnflag",
     ),
+    "legacy_payments": (
+        legacy_payments,
+        """WITH o AS (SELECT concat('https://c', o_custkey, '.example.com') AS origin, concat('/o/', o_orderkey) AS path, o_orderkey AS n, o_orderkey % 8 AS f, o_custkey % 3 = 0 AS base FROM orders)
+        SELECT origin, path, round(CASE f WHEN 0 THEN n / 1000.0 WHEN 1 THEN n + 0.5 WHEN 2 THEN CASE WHEN n * 1000 > 100 THEN n / 1000.0 END
+                WHEN 4 THEN n / 1000000.0 WHEN 5 THEN n WHEN 7 THEN n END, 9) AS price_usd,
+            CASE WHEN f IN (0, 2) THEN concat('x402:2:', CASE WHEN base THEN 'base' ELSE '' END)
+                WHEN f IN (1, 7) THEN concat(CASE WHEN base THEN 'x402:2:base,' ELSE '' END, 'mpp:-:-')
+                WHEN f = 3 THEN concat(CASE WHEN base THEN 'x402:2:base,' ELSE '' END, 'mpp:-:tempo')
+                WHEN f = 6 THEN concat('x402:2:', CASE WHEN base THEN 'base+' ELSE '' END, 'x402,mpp:-:tempo')
+                ELSE concat('x402:2:', CASE WHEN base THEN 'base' ELSE '-' END) END AS rails, n % 3 <> 0 AS schema_missing FROM o""",
+    ),
+    "openapi_rejects": (
+        openapi_rejects,
+        f"""WITH o AS (SELECT concat('https://c', o_custkey, '.example.com') AS origin, o_custkey % 11 AS k, o_orderkey AS n, o_orderkey % 7 < 2 AS odd, o_orderkey % 5 AS f FROM orders),
+        whole AS (SELECT DISTINCT origin, CASE k WHEN 1 THEN 'not JSON' WHEN 2 THEN 'not an object' WHEN 3 THEN 'no paths' WHEN 4 THEN 'empty' ELSE 'nested too deeply' END AS reason,
+            CASE WHEN k = 3 THEN '/paths' ELSE '' END AS pointer FROM o WHERE k BETWEEN 1 AND 5)
+        SELECT origin, reason, pointer, 1 AS n FROM whole
+        UNION ALL SELECT origin, {v.case('f', tuple(r for _, _, r in ODD))}, concat('/paths/~1o~1', n, '/post', {v.case('f', tuple(p for _, p, _ in ODD))}), 1 FROM o WHERE odd AND k NOT BETWEEN 1 AND 5
+        UNION ALL SELECT origin, 'kept', '', count(*) FROM o WHERE NOT odd AND k NOT BETWEEN 1 AND 5 GROUP BY 1""",
+    ),
     "first_sources": (
         first_sources,
         f"SELECT origin, path, source, ep_ord FROM (SELECT concat('https://u', user_id, '.example.com') AS origin, concat('/', event_type) AS path, {_SRC} AS source, event_id AS ep_ord, row_number() OVER (PARTITION BY user_id, event_type ORDER BY coalesce(list_position(['bazaar', 'mpp', 'paysh', 'x402scan'], {_SRC}), 1000), event_id) AS rn FROM events) WHERE rn = 1",
