@@ -2,10 +2,13 @@
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from waymark import schemas
 from waymark.operators import evaluate, labels, merge
 from waymark.plans import catalog
-from waymark.sources import openapi, registry
+from waymark.sources import openapi, registry, snapshots, vectors
 
 from .test_operators import endpoint, table
 
@@ -68,9 +71,41 @@ def test_build_catalog_of_nothing(spark):
 
 def test_catalog_is_written_and_read_again(spark, tmp_path):
     rows = table(spark, [endpoint(n, origin=f"https://h{n % 3}.io") for n in range(20)])
-    registry.write_catalog(rows, rows.select("id"), rows.groupBy().count(), str(tmp_path / "c"), 4)
-    back = spark.read.parquet(str(tmp_path / "c" / "endpoints"))
-    assert sorted(r["id"] for r in back.collect()) == sorted(r["id"] for r in rows.collect()) and back.select("part").distinct().count() > 1
+    root, refs = str(tmp_path / "c"), rows.select("id", F.lit(1).alias("rank"))
+    assert snapshots.versions(spark, root) == [] and snapshots.commits(spark, root).count() == 0
+    with pytest.raises(ValueError):
+        snapshots.read_version(spark, root)
+    assert snapshots.write_version(root, rows, rows.select("id"), refs) == 1
+    back = snapshots.read_version(spark, root)["endpoints"]
+    assert sorted(r["id"] for r in back.collect()) == sorted(r["id"] for r in rows.collect())
+    # a write that fails midway leaves the old version, and its number for the next
+    broken = refs.withColumn("rank", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception):
+        snapshots.write_version(root, rows.limit(2), rows.select("id"), broken)
+    assert snapshots.versions(spark, root) == [1] and snapshots.read_version(spark, root)["endpoints"].count() == 20
+    (tmp_path / "c" / "commits" / "00000002").mkdir()  # a commit that was begun
+    assert snapshots.versions(spark, root) == [1]
+    (tmp_path / "c" / "commits" / "00000002").rmdir()
+    assert snapshots.write_version(root, rows.limit(5), rows.select("id").limit(3), refs.limit(0)) == 2
+    assert snapshots.read_version(spark, root)["endpoints"].count() == 5 and snapshots.read_version(spark, root, 1)["endpoints"].count() == 20
+    assert [tuple(r)[0:1] + tuple(r)[2:] for r in snapshots.commits(spark, root).orderBy("version").collect()] == [(1, 20, 20, "2024-01-01", 20, 20), (2, 5, 5, "2024-01-01", 3, 0)]
+
+
+def test_embeddings_are_cached_once(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    texts = lambda *t: spark.createDataFrame([(x,) for x in t], "text string")
+
+    def embed(s):
+        return s.map(lambda x: [float(len(x)), 1.0])
+
+    assert vectors.read_cache(spark, path, "m", 2).count() == 0
+    assert sorted(r["vec"][0] for r in vectors.embed_cached(texts("a", "a", "bb", None), path, embed, "m", 2).collect()) == [1.0, 2.0]
+    for _ in range(2):
+        assert sorted(r["vec"][0] for r in vectors.embed_cached(texts("bb", "ccc"), path, embed, "m", 2).collect()) == [2.0, 3.0]
+    assert vectors.embed_cached(texts("a"), path, embed, "other model", 2).count() == 1
+    assert vectors.read_cache(spark, path, "m", 2).count() == 3 and vectors.read_cache(spark, path, "m", 3).count() == 0
+    plan = vectors.read_cache(spark, path, "m", 2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(model" in plan
 
 
 def test_labels_are_read_and_merged(spark, tmp_path):

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import embed_text
 from ..operators import labels, merge
 from ..schemas import PAYMENT
-from ..sources import openapi, registry, vectors
+from ..sources import openapi, registry, snapshots, vectors
+from ..storage import new_path, saved
 from . import views as v
 from .catalog import _embed
 from .views import E, with_
@@ -247,6 +248,43 @@ def embedded_delta(spark: S, sf: str) -> D:
     return vectors.embed_new(e, cache, count, "bytes", 8).select("text_hash", F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")).alias("total"))
 
 
+def embedding_cache(spark: S, sf: str) -> D:
+    """The cache table after four runs: half of the texts, all of them under another model, all, and all again."""
+
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: np.bincount(np.frombuffer(t.encode(), np.uint8) % 8, minlength=8).astype(float))
+
+    path = new_path(spark, "embedding-cache")
+    e = v.endpoints(spark, sf).select("ep_ord", embed_text(F.col("summary"), F.col("description"), F.col("path"), F.col("inputs")).alias("text"))
+    for texts, model in ((e.where("ep_ord % 2 = 0"), "bytes"), (e, "other/bytes"), (e, "bytes"), (e, "bytes")):
+        found = vectors.embed_cached(texts, path, count, model, 8)
+    total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    kept = found.union(vectors.read_cache(spark, path, "other/bytes", 8)).select("model", "text_hash", total.alias("total"))
+    return kept.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text_hash").alias("texts"), F.sum("total").alias("total"))
+
+
+def _snapshots(spark: S, sf: str) -> str:
+    """Two versions of the catalog: parts of even number, then all of them."""
+    root = new_path(spark, "catalog")
+    e, i, refs = saved(v.endpoints(spark, sf), "endpoints"), v.intents(spark, sf), v.refs(spark, sf)
+    snapshots.write_version(root, e.where("ep_ord % 2 = 0"), i, refs)
+    snapshots.write_version(root, e, i, refs)
+    return root
+
+
+def catalog_versions(spark: S, sf: str) -> D:
+    """What the commits of two versions say, counted while they were written."""
+    return snapshots.commits(spark, _snapshots(spark, sf)).select("version", "endpoints", "priced", "newest", "capabilities", "refs")
+
+
+def catalog_snapshot(spark: S, sf: str) -> D:
+    """The current version's rows, read back, and whether the one before has them."""
+    root = _snapshots(spark, sf)
+    old = snapshots.read_version(spark, root, 1)["endpoints"].select("ep_ord", F.lit(True).alias("before"))
+    now = snapshots.read_version(spark, root)["endpoints"]
+    return now.join(old, "ep_ord", "left").select("ep_ord", "origin", "path", F.coalesce("before", F.lit(False)).alias("before"))
+
+
 _T = "CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_partkey / 1000000.0 END"
 _EV = "ev AS (SELECT concat('https://u', user_id, '.example.com') AS origin, concat('/', event_type) AS path, value, ts, event_id AS ep_ord, day(ts) AS day FROM events)"
 _SRC = "list_extract(['x402scan', 'paysh', 'mpp', 'bazaar', 'other'], event_id % 5 + 1)"
@@ -362,6 +400,18 @@ ALL = {
         "n AS (SELECT ep_ord FROM (SELECT *, row_number() OVER (PARTITION BY intent_id ORDER BY ep_ord) AS rn FROM x WHERE ep_ord NOT IN (SELECT ep_ord FROM t) AND intent_id IN ('ai.generate_image', 'comms.send_email')) WHERE rn <= CASE intent_id WHEN 'ai.generate_image' THEN 15 ELSE 10 END)\n"
         "SELECT ep_ord, summary FROM e WHERE ep_ord IN (SELECT ep_ord FROM t UNION SELECT ep_ord FROM n)",
     ),
+    "embedding_cache": (
+        embedding_cache,
+        with_(E) + f"""SELECT model, count(*) AS n, count(*) AS texts, CAST(sum(strlen(text)) AS DOUBLE) AS total FROM (
+            SELECT DISTINCT trim(regexp_replace({_embed}, '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM e), (SELECT unnest(['bytes', 'other/bytes']) AS model) GROUP BY 1""",
+    ),
+    "catalog_versions": (
+        catalog_versions,
+        "WITH " + v.M + """ SELECT version, count(*) AS endpoints, count(price_usd) AS priced, '2024-01-31' AS newest,
+            (SELECT count(*) FROM i) AS capabilities, (SELECT count(*) FROM m) AS refs
+        FROM e, (SELECT unnest([1, 2]) AS version) WHERE version = 2 OR ep_ord % 2 = 0 GROUP BY 1""",
+    ),
+    "catalog_snapshot": (catalog_snapshot, with_(E) + "SELECT ep_ord, origin, path, ep_ord % 2 = 0 AS before FROM e"),
     "embedded_delta": (
         embedded_delta,
         with_(E) + f"""SELECT sha256(text) AS text_hash, CAST(strlen(text) AS DOUBLE) AS total FROM (

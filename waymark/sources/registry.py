@@ -113,13 +113,6 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("pos", F.monotonically_increasing_id())
 
 
-def write_catalog(endpoints: DataFrame, intents: DataFrame, stats: DataFrame, path: str, parts: int = 64) -> None:
-    """The catalog's datasets: endpoints dealt by a hash of their id (not by origin: one may hold a third), intents, stats."""
-    endpoints.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/endpoints")
-    intents.write.mode("overwrite").parquet(f"{path}/capabilities")
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
-
-
 def load_intents(sources: DataFrame) -> DataFrame:
     """Intent rows with an id and a label, numbered in order of their id (the order of their files)."""
     kept = sources.where("id IS NOT NULL AND id <> '' AND label IS NOT NULL AND label <> ''").drop("intent_ord")

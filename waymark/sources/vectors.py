@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,30 @@ def embed_new(texts: DataFrame, cache: DataFrame, embed: Callable[[pd.Series], p
     return new.mapInPandas(run, "text_hash string, model string, dim int, vec array<float>")
 
 
+CACHE = "text_hash string, vec array<float>, model string, dim int"
+
+
+def read_cache(spark: SparkSession, path: str, model: str, dim: int) -> DataFrame:
+    """(text_hash, model, dim, vec) of one model and dimension: of the cache's folders only theirs are read."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], CACHE).select("text_hash", "model", "dim", "vec")
+    rows = spark.read.schema(CACHE).parquet(path).where((F.col("model") == model) & (F.col("dim") == dim))
+    return rows.select("text_hash", "model", "dim", "vec")
+
+
+def embed_cached(texts: DataFrame, path: str, embed: Callable[[pd.Series], pd.Series], model: str, dim: int) -> DataFrame:
+    """Vectors (text_hash, model, dim, vec) of the distinct ``texts`` (text), embedding and appending those that the cache lacks.
+
+    Appended are only hashes that the cache hasn't, in one commit: a run that is repeated, or fails and is run again, adds
+    each text once. Null texts have no vector."""
+    spark = texts.sparkSession
+    known = texts.where("text IS NOT NULL")
+    embed_new(known, read_cache(spark, path, model, dim), embed, model, dim).write.mode("append").partitionBy("model", "dim").parquet(path)
+    asked = known.select(text_hash(F.col("text")).alias("text_hash")).distinct()
+    return read_cache(spark, path, model, dim).join(asked, "text_hash", "left_semi")
+
+
 def quantize(vectors: DataFrame, live: DataFrame) -> DataFrame:
     """(text_hash, scale, q: array of tinyint) of live vectors: scale = largest absolute value / 127 (1 for none)."""
     kept = vectors.join(live.select("text_hash").distinct(), "text_hash", "left_semi")
