@@ -151,10 +151,10 @@ def vector_intents(queries: DataFrame, intents: DataFrame, k: int = 10, squared:
 
 
 def search_with_fallback(queries: DataFrame, vectors: DataFrame, intents: DataFrame, intent_vectors: DataFrame, endpoints: DataFrame, k: int = 10) -> DataFrame:
-    """Vector hits of queries that have a vector, keyword hits of the rest: (query_id, rank, kind, capability_id, score)."""
-    near = vector_intents(vectors, intent_vectors, k).select("query_id", "rank", F.lit("capability").alias("kind"), F.col("intent_id").alias("capability_id"), "score")
+    """Vector hits of queries that have a vector, keyword hits of the rest: (query_id, rank, kind, capability_id, score, hit_id)."""
+    near = vector_intents(vectors, intent_vectors, k).select("query_id", "rank", F.lit("capability").alias("kind"), F.col("intent_id").alias("capability_id"), "score", F.col("intent_id").alias("hit_id"))
     rest = queries.join(vectors.select("query_id"), "query_id", "left_anti")
-    return near.union(keyword_search(rest, endpoints, intents, k).select("query_id", "rank", "kind", "capability_id", "score"))
+    return near.union(keyword_search(rest, endpoints, intents, k).select("query_id", "rank", "kind", "capability_id", "score", "hit_id"))
 
 
 def match_capabilities(queries: DataFrame, intents: DataFrame, k: int = 7) -> DataFrame:
