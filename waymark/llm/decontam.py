@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import saved
+from .names import free
 from .tokens import bounded, groups
 
 SHINGLE_WORDS = 5
@@ -260,12 +261,17 @@ def _joined(docs: DataFrame, items: DataFrame, threshold: float, id_col: str, te
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those that any item leaks into."""
+    """``docs`` without those that any item leaks into.
+
+    Null, empty and short texts hold no item and stay, repeated rows and null ids are told each by itself; items that are null
+    or empty leak nowhere, and an empty table of either gives what there is. Other columns, of whatever name, are kept.
+    """
     columns = docs.columns
     if not _small(items, "text"):
-        own = saved(docs.withColumn("__uid", F.monotonically_increasing_id()), "docs")
-        bad = _joined(own, items, threshold, "__uid", "text", "item_id").select(F.col("doc_id").alias("__uid")).distinct()
-        return own.join(bad, "__uid", "left_anti").select(*columns)
+        (uid,) = free(docs, "__uid")
+        own = saved(docs.withColumn(uid, F.monotonically_increasing_id()), "docs")
+        bad = _joined(own, items, threshold, uid, "text", "item_id").select(F.col("doc_id").alias(uid)).distinct()
+        return own.join(bad, uid, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
     shared = _broadcast(docs.sparkSession, items, "item_id", "text", threshold)
     at = columns.index("text")
 

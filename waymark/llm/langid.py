@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import free
 from .tokens import bounded, groups
 
 #: Labelled documents of each language, and symbols of each, that make its sample; the bound of the fit.
@@ -256,7 +257,7 @@ def predict(docs: DataFrame, automata: Automata, text_col: str = "text", lang_as
     """
     shared = docs.sparkSession.sparkContext.broadcast(automata)  # bounded by SAMPLE_TOTAL symbols and DENSE_CELLS
     rest = [c for c in docs.columns if c not in (lang_as, score_as)]
-    rows = bounded(docs).select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("__text"))
+    rows = bounded(docs).select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias(free(docs, "__text")[0]))
     kept = [f for f in docs.schema.fields if f.name in rest]
     schema = T.StructType([*kept, T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())])
 
@@ -279,5 +280,6 @@ def keep_known(docs: DataFrame) -> DataFrame:
     All columns are kept as they are, also those with the names of :func:`predict`'s. Repeated rows and null ids
     are told each by itself; an empty table gives no rows; without any labelled text nothing is kept.
     """
-    known = predict(docs, fit(docs), lang_as="__lang_pred", score_as="__score").where(F.col("__lang_pred") != UNKNOWN)
+    lang, score = free(docs, "__lang_pred", "__score")
+    known = predict(docs, fit(docs), lang_as=lang, score_as=score).where(F.col(lang) != UNKNOWN)
     return known.select(*[F.col(f"`{c}`") for c in docs.columns])

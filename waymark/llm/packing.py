@@ -132,7 +132,9 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
 
 
 def sequences(packed: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataFrame:
-    """(sequence_id, n, ids): each sequence's ids as an array, the last one padded unless its length is a power of two."""
+    """(sequence_id, n, ids): each sequence's ids as an array, the last one padded unless its length is a power of two.
+
+    ``packed`` are :func:`pieces`; no pieces give no sequences."""
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
         t = table.sort_by("offset")

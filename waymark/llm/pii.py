@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import saved
+from .names import free
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -355,26 +356,27 @@ def redacted(docs: DataFrame, text_col: str = "text", mask: str = "[PII]") -> Da
     Null texts stay null and texts without spans as they are; repeated rows are redacted each by itself; an empty
     table gives none; other columns, of whatever name, are kept.
     """
-    rows = saved(docs.withColumn("__uid", F.monotonically_increasing_id()), "pii-docs")
+    uid, marks = free(docs, "__uid", "__spans")
+    rows = saved(docs.withColumn(uid, F.monotonically_increasing_id()), "pii-docs")
     pairs = F.transform("spans", lambda s: F.struct(s["start"].cast("int").alias("s"), s["end"].cast("int").alias("e")))
-    each = spans(rows, "__uid", text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("__uid"), F.explode(pairs).alias("x")).select("__uid", "x.*")
-    order = Window.partitionBy("__uid").orderBy("s", "e")
+    each = spans(rows, uid, text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias(uid), F.explode(pairs).alias("x")).select(uid, "x.*")
+    order = Window.partitionBy(uid).orderBy("s", "e")
     fresh = F.coalesce(F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("s"), F.lit(True)).cast("int")
     each = each.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    apart = each.groupBy("__uid", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    apart = each.groupBy(uid, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     # with the end of the span before, so that a piece of the text is cut once
-    apart = apart.withColumn("at", F.coalesce(F.lag("e").over(Window.partitionBy("__uid").orderBy("s")), F.lit(0)))
-    marked = apart.groupBy("__uid").agg(F.sort_array(F.collect_list(F.struct("s", "e", "at"))).alias("__spans"))
+    apart = apart.withColumn("at", F.coalesce(F.lag("e").over(Window.partitionBy(uid).orderBy("s")), F.lit(0)))
+    marked = apart.groupBy(uid).agg(F.sort_array(F.collect_list(F.struct("s", "e", "at"))).alias(marks))
     text = F.col(f"`{text_col}`")
 
     def block(k: Column) -> Column:
         """Text and masks of a block of spans: the block's own text is cut out once."""
-        part = F.slice("__spans", k * BLOCK + 1, BLOCK)
+        part = F.slice(marks, k * BLOCK + 1, BLOCK)
         begin = part[0]["at"]
         own = F.substring(text, begin + 1, F.element_at(part, -1)["e"] - begin)
         return let(own, lambda t: F.array_join(F.transform(part, lambda x: F.concat(F.substring(t, x["at"] - begin + 1, x["s"] - x["at"]), F.lit(mask))), ""))
 
-    rest = F.substring(text, F.element_at("__spans", -1)["e"] + 1, F.length(text))
-    done = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size("__spans") - 1) / BLOCK).cast("int")), block), ""), rest)
-    both = rows.join(marked, "__uid", "left")
-    return both.withColumn(text_col, F.when(F.size("__spans") > 0, done).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rest = F.substring(text, F.element_at(marks, -1)["e"] + 1, F.length(text))
+    done = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(marks) - 1) / BLOCK).cast("int")), block), ""), rest)
+    both = rows.join(marked, uid, "left")
+    return both.withColumn(text_col, F.when(F.size(marks) > 0, done).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..storage import partitions, saved
 from .graph import components
+from .names import free
 from .tokens import bounded
 
 SHINGLE_WORDS = 4
@@ -302,13 +303,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     each = named.groupBy("root", "doc_id", "at").agg(F.count(F.lit(1)).alias("n"))
     first = each.groupBy("root").agg(F.min(F.struct("doc_id", "at")).alias("x"))
     stays = (F.col("doc_id") == F.col("x.doc_id")) & (F.col("at") == F.col("x.at"))
-    told = each.join(first, "root").select("doc_id", F.col("at").alias("__at"), stays.alias("__stays"), "n")
+    place, keeps = free(docs, "__at", "__stays")
+    told = each.join(first, "root").select("doc_id", F.col("at").alias(place), stays.alias(keeps), "n")
     # the rest of the documents stand alone and stay without a shuffle
-    odd = saved(told.where("NOT __stays OR n > 1").select("doc_id", "__at", "__stays"), "near-odd")
-    may, alone = split(docs.withColumn("__at", at), F.struct("doc_id", "__at"), odd, F.struct("doc_id", "__at"))
-    met = may.join(odd, ["doc_id", "__at"], "left")
+    odd = saved(told.where(~F.col(keeps) | (F.col("n") > 1)).select("doc_id", place, keeps), "near-odd")
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), place)
+    may, alone = split(docs.withColumn(place, at), key, odd, F.struct("doc_id", place))
+    met = may.join(odd, ["doc_id", place], "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    out = alone.select(*columns).union(met.where("__stays IS NULL").select(*columns))
-    if not odd.where("__stays").isEmpty():
-        out = out.union(met.where("__stays").dropDuplicates(["doc_id", "__at"]).select(*columns))
+    out = alone.select(*columns).union(met.where(F.col(keeps).isNull()).select(*columns))
+    if not odd.where(keeps).isEmpty():
+        out = out.union(met.where(keeps).dropDuplicates(["doc_id", place]).select(*columns))
     return out
