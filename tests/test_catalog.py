@@ -116,6 +116,20 @@ def test_labels_are_read_and_merged(spark, tmp_path):
     assert set(got) == {"a", "b"} and tuple(got["a"])[1:] == ("gov", "search", "two\nlines") and tuple(got["b"])[1:] == ("data", None, None)
 
 
+def test_worklist_is_written_and_read_as_labels(spark, tmp_path):
+    rows = table(spark, [endpoint(n, summary=f'A "quoted", text\nof {n}') for n in range(9)])
+    labels.write_worklist(rows, str(tmp_path / "w"), 2)
+    back = registry.read_labels(spark, str(tmp_path / "w"))
+    assert sorted(r["summary"] for r in back.collect()) == sorted(r["summary"] for r in rows.collect()) and len(list((tmp_path / "w").glob("*.csv"))) == 2
+
+
+def test_merged_labels_are_settled_by_place(spark):
+    new = spark.createDataFrame([("a", "x", "h", 1), ("a", "y", "h", 2), ("b", " ", "h", 3)], "key string, action string, content_hash string, pos long")
+    old = spark.createDataFrame([("b", "o", "h", 1), ("b", "p", "h", 0), ("a", "o", "h", 9)], new.schema)
+    none = table(spark, [endpoint(1)])
+    assert sorted((r["key"], r["action"]) for r in labels.merge_labels(old, new, none).collect()) == [("a", "y"), ("b", "o")]
+
+
 def test_service_info():
     whole = {"categories": ["a"], "docs": {"homepage": "https://a.io/", "llms": "https://a.io/l"}}
     assert openapi.service_info(whole) == (["a"], whole["docs"])

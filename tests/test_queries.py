@@ -12,6 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: One of each module's kinds; all of them run in the driver's own comparison.
 CHECKED = ["endpoint_facets", "quality_gate", "document_mirrors", "materialized", "resolved", "bound", "keyword_search", "arm_guard", "inverse_links", "lateral_flow", "followups_pool", "registry_endpoints", "carried", "merged_records", "judged_precision", "agent_runs", "heldout", "multi_label", "probe_scores", "embedded_delta", "intent_texts", "payload_sizes", "floor_sweep", "endpoint_top_k", "classified",
            "searched", "answered", "resolved_by_facets", "finding_leads", "followups_filled", "folded_records", "entity_rollup", "domain_rollup",
+           "grown_forward_flow", "grown_lateral_flow", "grown_consumers", "grown_entity_sets", "grown_subtypes", "grown_entity_rollup", "vector_intents",
            "found", "embedding_cache", "catalog_versions", "catalog_snapshot", "openapi_endpoints", "legacy_payments", "openapi_rejects", "keyword_top", "int8_top_k", "int8_reranked", "pair_cosines", "resolved_semantic", "sparse_cosines", "bound_catalog", "catalog_bind_report", "catalog_sweep", "bind_report",
            "regated", "merged_labels", "inferred_links", "service_documents"]
 

@@ -51,9 +51,12 @@ def label_delta(endpoints: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def merge_labels(old: DataFrame, new: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """Returned labels that have an action over the old ones, every hash computed anew where the endpoint is known."""
+    """Returned labels that have an action over the old ones, every hash computed anew where the endpoint is known.
+
+    Of several labels of one key the last by ``pos`` counts, where the tables have it; then the least by their columns in order."""
     both = old.withColumn("p", F.lit(1)).unionByName(new.where("action IS NOT NULL AND trim(action) <> ''").withColumn("p", F.lit(0)))
-    one = both.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("p"))).where("rn = 1").drop("rn", "p")
+    order = ["p", *[F.desc("pos")] * ("pos" in old.columns), *sorted(c for c in old.columns if c not in ("key", "pos"))]
+    one = both.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where("rn = 1").drop("rn", "p")
     fresh = endpoints.select(F.col("id").alias("key"), content_hash().alias("__h"))
     return one.join(fresh, "key", "left").withColumn("content_hash", F.coalesce("__h", "content_hash")).drop("__h")
 
@@ -77,3 +80,14 @@ def worklist(endpoints: DataFrame, targets: list[str], noisy: dict[str, int]) ->
         more = each.withColumn("__rn", F.row_number().over(w)).where("__rn <= __n").drop("__i", "__n", "__rn").dropDuplicates(["id"])
         picked = picked.unionByName(more)
     return picked.drop("__t")
+
+
+WORK_COLUMNS = ("id", "origin", "method", "path", "summary", "description", "domain")
+
+
+def write_worklist(work: DataFrame, path: str, parts: int = 1) -> None:
+    """A work-list as CSV in order of ``ep_ord``, quoted as label files are read (:func:`..sources.registry.read_labels`), in as
+    many files as labellers share it between; each has the header."""
+    rows = work.select("ep_ord", *[c for c in WORK_COLUMNS[:-1] if c in work.columns], *([F.col("facets.domain").alias("domain")] if "facets" in work.columns else []))
+    dealt = rows.repartitionByRange(parts, "ep_ord").sortWithinPartitions("ep_ord").drop("ep_ord")
+    dealt.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)

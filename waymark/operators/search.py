@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from . import blocks
 from .bind import dot
 
 EXACT, STEM, COMPOUND = 1.0, 0.6, 0.5
+#: Components of the intents' vectors that a task holds.
+VOCABULARY = 4_000_000
 
 
 def token_scores(queries: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
@@ -141,13 +146,36 @@ def reranked(hits: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, or
 
 
 def vector_intents(queries: DataFrame, intents: DataFrame, k: int = 10, squared: bool = True) -> DataFrame:
-    """(query_id, rank, intent_id, score): intents by 1 / (1 + distance) of unit vectors; a row for each intent id."""
-    own = intents.select("intent_id", "intent_ord", F.col("vec").alias("v2")).withColumn("rn", F.row_number().over(Window.partitionBy("intent_id").orderBy("intent_ord"))).where("rn = 1")
-    pairs = queries.select("query_id", "vec").join(F.broadcast(own.drop("rn")))  # the vocabulary
-    sq = F.aggregate(F.zip_with("vec", "v2", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    score = 1 / (1 + (sq if squared else F.sqrt(sq)))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "intent_ord")
-    return pairs.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "intent_id", "score")
+    """(query_id, rank, intent_id, score): intents by 1 / (1 + distance) of unit vectors; a row for each intent id.
+
+    The intents' matrix goes to the queries, which are ranked where they are, a block at a time."""
+    w = Window.partitionBy("intent_id").orderBy("intent_ord")
+    own = intents.select("intent_id", "intent_ord", "vec").withColumn("rn", F.row_number().over(w)).where("rn = 1").orderBy("intent_ord", "intent_id")
+    if (own.agg(F.sum(F.size("vec"))).first()[0] or 0) > VOCABULARY:
+        raise ValueError(f"the intents' vectors have over {VOCABULARY} components; a task can't hold them")
+    known = own.select("intent_id", "vec").toArrow()  # the vocabulary, in order
+    ids = known.column("intent_id").combine_chunks()
+    shared = queries.sparkSession.sparkContext.broadcast((ids, blocks.matrix_of(known.column("vec")) if len(ids) else None))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = shared.value
+        if matrix is None:
+            return
+        step, lengths = max(1, blocks.PRODUCTS // len(names)), (matrix * matrix).sum(1)
+        for b in batches:
+            for s in range(0, b.num_rows, step):
+                part = b.slice(s, step)
+                x = blocks.matrix_of(part.column(1))
+                apart = np.maximum((x * x).sum(1)[:, None] + lengths - 2 * (x @ matrix.T), 0)
+                near = np.argsort(apart, axis=1, kind="stable")[:, :k]
+                far = np.take_along_axis(apart, near, 1)
+                at = np.repeat(np.arange(len(x)), near.shape[1])
+                rank = np.tile(np.arange(1, near.shape[1] + 1, dtype=np.int32), len(x))
+                score = 1 / (1 + (far if squared else np.sqrt(far)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(rank), names.take(pa.array(near.ravel())), pa.array(score.ravel())], names=["query_id", "rank", "intent_id", "score"])
+
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, rank int, intent_id string, score double"
+    return queries.where("vec IS NOT NULL").select("query_id", "vec").mapInArrow(run, schema)
 
 
 def search_with_fallback(queries: DataFrame, vectors: DataFrame, intents: DataFrame, intent_vectors: DataFrame, endpoints: DataFrame, k: int = 10) -> DataFrame:

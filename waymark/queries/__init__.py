@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answering, binding, catalog, checks, evaluation, flow, ingest, whole
+from . import answering, binding, catalog, checks, evaluation, flow, ingest, ports, whole
 
-QUERIES = {name: f for m in (catalog, binding, flow, ingest, evaluation, checks, whole, answering) for name, (f, _) in m.ALL.items()}
-ORACLES = {name: sql for m in (catalog, binding, flow, ingest, evaluation, checks, whole, answering) for name, (_, sql) in m.ALL.items() if sql}
+QUERIES = {name: f for m in (catalog, binding, flow, ingest, evaluation, checks, whole, answering, ports) for name, (f, _) in m.ALL.items()}
+ORACLES = {name: sql for m in (catalog, binding, flow, ingest, evaluation, checks, whole, answering, ports) for name, (_, sql) in m.ALL.items() if sql}
