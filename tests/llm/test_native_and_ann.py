@@ -163,3 +163,39 @@ def test_recall_on_given_vectors(spark, sf):
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     assert set(got) == {int(i) for i in ids if i % 20 == 0}
     assert sum(len(got[q] & set(want[q])) for q in got) >= 0.9 * sum(len(want[q]) for q in got)
+
+
+def card(rng, lead, sep):
+    """A number of 16 digits that passes Luhn."""
+    d = lead + "".join(str(rng.integers(10)) for _ in range(15 - len(lead)))
+    d = next(d + c for c in "0123456789" if luhn(d + c))
+    return sep.join(d[k : k + 4] for k in range(0, 16, 4))
+
+
+def planted(rng, n):
+    """Texts without any cue: (kind if a relaxed form has to be found, text)."""
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 7))
+    phone = lambda: f"({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}"
+    digits = lambda k: "".join(str(c) for c in rng.integers(1, 10, k))
+    out = []
+    for _ in range(n):
+        bad = str(rng.choice([1, 2, 3, 5, 6, 7, 8, 9])) + digits(15)
+        bad = bad if not luhn(bad) else bad[:-1] + str((int(bad[-1]) + 1) % 10)
+        out += [(None, t) for t in (card(rng, "4", ""), bad, f"+1 {phone()}", f"{rng.integers(1, 255)}.{rng.integers(1, 255)}.7.9", f"2024-0{rng.integers(1, 9)}-11", digits(8), f"{digits(7)}/{digits(2)}/{digits(2)}")]
+        # look-alikes of a relaxed form, and the forms themselves
+        out += [(None, card(rng, "98", ".")), (None, f"{digits(4)}/{digits(2)}/{digits(4)}"), ("card", card(rng, "4", ".")), ("phone", phone())]
+    return [(k, f"{word()} {t} {word()}") for k, t in out]
+
+
+def test_the_trees_tell_relaxed_forms_from_look_alikes(spark):
+    """Without cues, by what a number looks like alone: precision and recall of what is added."""
+    texts = planted(np.random.default_rng(3), 150)
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    hit = dict.fromkeys(pii.KINDS, 0)
+    wrong = dict.fromkeys(pii.KINDS, 0)
+    for r in pii.spans(df).collect():
+        for s in r["spans"]:
+            if not s["base"]:
+                (hit if s["kind"] == texts[r["doc_id"]][0] else wrong)[s["kind"]] += 1
+    for kind in ("card", "phone"):
+        assert hit[kind] >= 0.9 * 150 and wrong[kind] <= 0.1 * (hit[kind] + wrong[kind]), (kind, hit, wrong)

@@ -65,7 +65,20 @@ CUES = {
 CONTEXT = 32
 
 #: Candidates' features, from the lowest bit.
-FEATURES = ("cue before", "cue after", "blank before", "blank after", "line", "grouped", "usual length", "uniform")
+FEATURES = ("cue before", "cue after", "blank before", "blank after", "line", "grouped", "usual length", "uniform", "layout", "lead", "dotted")
+#: How a kind's parts are usually laid out, and how it usually begins.
+LAYOUT = {
+    "email": r"[A-Za-z]{2,12}\z",
+    "ip": r"\A[0-9]{1,3}(?:[.\[\]]{1,3}[0-9]{1,3}){3}\z",
+    "card": r"\A(?:[0-9]{13,19}|[0-9]{4}(?:[\x20.-][0-9]{4,6}){2,3}(?:[\x20.-][0-9]{1,3})?)\z",
+    "phone": r"\([0-9]{2,5}\)|(?<![0-9])[0-9]{3}[\x20./-][0-9]{4}\z",
+}
+LEAD = {
+    "email": r"\A[A-Za-z]",
+    "ip": r"\A(?:[1-9][0-9]?|1[0-9]{2}|2[01][0-9]|22[0-3])(?![0-9])",
+    "card": r"\A4",
+    "phone": r"\A\+?\(?(?:0|1|[2-9][0-9]{0,2})(?![0-9])",
+}
 
 TREES, RATE, L2, PRECISION = 24, 0.3, 1.0, 0.9
 #: Matches whose places are summed up at once; the sums of such blocks are summed up in turn.
@@ -176,6 +189,9 @@ def _bits(kind: str, x: Column) -> Column:
         m.rlike(r"[0-9][\x20().:\[\]-]{1,3}[0-9]"),
         usual,
         d.rlike(r"\A([0-9])\1*\z") if kind != "email" else m.rlike(r"(.)\1\1"),
+        m.rlike(LAYOUT[kind]),
+        m.rlike(LEAD[kind]),
+        F.contains(m, F.lit(".")),
     )
     return sum((F.when(f, 1 << k).otherwise(0) for k, f in enumerate(flags)), F.lit(0))
 
@@ -256,8 +272,9 @@ def boost(table: dict[int, tuple[int, int]], held_out: dict[int, tuple[int, int]
         def split(rows: list[int]) -> tuple[float, int]:
             return max((gain([b for b in rows if b >> k & 1]) + gain([b for b in rows if not b >> k & 1]), -k) for k in range(len(FEATURES)))
 
-        best = max(((split([b for b in table if not b >> k & 1])[0] + split([b for b in table if b >> k & 1])[0]), -k) for k in range(len(FEATURES)))
-        first = -best[1]
+        # of equal trees the one whose first question tells most by itself
+        halved = {k: ([b for b in table if not b >> k & 1], [b for b in table if b >> k & 1]) for k in range(len(FEATURES))}
+        first = max(halved, key=lambda k: (round(sum(split(h)[0] for h in halved[k]), 9), round(sum(map(gain, halved[k])), 9), -k))
         halves = [[b for b in table if (b >> first & 1) == side] for side in (0, 1)]
         second = tuple(-split(rows)[1] for rows in halves)
         leaves = []
