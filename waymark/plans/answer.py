@@ -52,11 +52,19 @@ def _from_arm(arm: DataFrame, facts: DataFrame, k: int) -> DataFrame:
 
 def _from_intents(hits: DataFrame, order: DataFrame, requests: DataFrame, catalog: Catalog, facts: DataFrame, k: int) -> DataFrame:
     """A list without vectors: endpoints that words hit, then many of the first intent's, then some of each other."""
-    asks = order.join(requests, "query_id").select("query_id", "intent_id", "query")
-    keyed = catalog.refs.groupBy("intent_id", "origin", "method", "path").agg(F.min("rank").alias("rank"))
-    known = rank.resolve(asks, keyed, catalog.endpoints, catalog.intents, 3 * k).select("query_id", "intent_id", "id", "score", F.col("rank").alias("ep_ord"))
-    pools = known.join(order.select("query_id", "intent_id", F.col("rank").alias("intent_rank")), ["query_id", "intent_id"]).join(facts, "id")
-    direct = hits.where("kind = 'endpoint'").select("query_id", "rank", F.col("hit_id").alias("id")).join(facts, "id").select("query_id", "rank", F.col("target").alias("id"))
+    keyed = saved(catalog.refs.groupBy("intent_id", "origin", "method", "path").agg(F.min("rank").alias("rank")), "keyed-refs")
+    direct = saved(hits.where("kind = 'endpoint'").select("query_id", "rank", F.col("hit_id").alias("id")).join(facts, "id").select("query_id", "rank", F.col("target").alias("id")), "direct-hits")
+
+    def pool(some: DataFrame, n: int) -> DataFrame:
+        """The ``n`` best endpoints of some requests' intents."""
+        asks = some.join(requests, "query_id").select("query_id", "intent_id", "query")
+        known = rank.resolve(asks, keyed, catalog.endpoints, catalog.intents, n).select("query_id", "intent_id", "id", "score", F.col("rank").alias("ep_ord"))
+        return known.join(some.select("query_id", "intent_id", F.col("rank").alias("intent_rank")), ["query_id", "intent_id"]).join(facts, "id")
+
+    first = saved(pool(order.where("rank = 1"), 3 * k), "first-pools")
+    # only lists that these leave short look at further intents, of which each gives two
+    full = direct.select("query_id", "id").union(first.select("query_id", "target")).groupBy("query_id").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= k)
+    pools = first.unionByName(pool(order.where("rank > 1").join(full, "query_id", "left_anti"), 2))
     pools = pools.select("query_id", "intent_rank", "host", "score", "ep_ord", F.col("target").alias("id"))
     return arms.concentrated(direct, pools, k).select("query_id", "rank", F.col("id").alias("target"))
 
