@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .names import free
-from .tokens import bounded, groups
+from .tokens import bounded, groups, let_go
 
 #: Labelled documents of each language, and symbols of each, that make its sample; the bound of the fit.
 SAMPLE_DOCS = 160
@@ -33,8 +33,10 @@ SAMPLE_SYMBOLS = 32_768
 #: Symbols of all languages' samples together: with more languages the longest samples get less.
 SAMPLE_TOTAL = 1_000_000
 BLOCK = 512
-#: Cells of the table of frequent symbols' transitions (64 MB); those of rarer symbols are looked up in sorted keys.
-DENSE_CELLS = 1 << 24
+#: Cells of the table of frequent symbols' transitions (32 MB); those of rarer symbols are looked up in sorted keys.
+DENSE_CELLS = 1 << 23
+#: Bytes of texts that are parsed at once, in about 40 times as much memory.
+AT_ONCE = 1_000_000
 #: Places added to each sample's own when a phrase is priced.
 ROOM = 64
 UNKNOWN = "und"
@@ -248,6 +250,24 @@ def classify(automata: Automata, texts: list[str | None]) -> tuple[list[str], li
     return langs, scores
 
 
+def _told(shared, names: list[str]):
+    """Rows whose last column is the text -> rows with language and score instead; ``shared`` is a broadcast of automata."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        for b in batches:
+            texts = b.column(b.num_columns - 1)
+            sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in texts])
+            for start, end in groups(sizes, most=AT_ONCE, rows=2000):
+                part = b.slice(start, end - start)
+                langs, scores = classify(shared.value, part.column(part.num_columns - 1).to_pylist())
+                cols = [part.column(k) for k in range(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
+        let_go()
+
+    return run
+
+
 def predict(docs: DataFrame, automata: Automata, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
     """``docs`` with a language and a score, in columns that are replaced if ``docs`` has such.
 
@@ -261,17 +281,7 @@ def predict(docs: DataFrame, automata: Automata, text_col: str = "text", lang_as
     kept = [f for f in docs.schema.fields if f.name in rest]
     schema = T.StructType([*kept, T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(b.num_columns - 1)
-            sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in texts])
-            for start, end in groups(sizes, most=3_000_000, rows=2000):
-                part = b.slice(start, end - start)
-                langs, scores = classify(shared.value, part.column(part.num_columns - 1).to_pylist())
-                cols = [part.column(k) for k in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*rest, lang_as, score_as])
-
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(_told(shared, [*rest, lang_as, score_as]), schema)
 
 
 def keep_known(docs: DataFrame) -> DataFrame:

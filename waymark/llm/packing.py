@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..storage import saved
 from .order import starts
-from .tokens import bounded, encoder, groups
+from .tokens import bounded, encoder, groups, let_go
 
 LENGTH = 2048
 END_ID = 1
@@ -110,6 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     placed = starts(docs_ids.select("key", "doc_id", "uid", "n"), ["key", "doc_id", "uid"], "n").select("uid", "start")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             rows = list(zip(*[b.column(k).to_pylist() for k in range(3)]))
             for i in range(0, len(rows), 256):

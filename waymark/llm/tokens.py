@@ -10,6 +10,7 @@ a whole. The ids are the same either way.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import json
 import os
@@ -74,6 +75,17 @@ def encoder(path: str) -> "Encoder":
     return _ENCODERS[path]
 
 
+def let_go() -> None:
+    """Give back what a worker still holds of other stages' tasks: encoders with their words, and memory that was freed."""
+    _ENCODERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 class Encoder:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
