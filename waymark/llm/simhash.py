@@ -288,7 +288,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near copies (:mod:`.nearcopies`): the one with the smallest doc_id.
+    """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
+
+    Near copies (:mod:`.nearcopies`) are found by :func:`links` on SimHashes of five-word shingles, and exactly beyond its
+    radius; both are verified by a Jaccard similarity of 0.8 or more of the sets of shingles.
 
     Of different texts with that id the one of the smallest hash stays, and of its repeated rows one. Documents
     without an id can't be named by a group and stay. Null, empty and blank texts are copies of each other. An empty
