@@ -1,6 +1,8 @@
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from waymark.llm import packing, store, tokens
@@ -23,6 +25,36 @@ def test_encoder_is_the_library(path):
         assert e.encode(ODD) == want
 
 
+def test_words_of_any_kind_are_the_library(path):
+    rng = np.random.default_rng(3)
+    alphabet = list("aasSstmdrevl''''19½².,-é \n")
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 40))) for _ in range(20_000)] + ["x" * (tokens.LONG_WORD + 1) + " y", "it's\n'tis we'll've 'dd"]
+    e = tokens.Encoder(path, cache_words=3000)
+    for k in range(0, len(texts), 4000):
+        assert e.encode(texts[k : k + 4000]) == e._whole(texts[k : k + 4000])
+    assert len(e.known) == len(e.n) == len(e.met) <= 3000
+
+
+def test_encoding_new_words_takes_under_half_of_the_librarys_time(path):
+    """op7_store was over its budget of CPU: 0.5 to 0.8 of the library's time went into such words."""
+    rng = np.random.default_rng(7)
+    pieces = np.array(["an", "th", "er", "on", "ti", "sh", "re", "wh", "ou", "ing", "ble", "ed"])
+    size = rng.integers(1, 6, 500_000)
+    words = ["".join(x) for x in np.split(pieces[rng.integers(0, len(pieces), size.sum())], np.cumsum(size)[:-1])]
+    marked = [w + m for w, m in zip(words, rng.choice(["", ",", "."], len(words), p=[0.8, 0.1, 0.1]))]
+    texts = pa.array([" ".join(marked[k : k + 500]) for k in range(0, len(marked), 500)])
+    ratios = []
+    for _ in range(3):
+        e = tokens.Encoder(path)
+        t0 = time.process_time()
+        want = e._whole(texts.to_pylist())
+        t1 = time.process_time()
+        got = [x for i, j in tokens.groups(np.full(len(texts), 4000), tokens.ENCODE_BYTES, tokens.ENCODE_ROWS) for x in e.encode(texts.slice(i, j - i))]
+        ratios.append((time.process_time() - t1) / (t1 - t0))
+        assert got == want
+    assert min(ratios) < 0.45, ratios
+
+
 def test_hilbert_is_a_curve():
     side = np.arange(8)
     for dims in (2, 3):
@@ -77,6 +109,17 @@ def test_cuts_follow_content():
     assert store.cuts(x[:0]) == [] and store.cuts(x[:1]) == [1]
 
 
+def test_streams_end_to_end_are_cut_as_alone():
+    rng = np.random.default_rng(4)
+    sizes = [*rng.integers(1, 3000, 300).tolist(), 1, 1, 9000, 64, 63, 16]
+    streams = [rng.integers(0, 300, n).astype(np.uint16) for n in sizes]
+    found, begin = store.marks(np.concatenate(streams)), 0
+    for s in streams:
+        own = found[(found > begin) & (found <= begin + len(s))] - begin
+        assert store.chosen(own.tolist(), len(s)) == store.cuts(s)
+        begin += len(s)
+
+
 def test_store_round_trip(spark, docs, none, path):
     at = new_path(spark, "store")
     store.write(docs, at, path)

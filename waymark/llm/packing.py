@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..storage import saved
 from .order import starts
-from .tokens import bounded, encoder, groups, let_go
+from .tokens import ENCODE_BYTES, ENCODE_ROWS, bounded, encoder, groups, let_go
 
 LENGTH = 2048
 END_ID = 1
@@ -85,7 +85,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
         for b in batches:
             texts = b.column(2)
             sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in texts])
-            for i, j in groups(sizes):
+            for i, j in groups(sizes, ENCODE_BYTES, ENCODE_ROWS):
                 ids = enc.encode(texts.slice(i, j - i))
                 keys = curve_keys([np.frombuffer(x, enc.dtype) for x in ids])
                 n = np.array([len(x) // enc.dtype.itemsize + 1 for x in ids], np.int64)

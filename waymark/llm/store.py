@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, partitions, saved
 from .order import starts
-from .tokens import bounded, encoder, groups
+from .tokens import ENCODE_BYTES, ENCODE_ROWS, bounded, encoder, groups
 
 END_ID = 2
 WINDOW = 16
@@ -46,9 +46,9 @@ MANIFEST = "level int, node long, n long, digest string"
 NAMES = ["kind", "key", "payload", "doc_id", "uid", "n_tokens", "width", "root"]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
-    n = len(ids)
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Ends of the windows whose hash meets the mask. Streams may be put end to end: a window that reaches back into
+    the one before ends within a stream's first ``WINDOW`` ids, and no chunk is cut before ``MIN_IDS``, which is more."""
     with np.errstate(over="ignore"):
         h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(_MULTIPLIER)
         h ^= h >> np.uint64(29)
@@ -57,9 +57,18 @@ def cuts(ids: np.ndarray) -> list[int]:
             wide = h.copy()
             wide[span:] += power * h[:-span]
             h, power, span = wide, power * power, 2 * span
-        found = np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+        return np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+
+
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of an id stream."""
+    return chosen(marks(ids).tolist(), len(ids))
+
+
+def chosen(found: list[int], n: int) -> list[int]:
+    """Those of its marks, and of places between them, where a stream of ``n`` ids is cut."""
     out, last = [], 0
-    for at in [*found.tolist(), n]:
+    for at in [*found, n]:
         while at - last > MAX_IDS:
             last += MAX_IDS
             out.append(last)
@@ -90,13 +99,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
         for b in batches:
             texts = b.column(2)
             sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in texts])
-            for i, j in groups(sizes):
+            for i, j in groups(sizes, ENCODE_BYTES, ENCODE_ROWS):
                 rows: list[tuple] = []
-                encoded = enc.encode(texts.slice(i, j - i))
-                for doc_id, uid, raw in zip(b.column(0).slice(i, j - i).to_pylist(), b.column(1).slice(i, j - i).to_pylist(), encoded):
-                    raw += end
+                encoded = [raw + end for raw in enc.encode(texts.slice(i, j - i))]
+                ends = np.cumsum([len(raw) // width for raw in encoded])
+                found = marks(np.frombuffer(b"".join(encoded), enc.dtype))
+                own = np.split(found, np.searchsorted(found, ends, "right"))
+                for doc_id, uid, raw, stop, at_marks in zip(b.column(0).slice(i, j - i).to_pylist(), b.column(1).slice(i, j - i).to_pylist(), encoded, ends.tolist(), own):
+                    n = len(raw) // width
                     digests, last = [], 0
-                    for at in cuts(np.frombuffer(raw, enc.dtype)):
+                    for at in chosen((at_marks - (stop - n)).tolist(), n):
                         payload = raw[last * width : at * width]
                         last = at
                         d = hashlib.sha256(payload).digest()
@@ -106,7 +118,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
                                 seen.clear()
                             seen.add(d)
                             rows.append(("chunk", d, payload, None, None, None, width, None))
-                    rows.append(("recipe", uid.to_bytes(8, "little"), b"".join(digests), doc_id, uid, len(raw) // width, width, merkle(digests)))
+                    rows.append(("recipe", uid.to_bytes(8, "little"), b"".join(digests), doc_id, uid, n, width, merkle(digests)))
                 cols = list(zip(*rows))
                 types = [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=NAMES)
