@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..storage import saved
 from .order import starts
-from .tokens import ENCODE_BYTES, ENCODE_ROWS, bounded, encoder, groups, let_go
+from .tokens import ENCODE_BYTES, ENCODE_ROWS, bounded, encoder, groups, let_go, trim
 
 LENGTH = 2048
 END_ID = 1
@@ -80,6 +80,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
     encoder's width; null texts count as empty. ``uid`` tells repeated rows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, partitions, saved
 from .order import starts
-from .tokens import ENCODE_BYTES, ENCODE_ROWS, bounded, encoder, groups
+from .tokens import ENCODE_BYTES, ENCODE_ROWS, bounded, encoder, groups, trim
 
 END_ID = 2
 WINDOW = 16
@@ -93,6 +93,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
     """
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         enc = encoder(tokenizer)
         width, end = enc.dtype.itemsize, np.array([end_id], enc.dtype).tobytes()
         seen: set[bytes] = set()

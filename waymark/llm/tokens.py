@@ -26,7 +26,7 @@ BATCH_ROWS = 1000
 #: Most text, in bytes, and most rows that are encoded at once: the more, the more often a word is met again.
 ENCODE_BYTES, ENCODE_ROWS = 4_000_000, BATCH_ROWS
 #: Pre-tokens that a worker remembers (about 50 bytes each); beyond, it keeps the half that was met last.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Pre-tokens that one call of the library encodes, and of those the ones that are one text.
 AT_ONCE, JOINED = 10_000, 100
 #: A text with a longer word, in bytes, is encoded as a whole.
@@ -102,7 +102,11 @@ def _bytes_of(strings: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
 def _gather(flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The runs of ``flat`` that begin at ``begin`` and hold ``n``, one after the other."""
     end = np.cumsum(n)
-    return flat[np.repeat(begin - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+    total = int(end[-1]) if len(end) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((begin - (end - n)).astype(kind), n)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 def bounded(docs):
@@ -130,6 +134,11 @@ def encoder(path: str) -> "Encoder":
 def let_go() -> None:
     """Give back what a worker still holds of other stages' tasks: encoders with their words, and memory that was freed."""
     _ENCODERS.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give back memory that a worker has freed."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -190,10 +199,12 @@ class Encoder:
         plain = pc.if_else(strange, "", texts)
         lines = pc.replace_substring(pc.binary_join_element_wise("\n", plain, ""), "\n", " \n")
         split = pc.split_pattern(lines, " ")
+        del plain, lines
         coded = split.flatten().dictionary_encode()
         at = coded.indices.to_numpy()
         own = np.diff(split.offsets.to_numpy())
         last = np.cumsum(own)
+        del split
         whole, flat, n = self._words(coded.dictionary)
         begin = np.cumsum(n) - n
         first = np.zeros(len(at), bool)
