@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of one key, on either side of a join, that meet in one place.
+BLOCK = 1024
 #: relations' inverses, order and labels.
 INVERSE = {"alternative_of": "alternative_of", "sibling_of": "sibling_of", "broader_of": "narrower_of", "narrower_of": "broader_of", "pipes_to": "fed_by"}
 RELATION_ORDER = ("alternative_of", "narrower_of", "broader_of", "sibling_of", "pipes_to", "fed_by")
@@ -61,6 +63,24 @@ def _expanded(entities: DataFrame, column: str, parents: DataFrame) -> DataFrame
     return entities.select("*", F.col(column).alias("port_entity"), F.lit("exact").alias("match")).union(up)
 
 
+def _met(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` and ``right`` joined on ``key``, which may be frequent on both sides.
+
+    A key's rows are dealt by their hash into blocks of about ``BLOCK``, and each block of one side meets each of the other:
+    what is shuffled is a 1,000th of the pairs or the rows themselves, no task gets a whole key, and pairs are made last."""
+    frequent = lambda df, n: F.broadcast(df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n)).where(F.col(n) > 1))  # noqa: E731 one key in BLOCK rows at most
+    blocks = {"__l": frequent(left, "__ln"), "__r": frequent(right, "__rn")}
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        rows = df.where(F.col(key).isNotNull()).join(blocks["__l"], key, "left").join(blocks["__r"], key, "left")
+        at = F.pmod(F.xxhash64(*df.columns), F.coalesce(f"{own}n", F.lit(1))).cast("int").alias(own)
+        each = F.explode(F.sequence(F.lit(0), F.coalesce(f"{other}n", F.lit(1)) - 1)).alias(other)
+        return rows.select(*df.columns, at, each).repartition(n, key, "__l", "__r")
+
+    return dealt(left, "__l", "__r").join(dealt(right, "__r", "__l"), [key, "__l", "__r"]).drop("__l", "__r")
+
+
 def forward_flow(intents: DataFrame, parents: DataFrame) -> DataFrame:
     """(from, to, entity, match, from_role, to_role): a produced entity meets a consumed one, itself or its parent."""
     p = ports(intents)
@@ -91,13 +111,13 @@ def lateral_flow(intents: DataFrame, parents: DataFrame, entities: DataFrame) ->
 
 def consumers_by_entity(intents: DataFrame, parents: DataFrame) -> DataFrame:
     """(held, intent_id, domain, role, port_entity, intent_ord): who consumes a held entity, itself or by its parent."""
-    used = ports(intents).where("side = 'consumes'")
-    own = used.select(F.col("entity").alias("held"), "intent_id", "domain", "role", F.col("entity").alias("port_entity"), "pos")
-    kids = parents.select("child", "parent")
-    by_child = used.join(F.broadcast(kids), used["entity"] == kids["parent"]).select(F.col("child").alias("held"), "intent_id", "domain", "role", F.col("entity").alias("port_entity"), "pos")
-    rows = own.union(by_child).join(intents.select(F.col("id").alias("intent_id"), "intent_ord"), "intent_id")
-    w = Window.partitionBy("held", "intent_id", "port_entity").orderBy("pos")
-    return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("held", "intent_id", "domain", "role", "port_entity", "intent_ord")
+    used = ports(intents).where("side = 'consumes' AND intent_id IS NOT NULL").join(intents.select(F.col("id").alias("intent_id"), "intent_ord"), "intent_id")
+    # an intent's ports of one entity are one before they meet the entity's children, of whom each is there once
+    w = Window.partitionBy("intent_id", "entity").orderBy("pos", "intent_ord")
+    once = used.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("intent_id", "domain", "role", F.col("entity").alias("port_entity"), "intent_ord")
+    kids = parents.where("NOT child <=> parent").select(F.col("child").alias("held"), F.col("parent").alias("port_entity")).distinct()
+    out = ["held", "intent_id", "domain", "role", "port_entity", "intent_ord"]
+    return once.withColumn("held", F.col("port_entity")).select(out).union(_met(once, kids, "port_entity").select(out))
 
 
 def entity_index(intents: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
