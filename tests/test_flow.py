@@ -78,3 +78,31 @@ def test_consumers_are_not_shuffled(spark, monkeypatch):
     out = graph.consumers_by_entity(intents, parents)
     assert len(out.collect()) == 360 * 501 + 40 and shuffled(out) < 40_000
     assert out.where("held = 'P7'").select(F.countDistinct("intent_id")).first()[0] == 360
+
+
+@pytest.mark.parametrize("block", [2, 1024])
+@pytest.mark.parametrize("domains", [("d1", "d2", "d3"), ("d1", "d2", None), (None, "d1"), ("d1",), (None,)])
+def test_lateral_flow_by_brute_force(spark, block, domains, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", block)
+    rows, parents = some()
+    rng = random.Random(1)
+    rows = [(i, domains[0] if n < 3 else rng.choice(domains), c, p) for n, (i, _, c, p) in enumerate(rows)]
+    entities = [(f"P{k}", [None, "observation", "identity"][k % 3], k % 5 != 0) for k in range(12)] + [("B", "identity", True), ("B", "identity", True), ("C", None, False), (None, "identity", True)]
+    want = set()
+    for held in {e for e, kind, ok in entities if ok and kind != "observation" and e}:
+        own = {held} | {p for c, p in parents if c == held and p}
+        for i, d, consumes, _ in rows:
+            port = next((x for x in consumes if entity(x) in own), None)
+            source = next(((x[1],) for x in rows if d is None or x[1] is None or x[1] != d), None)
+            if port and source:
+                want.add((held, source[0], i, d, role(port)))
+    got = graph.lateral_flow(intents_of(spark, rows), spark.createDataFrame(parents, "child string, parent string"), spark.createDataFrame(entities, "name string, kind string, bridge_eligible boolean")).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_lateral_pairs_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 64)
+    intents, parents = many(spark, 400, 500)
+    entities = parents.select(F.col("child").alias("name"), F.lit("identity").alias("kind"), F.lit(True).alias("bridge_eligible"))
+    out = graph.lateral_flow(intents, parents, entities)
+    assert len(out.collect()) == 360 * 500 + 40 and shuffled(out) < 40_000

@@ -96,16 +96,23 @@ def lateral_flow(intents: DataFrame, parents: DataFrame, entities: DataFrame) ->
     ``entities`` (name, kind, bridge_eligible). The source domain is that of the first intent, in order, that has
     another domain or none; one row for each entity and consumer.
     """
-    held = entities.where("bridge_eligible AND coalesce(kind, '') <> 'observation'").select(F.col("name").alias("held"))
-    used = ports(intents).where("side = 'consumes'").select(F.col("intent_id").alias("to"), "pos", F.col("entity").alias("port_entity"), F.col("domain").alias("to_domain"), F.col("role").alias("to_role"))
-    order = intents.select(F.col("id").alias("to"), "intent_ord")
-    pairs = _expanded(held, "held", parents).join(used, "port_entity").join(order, "to")
-    first = Window.partitionBy("held", "to").orderBy("intent_ord", "pos")
-    one = pairs.withColumn("rn", F.row_number().over(first)).where("rn = 1")
-    # domains in order of their first intent; at most two of them can be the answer
-    domains = intents.groupBy(F.col("facets.domain").alias("d")).agg(F.min("intent_ord").alias("o"))
-    at = one.join(F.broadcast(domains), F.col("to_domain").isNull() | F.col("d").isNull() | (F.col("to_domain") != F.col("d")))
-    found = at.groupBy("held", "to", "to_domain", "to_role").agg(F.min_by("d", "o").alias("from_domain"))
+    held = entities.where("bridge_eligible AND coalesce(kind, '') <> 'observation' AND name IS NOT NULL").select(F.col("name").alias("held")).distinct()
+    up = parents.groupBy(F.col("child").alias("held")).agg(F.sort_array(F.collect_set("parent")).alias("up"))  # an entity's parents
+    none = F.array().cast("array<string>")
+    at = held.join(up, "held", "left").select("held", F.array_union(F.array("held"), F.coalesce("up", none)).alias("ports")).select("held", "ports", F.explode("ports").alias("port_entity"))
+    used = ports(intents).where("side = 'consumes' AND entity IS NOT NULL").select(F.col("intent_id").alias("to"), "pos", F.col("entity").alias("port_entity"), F.col("domain").alias("to_domain"), F.col("role").alias("to_role"))
+    first = Window.partitionBy("to", "port_entity").orderBy("intent_ord", "pos")
+    once = used.join(intents.select(F.col("id").alias("to"), "intent_ord"), "to").withColumn("rn", F.row_number().over(first)).where("rn = 1")
+    # a consumer's first port of a held entity counts: it is told by the entities on the ports before, without a look at other pairs
+    before = Window.partitionBy("to").orderBy("intent_ord", "pos", "port_entity").rowsBetween(Window.unboundedPreceding, -1)
+    once = once.withColumn("before", F.collect_list("port_entity").over(before))
+    # the first domain, in order of first intents, or for its own consumers the second
+    domains = intents.groupBy(F.col("facets.domain").alias("d")).agg(F.min("intent_ord").alias("o")).orderBy(F.asc_nulls_last("o"), "d").limit(2)
+    two = domains.agg(F.sort_array(F.collect_list(F.struct(F.col("o").isNull().alias("last"), "o", "d"))).alias("two"))
+    one = F.coalesce(F.col("to_domain") != F.col("two")[0]["d"], F.lit(True))
+    other = F.when(one, F.col("two")[0]["d"]).otherwise(F.get("two", F.lit(1))["d"])
+    led = once.join(F.broadcast(two)).where(one | (F.size("two") > 1)).select("to", "port_entity", "to_domain", "to_role", other.alias("from_domain"), "before")
+    found = _met(led, at, "port_entity").where((F.size("before") == 0) | ~F.arrays_overlap("before", "ports"))
     return found.select(F.col("held").alias("entity"), "from_domain", "to", "to_domain", "to_role")
 
 
