@@ -228,3 +228,78 @@ class Postings:
         b = self.best
         order, ids = (np.zeros(0, np.int64), np.zeros(0, object)) if b.order is None else (b.order, b.payload)
         return pa.RecordBatch.from_arrays([self.ids.take(pa.array(b.query)), pa.array(ids, pa.string()), pa.array(b.score), pa.array(order, pa.int64())], names=["query_id", "id", "score", "ep_ord"])
+
+
+class Hits:
+    """Kernel of all keyword hits: queries (query_id, tokens, stems), rows (id, ep_ord, tokens, stems, factor), where a row's
+    stems are those of its tokens, one each. Gives (id, ep_ord, hits: array of query_id and score), ``PRODUCTS`` hits at once.
+
+    A query's token scores in a row 10 exactly, 6 by stem, 5 as a compound that ends in a row's token (tenths), once a place in the query."""
+
+    VALUES = (Postings.COMPOUND, Postings.STEM, Postings.EXACT)
+
+    def __init__(self, queries: pa.Table):
+        self.ids = queries.column("query_id").combine_chunks()
+        known: dict[str, int] = {}
+        self.whole, self.stems, self.ends = ({}, {}, {})  # numbers of the queries' tokens by token, stem and ending
+        at, of = [], []
+        tokens, stems = queries.column("tokens").to_pylist(), queries.column("stems").to_pylist()
+        self.size = np.array([len(words or []) for words in tokens], np.float64)
+        for q, (words, roots) in enumerate(zip(tokens, stems)):
+            for word, root in zip(words or [], roots or []):
+                if word not in known:
+                    n = known[word] = len(known)
+                    self.whole[word] = [n]
+                    self.stems.setdefault(root, []).append(n)
+                    for k in range(Postings.LEAST, len(word) - Postings.LONGER + 1):
+                        self.ends.setdefault(word[-k:], []).append(n)
+                at.append(known[word])
+                of.append(q)
+        number = np.array(at, np.int64)
+        self.tokens, self.query = len(known), np.array(of, np.int64)[np.argsort(number, kind="stable")]
+        self.count = np.bincount(number, minlength=self.tokens)
+        self.begin = np.cumsum(self.count) - self.count
+        self.step = max(1, PRODUCTS // max(1, len(at)))
+
+    @staticmethod
+    def spans(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """begin[0], begin[0] + 1, ... count[0] of them, and so on."""
+        return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not len(self.query):
+            return
+        flat = batch.column(2).flatten().dictionary_encode()
+        codes = flat.indices.to_numpy(zero_copy_only=False)
+        first = np.zeros(len(flat.dictionary), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        number, value, count = [], [], []  # of the queries' tokens that a different token of the rows hits
+        for token, root in zip(flat.dictionary.to_pylist(), batch.column(3).flatten().take(pa.array(first)).to_pylist()):
+            own = (self.ends.get(token, ()), self.stems.get(root, ()), self.whole.get(token, ()))
+            for v, hit in zip(self.VALUES, own):
+                number += hit
+                value += [v] * len(hit)
+            count.append(sum(map(len, own)))
+        number, value, count = np.array(number, np.int64), np.array(value, np.int8), np.array(count, np.int64)
+        begin = np.cumsum(count) - count
+        offsets, n = batch.column(2).offsets.to_numpy(), len(self.ids)
+        offsets, factor = offsets - offsets[0], batch.column(4).to_numpy(zero_copy_only=False)
+        for s in range(0, batch.num_rows, self.step):
+            e = min(batch.num_rows, s + self.step)
+            c = codes[offsets[s] : offsets[e]]
+            row = np.repeat(np.repeat(np.arange(e - s), np.diff(offsets[s : e + 1])), count[c])
+            at = self.spans(begin[c], count[c])
+            key, v = row * self.tokens + number[at], value[at]
+            best = np.zeros((e - s) * self.tokens, np.int8)
+            for x in self.VALUES:
+                best[key[v == x]] = x
+            key = np.flatnonzero(best)
+            row, token = key // self.tokens, key % self.tokens
+            met = np.repeat(row * n, self.count[token]) + self.query[self.spans(self.begin[token], self.count[token])]
+            tenths = np.bincount(met, np.repeat(best[key], self.count[token]), minlength=(e - s) * n)
+            hit = np.flatnonzero(tenths)
+            row, q = hit // n, hit % n
+            score = tenths[hit] / 10 / self.size[q] * factor[s:e][row]
+            hits = pa.StructArray.from_arrays([self.ids.take(pa.array(q)), pa.array(score)], ["query_id", "score"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=e - s))).astype(np.int32)), hits)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), batch.column(1).slice(s, e - s), lists], names=["id", "ep_ord", "hits"])

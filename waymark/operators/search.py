@@ -79,10 +79,28 @@ def hit_factor() -> Column:
 
 
 def keyword_endpoints(queries: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """(query_id, id, score, ep_ord) of all endpoints that a query hits; for the best alone see :func:`keyword_top`."""
-    own = endpoints.select("id", "ep_ord", hit_factor().alias("factor"))
-    hits = token_scores(queries, endpoints.select("id", F.col("search_text").alias("text")), "id").join(own, "id")
-    return hits.select("query_id", "id", (F.col("token_score") * F.col("factor")).alias("score"), "ep_ord")
+    """(query_id, id, score, ep_ord) of all endpoints that a query hits; for the best alone see :func:`keyword_top`.
+
+    Up to ``blocks.QUERY_BYTES`` of queries are broadcast, and an endpoint's hits are made where it lies, without a shuffle;
+    beyond, by the joins of :func:`token_scores`, which shuffle every hit."""
+    tokens = search_tokens(F.col("query"))
+    asked = queries.select("query_id", tokens.alias("tokens"), F.transform(tokens, stem).alias("stems"))
+    if (asked.agg(F.sum(F.size("tokens") * 40 + 16)).first()[0] or 0) > blocks.QUERY_BYTES:
+        own = endpoints.select("id", "ep_ord", hit_factor().alias("factor"))
+        joined = token_scores(queries, endpoints.select("id", F.col("search_text").alias("text")), "id").join(own, "id")
+        return joined.select("query_id", "id", (F.col("token_score") * F.col("factor")).alias("score"), "ep_ord")
+    own = F.coalesce(F.array_distinct(search_tokens(F.col("search_text"))), F.array().cast("array<string>"))
+    rows = spread(endpoints).select("id", "ep_ord", own.alias("tokens"), hit_factor().alias("factor")).select("id", "ep_ord", "tokens", F.transform("tokens", stem).alias("stems"), "factor")
+    shared = endpoints.sparkSession.sparkContext.broadcast(asked.toArrow())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = blocks.Hits(shared.value)
+        for batch in batches:
+            yield from kernel.add(batch)
+
+    kinds = dict(endpoints.dtypes)
+    hits = rows.mapInArrow(run, f"id {kinds['id']}, ep_ord {kinds['ep_ord']}, hits array<struct<query_id:{dict(queries.dtypes)['query_id']},score:double>>")
+    return hits.select("id", "ep_ord", F.explode("hits").alias("hit")).select("hit.query_id", "id", "hit.score", "ep_ord")
 
 
 def keyword_top(queries: DataFrame, endpoints: DataFrame, k: int) -> DataFrame:
