@@ -106,3 +106,28 @@ def test_lateral_pairs_are_not_shuffled(spark, monkeypatch):
     entities = parents.select(F.col("child").alias("name"), F.lit("identity").alias("kind"), F.lit(True).alias("bridge_eligible"))
     out = graph.lateral_flow(intents, parents, entities)
     assert len(out.collect()) == 360 * 500 + 40 and shuffled(out) < 40_000
+
+
+@pytest.mark.parametrize("block", [2, 1024])
+def test_forward_flow_by_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", block)
+    rows, parents = some()
+    want = []
+    for i, _, _, produces in rows:
+        for made in filter(entity, produces):
+            for e, match in [(entity(made), "exact")] + [(p, "parent") for c, p in parents if c == entity(made)]:
+                want += [(i, j, e, match, role(made), role(used)) for j, _, consumes, _ in rows for used in consumes if e is not None and entity(used) == e and i != j and "constraint" not in (role(made), role(used))]
+    got = graph.forward_flow(intents_of(spark, rows), spark.createDataFrame(parents, "child string, parent string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and got
+
+
+def test_a_frequent_entity_is_no_single_task(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 64)
+    intents, parents = many(spark, 400, 300)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = graph.forward_flow(intents, parents).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    pairs = [r["count"] for r in found]
+    assert sum(pairs) > 360 * 399 and max(pairs) < 0.6 * sum(pairs)

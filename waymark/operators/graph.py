@@ -59,7 +59,7 @@ def link_capabilities(endpoints: DataFrame, refs: DataFrame) -> DataFrame:
 
 def _expanded(entities: DataFrame, column: str, parents: DataFrame) -> DataFrame:
     """Rows under their own entity (exact) and under its parent, one hop."""
-    up = entities.join(F.broadcast(parents), entities[column] == parents["child"]).select(entities["*"], F.col("parent").alias("port_entity"), F.lit("parent").alias("match"))
+    up = entities.join(parents, entities[column] == parents["child"]).select(entities["*"], F.col("parent").alias("port_entity"), F.lit("parent").alias("match"))
     return entities.select("*", F.col(column).alias("port_entity"), F.lit("exact").alias("match")).union(up)
 
 
@@ -87,7 +87,7 @@ def forward_flow(intents: DataFrame, parents: DataFrame) -> DataFrame:
     made = _expanded(p.where("side = 'produces'").select(F.col("intent_id").alias("from"), F.col("entity").alias("made"), F.col("role").alias("from_role")), "made", parents)
     used = p.where("side = 'consumes'").select(F.col("intent_id").alias("to"), F.col("entity").alias("port_entity"), F.col("role").alias("to_role"))
     free = lambda c: F.coalesce(F.col(c) != "constraint", F.lit(True))
-    return made.join(used, "port_entity").where((F.col("from") != F.col("to")) & free("from_role") & free("to_role")).select("from", "to", F.col("port_entity").alias("entity"), "match", "from_role", "to_role")
+    return _met(made.where(free("from_role")), used.where(free("to_role")), "port_entity").where(F.col("from") != F.col("to")).select("from", "to", F.col("port_entity").alias("entity"), "match", "from_role", "to_role")
 
 
 def lateral_flow(intents: DataFrame, parents: DataFrame, entities: DataFrame) -> DataFrame:
